@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from terracell.llm.decontaminate import op10_benchmark_decontamination
 from terracell.llm.neardup import op9_minhash_near_dedup
 from terracell.llm.packing import op8_best_fit_packing
+from terracell.llm.pii import op2_pii
 from terracell.llm.tokenstore import op5_content_addressed_store
 from terracell.llm.toxicity import op4_toxicity
 
-_ALL = (op4_toxicity, op5_content_addressed_store, op8_best_fit_packing, op9_minhash_near_dedup, op10_benchmark_decontamination)
+_ALL = (op2_pii, op4_toxicity, op5_content_addressed_store, op8_best_fit_packing, op9_minhash_near_dedup, op10_benchmark_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
