@@ -117,11 +117,12 @@ def _buckets(values, n: int = 10) -> list:
     return out
 
 
-def _merge(tiles: pd.DataFrame) -> list:
+def _merge(tiles: pd.Series) -> list:
     """Ten buckets of equal width over all tiles' values."""
     import numpy as np
 
-    arrays = [np.asarray(v, float) for v in tiles["values"] if v is not None and len(v)]
+    held = [t["values"] for t in tiles if t is not None]
+    arrays = [np.asarray(v, float) for v in held if v is not None and len(v)]
     if not arrays:
         return []
     lo, hi = min(a.min() for a in arrays), max(a.max() for a in arrays)
@@ -131,9 +132,6 @@ def _merge(tiles: pd.DataFrame) -> list:
     return [{"values": int(n), "lowerBounds": float(a), "upperBounds": float(b)} for n, a, b in zip(counts, edges, edges[1:])]
 
 
-_merge.__annotations__ = {"tiles": pd.DataFrame, "return": list}
-
-
 def register(spark: SparkSession) -> SparkSession:
     """Makes the functions known to the session's SQL."""
     for name, (params, body) in SQL_FUNCTIONS.items():

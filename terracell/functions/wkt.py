@@ -157,7 +157,7 @@ def st_wkt(st: Column) -> Column:
     ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, spot), ", "), F.lit(")"))
     rings = lambda part: F.concat(F.lit("("), F.array_join(F.transform(part, ring), ", "), F.lit(")"))
     parts, kind = st["parts"], st["gtype"]
-    name = F.array(*[F.lit(k) for k in KINDS])[kind]
+    name = F.get(F.array(*[F.lit(k) for k in KINDS]), kind.cast("int"))
     body = F.when(kind.isin(POINT, LINE), ring(parts[0][0])).when(kind == POLYGON, rings(parts[0]))
     body = body.when(kind.isin(MULTIPOINT, MULTILINE), F.concat(F.lit("("), F.array_join(F.transform(parts, lambda p: ring(p[0])), ", "), F.lit(")")))
     body = body.otherwise(F.concat(F.lit("("), F.array_join(F.transform(parts, rings), ", "), F.lit(")")))
