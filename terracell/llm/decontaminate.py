@@ -8,6 +8,7 @@ A test set over `BLOCK_CHARS` characters is taken in blocks, one scan after the
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +99,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     names = out.columns
     for i in range(blocks):
         rows = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i)
-        held = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows.collect()])
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r[0], r[1]) for r in rows.collect()]))
         first = i == 0
 
         def run(b: pa.RecordBatch, held=held, first=first) -> pa.RecordBatch:
@@ -123,15 +124,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     return out
 
 
-_MADE: dict[int, Windows] = {}
+_MADE: dict[tuple[str, int], Windows] = {}
 
 
 def _windows(held, n: int) -> Windows:
-    key = (held.id, n) if hasattr(held, "id") else (id(held), n)
-    if key not in _MADE:
+    """One set at a time for each worker process."""
+    name, items = held.value
+    if (name, n) not in _MADE:
         _MADE.clear()
-        _MADE[key] = Windows(held.value, n)
-    return _MADE[key]
+        _MADE[name, n] = Windows(items, n)
+    return _MADE[name, n]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove: str = "documents") -> DataFrame:
@@ -178,3 +180,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
     out = by_batch(found.select(F.col("doc_id").cast("long"), "_n_words", "_hit", "_items"), digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS w
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
+), ks AS (
+  SELECT DISTINCT k FROM bw
+), dw AS (
+  SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k)
+), h AS (
+  SELECT doc_id, item_id, i, k FROM dw JOIN bw USING (k, w)
+), n AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM h)) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

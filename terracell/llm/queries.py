@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracell.llm import quality
+from terracell.llm import decontaminate, neardup, quality
 from terracell.llm.decontaminate import op10_benchmark_decontamination
 from terracell.llm.langid import op7_language_id
 from terracell.llm.licenses import op3_license_scan
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op9_minhash_near_dedup": neardup.ORACLE, "op10_benchmark_decontamination": decontaminate.ORACLE}
