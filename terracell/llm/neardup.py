@@ -1,11 +1,12 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
 1. Each text gets its set of shingles, a key of the set, and a MinHash signature. Equal sets fall together by key.
-2. Bands of the signature put sets into buckets. Within a bucket sets are compared with leaders, not with each other.
-3. A pair's signatures are compared batch by batch; it is dropped where the posterior probability that its similarity
-   reaches the threshold falls under `MISS`. What survives is decided on the full sets.
-4. Links give components. Buckets that still hold several components get other leaders, round after round, while that
-   shrinks what is left; the rest is compared pair by pair across components, so no candidate of the bands is lost.
+2. Bands of the signature put sets into buckets. In a first round a bucket's sets are compared with its least one.
+3. Signatures (a byte of each value) are compared batch by batch; a pair is dropped where the posterior probability that its
+   similarity reaches the threshold falls under `MISS`. What survives is decided on the full sets.
+4. Links give components. Buckets that still hold several components are compared across components in blocks of bounded
+   size, inside of which only survivors become rows: at first, for each set, its best match in another component; in the
+   last round every survivor. So no candidate of the bands is lost, and pairs of one component are never made.
 
 A pair at the threshold misses all bands with probability (1 - 0.8^6)^40, about 5e-6.
 """
@@ -27,10 +28,12 @@ from terracell.llm.components import components
 BANDS, ROWS, BATCH = 40, 6, 40
 HASHES = BANDS * ROWS
 #: Probability at which a pair of the wanted similarity may be dropped in a batch.
-MISS = 1e-6
+MISS = 1e-4
 #: Ids or pairs that may be broadcast; beyond it the tables are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-ROUNDS = 6
+ROUNDS = 3
+#: Sets of a bucket in one block.
+BLOCK = 200
 _RNG = np.random.Generator(np.random.PCG64(20))
 _FACTORS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHINGLE = _RNG.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,12 +75,17 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(s)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Upper halves of the least products with each factor."""
+def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bands, and the middle byte of each MinHash value."""
     least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 256):
         np.minimum(least, np.multiply.outer(_FACTORS, s[i : i + 256]).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
+    mixed = _mix(least)
+    parts = mixed.reshape(BANDS, ROWS)
+    band = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(ROWS):
+        band = _mix(band * _SHINGLE[j] + parts[:, j])
+    return band.view(np.int64), (mixed >> np.uint64(24)).astype(np.uint8)
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
@@ -98,15 +106,32 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, key, sig = [], [], []
+        n, key, bands, sig = [], [], [], []
         for t in b.column(1):
             s = shingles(t.as_py(), k)
+            some = signature(s) if len(s) else None
             n.append(len(s))
-            key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sig.append(signature(s).tobytes() if len(s) else None)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["a", "b", "c", "d"])
+            key.append(some and hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            bands.append(some and some[0])
+            sig.append(some and some[1].tobytes())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=list("abcde"))
 
-    return by_batch(docs, run, "doc_id long, n long, key binary, sig binary")
+    return by_batch(docs, run, "doc_id long, n long, key binary, bands array<long>, sig binary")
+
+
+def _survivors(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, floor: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (x[i], y[j]) those whose signatures leave the threshold possible, and their matches."""
+    same = np.zeros(len(i), np.int64)
+    for k, m in enumerate(floor):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        same = same + (x[i, part] == y[j, part]).sum(axis=1)
+        fine = same >= m
+        i, j, same = i[fine], j[fine], same[fine]
+    return i, j, same
+
+
+def _sigs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -115,14 +140,9 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, HASHES) for i in (2, 3))
-            alive, same = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for i, m in enumerate(floor):
-                part = slice(i * BATCH, (i + 1) * BATCH)
-                same[alive] += (x[alive, part] == y[alive, part]).sum(axis=1)
-                alive = alive[same[alive] >= m]
-            if len(alive):
-                yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
+            every = np.arange(b.num_rows)
+            i, _, _ = _survivors(_sigs(b.column(2)), _sigs(b.column(3)), every, every, floor)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(i)) for c in (0, 1)], names=["a", "b"])
 
     sig = nodes.select("rep", "sig")
     both = pairs.join(sig.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b")
@@ -130,26 +150,94 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold. Texts are read again for the documents in `pairs` only."""
-    spark = pairs.sparkSession
-    need = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "need")
+def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Of (band, rep) the buckets that hold several components: with comp, the greatest component, and numbers of blocks."""
+    known = rows.select("band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
+    sums = known.groupBy("band", "comp").agg(F.count("*").alias("m"))
+    sums = sums.groupBy("band").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("big")).where(F.col("all") > F.col("big.m"))
+    sums = sums.select("band", F.col("big.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("p"), F.ceil((F.col("all") - F.col("big.m")) / BLOCK).cast("int").alias("q"))
+    return stored(known.join(sums, "band"), "open")
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t.as_py(), k).view(np.int64) for t in b.column(1)]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["a", "b"])
 
-    few = need.count() <= BROADCAST_ROWS
-    held = docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi")
-    sets = stored(by_batch(held, run, "doc_id long, s array<long>"), "sets", "none")
+def _across(here: DataFrame, sigs: DataFrame, threshold: float, percent: int, best: bool) -> DataFrame:
+    """Surviving pairs of open rows that share a bucket and not a component.
+
+    The bucket's greatest component is only dealt to blocks; the other rows are also sent to each block, so that every pair
+    across components meets in one. A block has about BLOCK rows of either kind. With `best`, of a row's survivors in
+    a block the one with the most matches.
+    """
+    floor = least_matches(threshold)
+    rows = here.join(sigs, "rep")
+    deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    held = rows.select("band", deal(F.col("p"), 1).alias("x"), F.explode(upto(F.col("q"))).alias("y"), F.lit(0).cast("tinyint").alias("role"), "rep", "n", "comp", "sig")
+    asked = rows.where("comp <> main").select("band", F.explode(upto(F.col("p"))).alias("x"), deal(F.col("q"), 2).alias("y"), F.lit(1).cast("tinyint").alias("role"), "rep", "n", "comp", "sig")
+    blocks = held.unionByName(asked)
+    parts = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+    def compare(role: np.ndarray, rep: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+        lo, hi = np.minimum.outer(n[a], n[b]), np.maximum.outer(n[a], n[b])
+        i, j = np.nonzero((comp[a][:, None] != comp[b][None, :]) & (lo * 100 >= hi * percent))
+        i, j, same = _survivors(sig, sig, a[i], b[j], floor)
+        if best and len(i):
+            order = np.lexsort((rep[j], -same, i))
+            i, j = i[order], j[order]
+            first = np.concatenate(([True], i[1:] != i[:-1]))
+            i, j = i[first], j[first]
+        return np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple | None = None
+
+        def split(rows: tuple, last: bool) -> tuple[list, tuple | None]:
+            block = rows[0]
+            edges = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1).tolist(), len(block)]
+            done = [compare(*(c[lo:hi] for c in rows[1:])) for lo, hi in zip(edges[: -1 if last else -2], edges[1:] if last else edges[1:-1])]
+            return done, None if last else tuple(c[edges[-2] :] for c in rows)
+
+        def batch(done: list) -> pa.RecordBatch:
+            a, b = (np.concatenate([d[i] for d in done]) if done else np.empty(0, np.int64) for i in (0, 1))
+            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            num = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            rows = (np.stack([v.astype(np.int64) for v in num[:3]], axis=1), *num[3:], _sigs(b.column(7)))
+            if kept is not None:
+                rows = tuple(np.concatenate([p, q]) for p, q in zip(kept, rows))
+            done, kept = split(rows, False)
+            yield batch(done)
+        if kept is not None:
+            yield batch(split(kept, True)[0])
+
+    arrow_rows(here.sparkSession, 4000)
+    return blocks.select("band", "x", "y", "role", "rep", "n", "comp", "sig").mapInArrow(run, "a long, b long")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
     few = pairs.count() <= BROADCAST_ROWS
-    one = sets.withColumnsRenamed({"doc_id": "a", "s": "x"}).join(F.broadcast(pairs) if few else pairs, "a")
-    two = one.join(sets.withColumnsRenamed({"doc_id": "b", "s": "y"}), "b")
+    small = lambda d: F.broadcast(d) if few else d
+    one = sets.withColumnsRenamed({"rep": "a", "s": "x"}).join(small(pairs), "a")
+    other = sets.join(small(pairs.select(F.col("b").alias("rep")).distinct()), "rep", "left_semi").withColumnsRenamed({"rep": "b", "s": "y"})
+    two = one.join(other, "b")
     common = two.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("i"))
-    out = stored(common.where(F.lit(100).cast("long") * F.col("i") >= F.lit(percent) * (F.col("p") + F.col("q") - F.col("i"))).select("a", "b").distinct(), "links")
-    remove(spark, sets.terracell_path)
-    remove(spark, need.terracell_path)
-    return out
+    return stored(common.where(F.lit(100).cast("long") * F.col("i") >= F.lit(percent) * (F.col("p") + F.col("q") - F.col("i"))).select("a", "b"), "links")
+
+
+def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """Sorted shingle hashes of the documents in `reps`."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["a", "b"])
+
+    few = reps.count() <= BROADCAST_ROWS
+    held = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(reps) if few else reps, docs.doc_id == reps.rep, "left_semi")
+    return stored(by_batch(held, run, "rep long, s array<long>"), "sets", "lz4")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -162,55 +250,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(_signed(docs, k), "signed")
-    nodes = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "nodes")
     base = stored(signed.select("doc_id", "n", "key"), "base")
     remove(spark, signed.terracell_path)
 
     live = nodes.where("rep IS NOT NULL")
-    band = [F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
-    banded = live.select("rep", "n", F.explode(F.array(*band)).alias("band"))
-    many = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
-    shared = stored(banded.join(many, "band", "left_semi"), "shared")
-    near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-    tested, links, comps, left = [], [], None, None
-    for turn in range(ROUNDS + 1):
-        here = shared
-        if comps is not None:
-            here = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            open_ = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-            here = stored(here.join(open_, "band", "left_semi"), "open")
-            sizes = here.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"))
-            row = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-            left, rows = row["pairs"] or 0, row["rows"] or 0
-            if not rows:
-                break
-        else:
-            here = here.withColumn("comp", F.col("rep"))
-        last = left is not None and (left <= 4 * rows or turn == ROUNDS)
-        if last:
-            x, y = (here.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp")]) for s in "ab")
-            pairs = x.join(y, "band").where(F.col("comp_a") < F.col("comp_b"))
-        else:
-            order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn), F.pmod("band", F.lit(4)))
-            lead = here.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))).alias("l")).select("band", "l.*")
-            pairs = here.withColumnsRenamed({c: f"{c}_a" for c in ("rep", "n", "comp")}).join(lead, "band").where(F.col("comp_a") != F.col("comp_b"))
-        pairs = pairs.where(near(F.col("n_a"), F.col("n_b"))).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
+    banded = live.select("rep", "n", F.explode("bands").alias("band"))
+    many = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    shared = stored(banded.join(many.select("band", F.col("lo").alias("lead")), "band"), "shared")
+    some = stored(shared.select("rep").distinct(), "some")
+    sets = _sets(docs, some, k)
+    sigs = stored(live.select("rep", "n", "sig").join(some, "rep", "left_semi"), "sigs")
+
+    lead = sigs.select(F.col("rep").alias("lead"), F.col("n").alias("n_lead")).distinct()
+    pairs = shared.where("rep <> lead").select("rep", "n", "lead").distinct().join(lead, "lead")
+    pairs = pairs.where(F.least("n", "n_lead") * 100 >= F.greatest("n", "n_lead") * percent)
+    pairs = stored(_likely(pairs.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), sigs, percent / 100), "pairs")
+    tested, links = pairs, _linked(pairs, sets, percent)
+    comps = components(links)
+    turn, here = 0, shared
+    while True:
+        turn += 1
+        here = _open(here, comps)
+        pairs = _across(here, sigs, percent / 100, percent, best=turn < ROUNDS).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        tested.append(pairs)
-        likely = stored(_likely(pairs, live, percent / 100), "likely")
-        links.append(_linked(likely, docs, k, percent))
-        new = not links[-1].isEmpty()
-        if new or comps is None:
-            edges = links[0]
-            for e in links[1:]:
-                edges = edges.union(e)
-            comps = components(edges)
-        if last:
+        empty = pairs.isEmpty()
+        new = None if empty else _linked(pairs, sets, percent)
+        if not empty:
+            tested = tested.union(pairs)
+        if new is not None and not new.isEmpty():
+            links = links.union(new)
+            comps = components(links)
+        if turn >= ROUNDS:
             break
+        if empty or new.isEmpty():
+            turn = ROUNDS - 1  # the best matches are not links: look at all that is left
 
     known = nodes.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     out = base.where("n > 0").join(known, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
@@ -222,3 +297,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, two-word shingles, similarity 0.8; see `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+#: Each set's shingles by frequency; sets that reach 0.8 share one of the first fifth (and one more) in that order.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), f AS MATERIALIZED (
+  SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS r
+  FROM (SELECT doc_id, g, count(*) OVER (PARTITION BY g) AS c FROM s) JOIN n USING (doc_id)
+), p AS MATERIALIZED (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE a.r <= a.n - (a.n * 4 + 4) // 5 + 1 AND b.r <= b.n - (b.n * 4 + 4) // 5 + 1 AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+), e AS MATERIALIZED (
+  SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b AND y.g = x.g JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
+  GROUP BY p.a, p.b, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), l AS MATERIALIZED (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
