@@ -107,8 +107,29 @@ def _exact(name: str) -> Callable:
     return F.pandas_udf(run, "boolean")
 
 
-def spatial(name: str, a: Column, b: Column, kinds: str = "simple") -> Column:
-    """The geometries' predicate alone; false, not null, of null values. Other pairs than the simple ones need kinds="any"."""
+def known_spatial(name: str, a: Column, b: Column, kinds: tuple[str, str]) -> Column:
+    """Of values that the caller vouches for: "point", "box" or "polygon" on either side. Short expressions, no tests of kind."""
+    if name in ("containedby", "coveredby"):
+        return known_spatial(FLIPPED[name], b, a, kinds[::-1])
+    if kinds == ("point", "point"):
+        return (a["xmin"] == b["xmin"]) & (a["ymin"] == b["ymin"])
+    if kinds == ("box", "box"):
+        return envelopes_meet(a, b) if name == "intersects" else envelope_covers(a, b)
+    if kinds == ("box", "point"):
+        inside = (b["xmin"] > a["xmin"]) & (b["xmin"] < a["xmax"]) & (b["ymin"] > a["ymin"]) & (b["ymin"] < a["ymax"])
+        return inside if name == "contains" else envelopes_meet(a, b)
+    if kinds == ("polygon", "point"):
+        return envelopes_meet(a, b) & (point_in_polygon(b, a) >= (1 if name == "contains" else 0))
+    if kinds in (("point", "box"), ("point", "polygon")):
+        return known_spatial(name, b, a, kinds[::-1]) if name == "intersects" else F.lit(False)
+    raise ValueError(f"no short form for {kinds}")
+
+
+def spatial(name: str, a: Column, b: Column, kinds: str | tuple[str, str] = "simple") -> Column:
+    """The geometries' predicate alone; false, not null, of null values. Other pairs than the simple ones need kinds="any".
+    A pair of kinds, such as ("point", "box"), says what the values are and gives a shorter expression."""
+    if isinstance(kinds, tuple):
+        return F.coalesce(known_spatial(name, a, b, kinds), F.lit(False))
     if kinds == "any":
         pick = lambda g: F.struct(g["gtype"].alias("gtype"), g["parts"].alias("parts"))
         test = _exact(name)(pick(a), pick(b))
@@ -123,27 +144,27 @@ def time_rule(name: str, a: Column, b: Column) -> Column:
     return none | TIMES[name](a, b)
 
 
-def predicate(name: str, a: Column, b: Column, kinds: str = "simple") -> Column:
+def predicate(name: str, a: Column, b: Column, kinds: str | tuple[str, str] = "simple") -> Column:
     return spatial(name, a, b, kinds) & time_rule(name, a, b)
 
 
-def st_intersects(a: Column, b: Column, kinds: str = "simple") -> Column:
+def st_intersects(a: Column, b: Column, kinds: str | tuple[str, str] = "simple") -> Column:
     return predicate("intersects", a, b, kinds)
 
 
-def st_contains(a: Column, b: Column, kinds: str = "simple") -> Column:
+def st_contains(a: Column, b: Column, kinds: str | tuple[str, str] = "simple") -> Column:
     return predicate("contains", a, b, kinds)
 
 
-def st_containedby(a: Column, b: Column, kinds: str = "simple") -> Column:
+def st_containedby(a: Column, b: Column, kinds: str | tuple[str, str] = "simple") -> Column:
     return predicate("containedby", a, b, kinds)
 
 
-def st_covers(a: Column, b: Column, kinds: str = "simple") -> Column:
+def st_covers(a: Column, b: Column, kinds: str | tuple[str, str] = "simple") -> Column:
     return predicate("covers", a, b, kinds)
 
 
-def st_coveredby(a: Column, b: Column, kinds: str = "simple") -> Column:
+def st_coveredby(a: Column, b: Column, kinds: str | tuple[str, str] = "simple") -> Column:
     return predicate("coveredby", a, b, kinds)
 
 

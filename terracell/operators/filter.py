@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terracell.functions import distance, predicates
 
 
-def st_filter(df: DataFrame, query: Column, name: str = "intersects", st: str = "st", kinds: str = "simple") -> DataFrame:
+def st_filter(df: DataFrame, query: Column, name: str = "intersects", st: str = "st", kinds: str | tuple[str, str] = "simple") -> DataFrame:
     """Rows whose value stands in the predicate `name` to `query` (row first: "contains" keeps rows that contain it)."""
     col = F.col(st)
     near = df.where(predicates.envelope_test(name, col, query))

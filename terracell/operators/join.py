@@ -84,7 +84,7 @@ def cell_join(left: DataFrame, right: DataFrame, condition: Callable[[Column, Co
     raise ValueError(f"how is {how!r}")
 
 
-def st_join(left: DataFrame, right: DataFrame, name: str = "intersects", how: str = "inner", left_st: str = "st", right_st: str = "st", kinds: str = "simple", side: float | None = None) -> DataFrame:
+def st_join(left: DataFrame, right: DataFrame, name: str = "intersects", how: str = "inner", left_st: str = "st", right_st: str = "st", kinds: str | tuple[str, str] = "simple", side: float | None = None) -> DataFrame:
     """Join by a predicate, the left value first. See `cell_join`."""
     return cell_join(left, right, lambda a, b: predicates.predicate(name, a, b, kinds), how, left_st, right_st, side)
 
@@ -94,7 +94,7 @@ def distance_join(left: DataFrame, right: DataFrame, most: float, how: str = "in
     return cell_join(left, right, lambda a, b: metric(a, b) <= F.lit(float(most)), how, left_st, right_st, side, float(most))
 
 
-def broadcast_join(left: DataFrame, right: DataFrame, name: str = "intersects", left_st: str = "st", right_st: str = "st", kinds: str = "simple", side: float | None = None) -> DataFrame:
+def broadcast_join(left: DataFrame, right: DataFrame, name: str = "intersects", left_st: str = "st", right_st: str = "st", kinds: str | tuple[str, str] = "simple", side: float | None = None) -> DataFrame:
     """As `st_join`, with the right side sent to every task if it has BROADCAST_ROWS rows at most; else joined by shuffle."""
     small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return st_join(left, F.broadcast(right) if small else right, name, "inner", left_st, right_st, kinds, side)

@@ -57,22 +57,22 @@ _INSIDE = f"""ed(ax, ay, fx, fy) AS (VALUES {_edges_sql(POLY)}, {_edges_sql(HOLE
 
 @query("SELECT id, x, y, t FROM ev WHERE x BETWEEN 100 AND 200 AND y BETWEEN 30 AND 60", "ev")
 def f_intersects_rect(spark, sf):
-    return filter.st_filter(ev_places(spark, sf), st_box(*BOX), "intersects").select("id", "x", "y", "t")
+    return filter.st_filter(ev_places(spark, sf), st_box(*BOX), "intersects", kinds=("point", "box")).select("id", "x", "y", "t")
 
 
 @query("SELECT gid FROM gb WHERE 125.0 > x0 AND 125.0 < x1 AND 37.5 > y0 AND 37.5 < y1", "gb")
 def f_contains_point_poly(spark, sf):
-    return filter.st_filter(grid_boxes(spark, sf), st_point(125.0, 37.5), "contains").select("gid")
+    return filter.st_filter(grid_boxes(spark, sf), st_point(125.0, 37.5), "contains", kinds=("box", "point")).select("gid")
 
 
 @query("+" + _INSIDE + "SELECT id FROM loc WHERE odd AND NOT onb", "ev")
 def f_containedby_poly(spark, sf):
-    return filter.st_filter(ev_places(spark, sf), st_polygon(POLY, [HOLE]), "containedby").select("id")
+    return filter.st_filter(ev_places(spark, sf), st_polygon(POLY, [HOLE]), "containedby", kinds=("point", "polygon")).select("id")
 
 
 @query("+" + _INSIDE + "SELECT id FROM loc WHERE odd OR onb", "ev")
 def f_intersects_poly(spark, sf):
-    return filter.st_filter(ev_places(spark, sf), st_polygon(POLY, [HOLE]), "intersects").select("id")
+    return filter.st_filter(ev_places(spark, sf), st_polygon(POLY, [HOLE]), "intersects", kinds=("point", "polygon")).select("id")
 
 
 @query("SELECT gid FROM gb WHERE 150.0 BETWEEN x0 AND x1 AND 45.0 BETWEEN y0 AND y1", "gb")
@@ -82,7 +82,7 @@ def f_covers_boundary(spark, sf):
 
 @query("SELECT gid FROM gb WHERE x0 >= 100 AND x1 <= 300 AND y0 >= 30 AND y1 <= 90", "gb")
 def f_coveredby_boundary(spark, sf):
-    return filter.st_filter(grid_boxes(spark, sf), st_box(100, 30, 300, 90), "coveredby").select("gid")
+    return filter.st_filter(grid_boxes(spark, sf), st_box(100, 30, 300, 90), "coveredby", kinds=("box", "box")).select("gid")
 
 
 @query("SELECT id, round(sqrt((x - 250) * (x - 250) + (y - 75) * (y - 75)), 6) AS dist FROM ev WHERE sqrt((x - 250) * (x - 250) + (y - 75) * (y - 75)) <= 20", "ev")
@@ -94,24 +94,24 @@ def f_within_distance(spark, sf):
 
 @query(f"SELECT id, x, y, t FROM ev WHERE x BETWEEN 100 AND 200 AND y BETWEEN 30 AND 60 AND t BETWEEN {T0} AND {T1}", "ev")
 def f_st_intersects_interval(spark, sf):
-    return filter.st_filter(ev_points(spark, sf), st_box(*BOX, start=T0, end=T1), "intersects").select("id", "x", "y", "t")
+    return filter.st_filter(ev_points(spark, sf), st_box(*BOX, start=T0, end=T1), "intersects", kinds=("point", "box")).select("id", "x", "y", "t")
 
 
 @query("SELECT id FROM evu WHERE x BETWEEN 100 AND 200 AND y BETWEEN 30 AND 60 AND t IS NULL", "evu")
 def f_st_one_sided_time(spark, sf):
     """A query without a time takes only values without one."""
-    return filter.st_filter(ev_untimed(spark, sf), st_box(*BOX), "intersects").select("id")
+    return filter.st_filter(ev_untimed(spark, sf), st_box(*BOX), "intersects", kinds=("point", "box")).select("id")
 
 
 @query(f"SELECT id FROM ev WHERE x BETWEEN 100 AND 200 AND y BETWEEN 30 AND 60 AND t >= {T1}", "ev")
 def f_open_interval(spark, sf):
-    return filter.st_filter(ev_points(spark, sf), st_box(*BOX, start=T1), "intersects").select("id")
+    return filter.st_filter(ev_points(spark, sf), st_box(*BOX, start=T1), "intersects", kinds=("point", "box")).select("id")
 
 
 @query(f"SELECT id FROM ev WHERE x > 100 AND x < 200 AND y > 30 AND y < 60 AND t BETWEEN {T0} AND {T1}", "ev")
 def f_chained(spark, sf):
-    near = filter.st_filter(ev_points(spark, sf), st_box(*BOX, start=T0, end=T1), "intersects")
-    return filter.st_filter(near, st_box(*BOX, start=T0, end=T1), "containedby").select("id")
+    near = filter.st_filter(ev_points(spark, sf), st_box(*BOX, start=T0, end=T1), "intersects", kinds=("point", "box"))
+    return filter.st_filter(near, st_box(*BOX, start=T0, end=T1), "containedby", kinds=("point", "box")).select("id")
 
 
 @query("SELECT gid FROM gb WHERE x0 <= 260 AND x1 >= 90 AND y0 <= 100 AND y1 >= 20 AND NOT (x0 > 260 OR y0 > 100) AND ((x0 + y0 <= 300) AND (x1 + y1 >= 110)) AND x0 < 260", "gb")
@@ -227,17 +227,17 @@ def k_knn_join(spark, sf):
 
 @query("SELECT id, gid FROM ev, gb WHERE x > x0 AND x < x1 AND y > y0 AND y < y1", "ev", "gb")
 def j_points_in_boxes(spark, sf):
-    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).select("gid", "st"), "containedby").select("id", "gid")
+    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).select("gid", "st"), "containedby", kinds=("point", "box")).select("id", "gid")
 
 
 @query("SELECT bid, gid FROM ub, gb WHERE ub.x0 <= gb.x1 AND ub.x1 >= gb.x0 AND ub.y0 <= gb.y1 AND ub.y1 >= gb.y0", "ub", "gb")
 def j_box_box_intersects(spark, sf):
-    return join.st_join(user_boxes(spark, sf).select("bid", "st"), grid_boxes(spark, sf).select("gid", "st")).select("bid", "gid")
+    return join.st_join(user_boxes(spark, sf).select("bid", "st"), grid_boxes(spark, sf).select("gid", "st"), kinds=("box", "box")).select("bid", "gid")
 
 
 @query("SELECT gid, id FROM ev, gb WHERE x > x0 AND x < x1 AND y > y0 AND y < y1", "ev", "gb")
 def j_contains(spark, sf):
-    return join.st_join(grid_boxes(spark, sf).select("gid", "st"), ev_places(spark, sf).select("id", "st"), "contains").select("gid", "id")
+    return join.st_join(grid_boxes(spark, sf).select("gid", "st"), ev_places(spark, sf).select("id", "st"), "contains", kinds=("box", "point")).select("gid", "id")
 
 
 @query("SELECT a.id AS a, b.id AS b FROM cu a, cu b WHERE a.id < b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 5", "cu")
@@ -249,12 +249,12 @@ def j_within_distance_self(spark, sf):
 
 @query("SELECT id, gid FROM ev, gb WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1", "ev", "gb")
 def j_broadcast(spark, sf):
-    return join.broadcast_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).select("gid", "st")).select("id", "gid")
+    return join.broadcast_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).select("gid", "st"), kinds=("point", "box")).select("id", "gid")
 
 
 @query("SELECT DISTINCT event_type, gid FROM ev, gb WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1", "ev", "gb")
 def j_zip_distinct(spark, sf):
-    return join.zip_join(ev_places(spark, sf).select("event_type", "st"), grid_boxes(spark, sf).select("gid", "st"), "intersects", ["event_type", "gid"])
+    return join.zip_join(ev_places(spark, sf).select("event_type", "st"), grid_boxes(spark, sf).select("gid", "st"), "intersects", ["event_type", "gid"], kinds=("point", "box"))
 
 
 @query("SELECT a.id AS id, b.id AS r_id FROM oi a, oi b WHERE a.id % 10 = 1 AND b.id % 10 = 2 AND (b.e IS NULL OR a.s <= b.e) AND (a.e IS NULL OR b.s <= a.e)", "oi")
@@ -267,7 +267,7 @@ def j_interval(spark, sf):
 def j_spatiotemporal(spark, sf):
     start = F.col("gid") * 86400 + 1704067200
     g = grid_boxes(spark, sf).withColumn("st", with_time(F.col("st"), start=start, end=start + 5 * 86400)).select("gid", "st")
-    return join.st_join(ev_points(spark, sf).select("id", "st"), g).select("id", "gid")
+    return join.st_join(ev_points(spark, sf).select("id", "st"), g, kinds=("point", "box")).select("id", "gid")
 
 
 _SMALL = "gid % 7 = 3 AND "
@@ -275,17 +275,17 @@ _SMALL = "gid % 7 = 3 AND "
 
 @query(f"SELECT id, gid FROM ev LEFT JOIN gb ON {_SMALL} x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1", "ev", "gb")
 def j_left_outer(spark, sf):
-    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), how="left").select("id", "gid")
+    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), how="left", kinds=("point", "box")).select("id", "gid")
 
 
 @query(f"SELECT id FROM ev WHERE EXISTS (SELECT 1 FROM gb WHERE {_SMALL} x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)", "ev", "gb")
 def j_semi(spark, sf):
-    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), how="left_semi").select("id")
+    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), how="left_semi", kinds=("point", "box")).select("id")
 
 
 @query(f"SELECT id FROM ev WHERE NOT EXISTS (SELECT 1 FROM gb WHERE {_SMALL} x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)", "ev", "gb")
 def j_anti(spark, sf):
-    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), how="left_anti").select("id")
+    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), how="left_anti", kinds=("point", "box")).select("id")
 
 
 @query("SELECT a.gid, b.gid AS r_gid FROM gb a, gb b WHERE a.x0 < b.x0 AND a.y0 = b.y0", "gb")
@@ -574,7 +574,7 @@ def _folder(spark: SparkSession) -> str:
 def io_pruned_scan(spark, sf):
     path = _folder(spark)
     partitioned.write(cells.grid_cells(ev_points(spark, sf), _grid(), points=True), path)
-    return partitioned.read(spark, path, st_box(*BOX, start=T0, end=T1)).select("id", "x", "y")
+    return partitioned.read(spark, path, st_box(*BOX, start=T0, end=T1), kinds=("point", "box")).select("id", "x", "y")
 
 
 @query("SELECT id, round(x, 6) AS x, round(y, 6) AS y, t FROM ev", "ev")
@@ -597,7 +597,7 @@ def io_join(spark, sf):
     a, b = _folder(spark), _folder(spark)
     partitioned.write(cells.grid_cells(ev_places(spark, sf).select("id", "st"), _grid(), points=True), a)
     partitioned.write(cells.grid_cells(grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), _grid()), b)
-    return partitioned.join(spark, a, b, "containedby").select("id", "gid")
+    return partitioned.join(spark, a, b, "containedby", kinds=("point", "box")).select("id", "gid")
 
 
 @query("SELECT tx, ty, list_sum(v) AS total FROM tl", "tl")

@@ -44,7 +44,7 @@ def cells_to_load(spark: SparkSession, path: str, query: Column, cell: str = "ce
     return near.where(F.when(query["t_kind"].isNull(), F.col("untimed") > 0).otherwise(F.coalesce(timed, F.lit(False)))).select(cell)
 
 
-def read(spark: SparkSession, path: str, query: Column | None = None, name: str = "intersects", cell: str = "cell", st: str = "st", kinds: str = "simple") -> DataFrame:
+def read(spark: SparkSession, path: str, query: Column | None = None, name: str = "intersects", cell: str = "cell", st: str = "st", kinds: str | tuple[str, str] = "simple") -> DataFrame:
     """All rows, or those that stand in the predicate to the query, from the cells that can hold any."""
     rows = spark.read.parquet(f"{path}/data")
     if query is None:
@@ -76,7 +76,7 @@ def knn(spark: SparkSession, path: str, x: float, y: float, k: int, cell: str =
     return rows.where(F.col(cell).isin([r[0] for r in near if r["d"] <= bound])).where(F.col("dist") <= bound).orderBy("dist", key).limit(k)
 
 
-def join(spark: SparkSession, left: str, right: str, name: str = "intersects", query: Column | None = None, cell: str = "cell", st: str = "st", kinds: str = "simple") -> DataFrame:
+def join(spark: SparkSession, left: str, right: str, name: str = "intersects", query: Column | None = None, cell: str = "cell", st: str = "st", kinds: str | tuple[str, str] = "simple") -> DataFrame:
     """Join of two stored tables: only cells whose extents meet one of the other side's are read."""
     a, b = info(spark, left), info(spark, right)
     r = b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns])
