@@ -134,3 +134,16 @@ def test_image_tiles(spark, tmp_path):
     assert (t["ulx"], t["uly"], t["values"]) == (2.0, 2.0, [1.0, 2.0, 3.0, 4.0])
     pixels = rasters.image_pixels(rasters.read_image_tiles(spark, str(tmp_path)), 2, 2)
     assert rasters.image(pixels, 2, 2).startswith(b"\x89PNG")
+
+
+def test_strategies_change_no_result(spark, tmp_path):
+    from terracell.operators import strategies as s
+    from terracell.operators.filter import st_filter
+
+    df = spark.range(300).select("id", st_point(F.col("id") % 20, F.floor(F.col("id") / 20), instant=F.col("id")).alias("st"))
+    box = st_box(2, 2, 9, 9, start=0, end=250)
+    want = sorted(r["id"] for r in st_filter(df, box).collect())
+    for strategy in (s.GridStrategy(3, True), s.BspStrategy(2.0, 40, True), s.TileStrategy(2, 3), s.TimeStrategy(4), s.TimeStrategy(4, True), s.SpaceTimeStrategy(2, 3, True), s.AngularStrategy(4), s.NoStrategy()):
+        assert sorted(r["id"] for r in st_filter(s.live_index(df, strategy), box).collect()) == want
+    s.index(df, str(tmp_path / "i"), s.GridStrategy(3, True))
+    assert sorted(r["id"] for r in s.items(partitioned.read(spark, str(tmp_path / "i"), box)).collect()) == want
