@@ -17,8 +17,11 @@ BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of Latin letters only, which every Unicode version classes alike.
 LATIN = regex.compile(r"[\n\x20-\x7e¡-¬®-ɏ]+")
-#: Entries of a generation of a memo; two generations are kept.
-MEMO = 300_000
+#: Line ends beside other blanks, which may be one token with them.
+LOOSE_LINE = regex.compile(r"\s\n|\n\s|\n\Z")
+MARKS = frozenset(".,;:!?")
+#: Entries of a generation of a memo of parts, and of one of pre-tokens; two generations are kept.
+PARTS, TOKENS = 600_000, 150_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,12 +34,12 @@ def _byte_letters() -> dict[int, str]:
 class Memo(dict):
     """A function of strings with its last results."""
 
-    def __init__(self, f) -> None:
+    def __init__(self, f, most: int) -> None:
         super().__init__()
-        self.f, self.old = f, {}
+        self.f, self.most, self.old = f, most, {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         found = self.old.get(part)
@@ -54,7 +57,7 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         self.full.no_truncation()
         self.full.no_padding()
-        self.bare = Tokenizer(self.full.model)
+        self.bare = self.full.model.tokenize
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         pre, norm = rules.get("pre_tokenizer") or {}, rules.get("normalizer")
@@ -65,8 +68,9 @@ class Encoder:
         elif pre.get("type") == "Sequence" and norm and "Lowercase" in str(norm) and "'behavior': 'Removed'" in str(pre) and rules["model"].get("end_of_word_suffix"):
             self.kind = "word"
         self.letters = _byte_letters()
-        self.token = Memo(self._token)
-        self.part = Memo(self._word_part if self.kind == "word" else self._byte_part)
+        self.token = Memo(self._token, TOKENS)
+        self.part = Memo(self._word_part if self.kind == "word" else self._byte_part, PARTS)
+        self.first = Memo(self._first, TOKENS)
 
     def _whole(self, text: str) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids) if (ids := self.full.encode(text, add_special_tokens=False).ids) else b""
@@ -74,7 +78,7 @@ class Encoder:
     def _token(self, token: str) -> bytes:
         """Of one pre-token."""
         shown = token if token.isascii() and token.isprintable() and token[0] != " " else token.encode().decode("latin-1").translate(self.letters)
-        ids = self.bare.encode(shown, add_special_tokens=False).ids
+        ids = [t.id for t in self.bare(shown)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word_part(self, part: str) -> bytes:
@@ -82,14 +86,33 @@ class Encoder:
             return b""
         if not LATIN.fullmatch(part):
             return self._whole(part)
-        return b"".join([self.token[x] for x in WORD_PATTERN.findall(part.lower())])
+        low = part.lower()
+        if low[-1] in MARKS and low[:-1].isalpha():
+            return self.part[part[:-1]] + self.token[part[-1]]
+        return self._token(low) if low.isalpha() else b"".join([self.token[x] for x in WORD_PATTERN.findall(low)])
+
+    def _first(self, part: str) -> bytes:
+        """Of a part with nothing or a line end before it."""
+        if not part:
+            return b""
+        if not LATIN.fullmatch(part):
+            return self._whole(part)
+        return b"".join([self.token[x] for x in BYTE_PATTERN.findall(part)])
 
     def _byte_part(self, part: str) -> bytes:
         """Of a part and the blank before it."""
+        if part.isalpha():
+            return self._token(" " + part)
+        if part and part[-1] in MARKS and part[:-1].isalpha():
+            return self.part[part[:-1]] + self.token[part[-1]]
         if not LATIN.fullmatch(part):
             return self._whole(" " + part)
         return b"".join([self.token[x] for x in BYTE_PATTERN.findall(" " + part)])
 
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return self.first[first] + b"".join(map(self.part.__getitem__, rest))
+
     def encode(self, text: str) -> bytes:
         if self.kind == "whole" or any(s in text for s in self.special):
             return self._whole(text)
@@ -97,8 +120,9 @@ class Encoder:
             return b"".join(map(self.part.__getitem__, text.replace("\n", " ").split(" ")))
         if "  " in text:  # a run of blanks may be one token
             return self._whole(text)
-        first, *rest = text.split(" ")
-        return (self._whole(first) if first else b"") + b"".join(map(self.part.__getitem__, rest))
+        if LOOSE_LINE.search(text):
+            return self._line(text)
+        return self.token["\n"].join(map(self._line, text.split("\n")))
 
 
 _ENCODERS: dict[str, Encoder] = {}
