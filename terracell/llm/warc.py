@@ -105,8 +105,11 @@ def arc_blocks(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "content binary")
 
 
-def records(archives: DataFrame) -> DataFrame:
-    """(page_id, url, date, kind, digest, bytes, payload, id) of the records of ARC archives in a binary column `content`."""
+def records(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """(page_id, url, date, kind, digest, bytes, payload, id) of the records of ARC archives in a binary column `content`.
+
+    Without `payloads` that column is null, for a pass that only needs the digests.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("page_id", "url", "date", "kind", "digest", "bytes", "payload", "id")
@@ -117,7 +120,7 @@ def records(archives: DataFrame) -> DataFrame:
                 for f, body in parse(content.as_py()):
                     d, name = sha1(body), f.get("Filename", "-")
                     page = int(name) if name.lstrip("-").isdigit() else None
-                    rows.append((page, f["URL"], timestamp(f["Archive-date"]), f["Content-type"], d, len(body), body.decode("utf-8", "replace"), record_id(f["URL"], f["Archive-date"], d, name)))
+                    rows.append((page, f["URL"], timestamp(f["Archive-date"]), f["Content-type"], d, len(body), body.decode("utf-8", "replace") if payloads else None, record_id(f["URL"], f["Archive-date"], d, name)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names=names)
 
     archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
@@ -133,9 +136,9 @@ def revisits(rows: DataFrame) -> DataFrame:
     return again.dropDuplicates(["page_id", "digest"])
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Writes records as WARC archives under `path`."""
-    again = stored(revisits(rows), "revisits")
+def write(rows: DataFrame, path: str, keys: DataFrame | None = None) -> None:
+    """Writes records as WARC archives under `path`. keys: the same records, perhaps without payloads, to find revisits by."""
+    again = stored(revisits(rows if keys is None else keys), "revisits")
     few = again.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(again) if few else again, ["page_id", "digest"], "left")
     old = F.col("first_id").isNotNull()
@@ -200,5 +203,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as ARC archives, converted to WARC archives, and read back."""
     path = scratch(spark, "warc")
-    write(records(arc_blocks(table(spark, sf_dir, "pages"))), path)
+    blocks = arc_blocks(table(spark, sf_dir, "pages"))
+    write(records(blocks), path, records(blocks, payloads=False))
     return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date", "record_id")
