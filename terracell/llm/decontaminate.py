@@ -88,6 +88,8 @@ class Windows:
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Adds `_n_words`, `_hit` (a byte for each word, 1 inside a window) and `_items` (item ids) to documents with a text.
 
+    Without a hit `_hit` is empty, in however many blocks the items are taken.
+
     Null texts and items have no words. A null item_id counts as no item, its windows still hit. Repeated items count once.
     """
     spark = docs.sparkSession
@@ -110,10 +112,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
                 hit, items = windows.scan(words)
                 items.discard(None)
                 if not first:
-                    hit = hit | np.frombuffer(b.column(len(names) + 1)[j].as_py(), np.uint8).astype(bool)
+                    before = np.frombuffer(b.column(len(names) + 1)[j].as_py(), np.uint8).astype(bool)
+                    hit = hit | before if len(before) else hit
                     items |= set(b.column(len(names) + 2)[j].as_py())
                 count.append(len(words))
-                hits.append(hit.astype(np.uint8).tobytes() if hit.any() or blocks > 1 else b"")
+                hits.append(hit.astype(np.uint8).tobytes() if hit.any() else b"")
                 ids.append(sorted(items))
             made = [pa.array(count, pa.int64()), pa.array(hits, pa.binary()), pa.array(ids, pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*b.columns[: len(names)], *made], names=[*names, "_n_words", "_hit", "_items"])

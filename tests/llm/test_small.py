@@ -263,3 +263,12 @@ def test_decontamination(spark, docs, monkeypatch):
     spans = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, items, remove="spans").collect()}
     assert "one two three" not in spans[1] and "four" in spans[1] and spans[7] == TEXTS[-1][1] and spans[2] is None
     assert decontaminate.scan(docs, items.limit(0)).count() == len(TEXTS)
+
+
+def test_decontamination_in_blocks_keeps_clean_documents(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, "one two three"), (2, "words of no document"), (3, "other words of no document")], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 20)
+    kept = [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()]
+    assert sorted(kept) == [2, 3, 4, 4, 5, 6, 7]
+    spans = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, items, remove="spans").collect()}
+    assert "one two three" not in spans[1] and "four" in spans[1] and spans[5] == LONG
