@@ -4,6 +4,7 @@ import base64
 import collections
 import datetime
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -272,3 +273,13 @@ def test_decontamination_in_blocks_keeps_clean_documents(spark, docs, monkeypatc
     assert sorted(kept) == [2, 3, 4, 4, 5, 6, 7]
     spans = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, items, remove="spans").collect()}
     assert "one two three" not in spans[1] and "four" in spans[1] and spans[5] == LONG
+
+
+def test_pruning_loses_few_pairs_at_the_threshold():
+    rate, live, lost = 0.8 + 0.2 / 256, np.ones(1), 0.0
+    batch = np.array([math.comb(neardup.BATCH, m) * rate**m * (1 - rate) ** (neardup.BATCH - m) for m in range(neardup.BATCH + 1)])
+    for floor in neardup.least_matches(0.8):
+        live = np.convolve(live, batch)
+        lost += live[:floor].sum()
+        live[:floor] = 0
+    assert lost < 1e-5
