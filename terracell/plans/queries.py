@@ -263,6 +263,13 @@ def j_interval(spark, sf):
     return join.interval_join(o.where("id % 10 = 1"), o.where("id % 10 = 2")).select("id", "r_id")
 
 
+@query()
+def j_interval_all(spark, sf):
+    """Every pair of orders whose intervals meet, once. SQL would compare each order with each, so a test does on small tables."""
+    o = ord_intervals(spark, sf).select("id", "st")
+    return join.interval_join(o, o).where("id < r_id").select("id", "r_id")
+
+
 @query("SELECT id, gid FROM ev, gb WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND t BETWEEN 1704067200 + gid * 86400 AND 1704067200 + (gid + 5) * 86400", "ev", "gb")
 def j_spatiotemporal(spark, sf):
     start = F.col("gid") * 86400 + 1704067200

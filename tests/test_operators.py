@@ -147,3 +147,13 @@ def test_strategies_change_no_result(spark, tmp_path):
         assert sorted(r["id"] for r in st_filter(s.live_index(df, strategy), box).collect()) == want
     s.index(df, str(tmp_path / "i"), s.GridStrategy(3, True))
     assert sorted(r["id"] for r in s.items(partitioned.read(spark, str(tmp_path / "i"), box)).collect()) == want
+
+
+def test_interval_join_of_all_orders(spark, sf):
+    from terracell.plans.fixtures import ord_intervals
+    from terracell.plans.queries import QUERIES
+
+    rows = [tuple(r) for r in ord_intervals(spark, sf).select("id", "s", "e").collect()]
+    want = {(i, j) for i, s, e in rows for j, t, f in rows if i < j and (f is None or s <= f) and (e is None or t <= e)}
+    got = [tuple(r) for r in QUERIES["j_interval_all"](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
