@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import scratch, table
+from terracell.llm.common import SPACE_WORD, scratch, stored, table
 from terracell.llm.decontaminate import decontaminate
 from terracell.llm.neardup import near_duplicates
 from terracell.llm.packing import TOKENIZER, pack, pieces
@@ -24,9 +24,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least doc_id stays."""
-    gone = near_duplicates(docs, k=5).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the row with the least doc_id stays, nulls last.
+
+    Each row is judged by itself, also where doc_ids repeat. Rows without a word stay, of those alike in all columns one.
+    """
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row = f"_{row}"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    blank = ~F.coalesce("text", F.lit("")).rlike(SPACE_WORD)
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), F.when(blank, F.to_json(F.struct(*docs.columns))).alias("same"))
+    judged = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), k=5).withColumnRenamed("doc_id", "row").join(ids, "row")
+    judged = stored(judged.select("row", "id", F.coalesce("same", F.col("component_id").cast("string")).alias("group")), "judged")
+    first = judged.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("n"))
+    first = first.where("n > 1").select("group", F.col("first.row").alias("stays"))
+    gone = judged.join(first, "group").where("row <> stays").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,3 +283,14 @@ def test_pruning_loses_few_pairs_at_the_threshold():
         lost += live[:floor].sum()
         live[:floor] = 0
     assert lost < 1e-5
+
+
+def test_pipeline_near_dedup_judges_rows(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, d), (None, d), (8, ""), (8, ""), (9, ""), (9, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _row string")
+    out = corpus_pipeline.near_dedup(spark, df, "")
+    assert out.columns == df.columns
+    assert by(out, "doc_id", "text") == collections.Counter([(3, a), (5, b), (7, c), (None, d), (8, ""), (9, ""), (9, None)])
