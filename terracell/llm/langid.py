@@ -95,7 +95,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """From at most `sample` rows of (doc_id, text, lang) that are not held out; null texts, languages and ids teach nothing."""
     some = docs.where(~held_out(docs) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so few may be broadcast
-    some = some.join(F.broadcast(ids.distinct()), "doc_id").select("text", "lang")
+    # ids that repeat bring more rows than ids; the cut is by hash, so that it falls on all languages
+    some = some.join(F.broadcast(ids.distinct()), "doc_id").orderBy(F.xxhash64("doc_id", "text", "lang"), "doc_id", "text", "lang").limit(sample).select("text", "lang")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, n, lang = [], [], []
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 lang.append(g)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.binary()), pa.array(lang, pa.string())], names=["a", "b", "c"])
 
-    rows = sorted((r["lang"], bytes(r["i"]), bytes(r["n"])) for r in by_batch(some, run, "i binary, n binary, lang string").collect())[: 2 * sample]
+    rows = sorted((r["lang"], bytes(r["i"]), bytes(r["n"])) for r in by_batch(some, run, "i binary, n binary, lang string").collect())
     if not rows:
         return Model(np.ones(DIMS), np.zeros((0, DIMS)), [], np.zeros(0))
     x = np.zeros((len(rows), DIMS), np.float32)

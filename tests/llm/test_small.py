@@ -294,3 +294,10 @@ def test_pipeline_near_dedup_judges_rows(spark):
     out = corpus_pipeline.near_dedup(spark, df, "")
     assert out.columns == df.columns
     assert by(out, "doc_id", "text") == collections.Counter([(3, a), (5, b), (7, c), (None, d), (8, ""), (9, ""), (9, None)])
+
+
+def test_languages_of_a_repeated_id(spark):
+    one = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(one, f"{g}{w} {w}{g} {g * 3} {i}", g) for i in range(100) for g, w in (("aa", "lo"), ("bb", "mi"), ("cc", "nu"))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50)
+    assert set(model.languages) == {"aa", "bb", "cc"}
