@@ -73,9 +73,11 @@ def spans(docs: DataFrame, base: dict[str, str] | None = None, templates: tuple[
     order = W.partitionBy("_row", "t").orderBy("diagonal")
     apart = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True))
     merged = diagonals.withColumn("_new", apart.cast("int")).withColumn("_span", F.sum("_new").over(order))
-    merged = merged.groupBy("_row", "doc_id", "n_words", "t", "label", "exact", "windows", "_span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("seen"), F.min("lo").alias("first_word"), F.max("hi").alias("last_word"))
+    merged = merged.groupBy("_row", "doc_id", "n_words", "t", "label", "exact", "windows", "_span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("seen"), F.max(F.size("ats")).alias("most"), F.min("lo").alias("first_word"), F.max("hi").alias("last_word"))
     score = F.when(F.col("windows") > 0, F.col("seen") / F.col("windows")).otherwise(0.0)
-    fine = F.col("label").isNull() | F.when(F.col("exact"), score == 1).otherwise((score >= COVER) & (F.col("last_word") - F.col("first_word") < 2 * F.col("windows")))
+    # repeats of a short template merge to a wide span; one diagonal with enough windows is a place by itself
+    near = (F.col("last_word") - F.col("first_word") < 2 * F.col("windows")) | (F.col("most") >= COVER * F.col("windows"))
+    fine = F.col("label").isNull() | F.when(F.col("exact"), score == 1).otherwise((score >= COVER) & near)
     return merged.withColumn("score", score).where(fine).select("_row", "doc_id", "n_words", "label", "exact", "first_word", "last_word", "score")
 
 

@@ -301,3 +301,11 @@ def test_languages_of_a_repeated_id(spark):
     rows = [(one, f"{g}{w} {w}{g} {g * 3} {i}", g) for i in range(100) for g, w in (("aa", "lo"), ("bb", "mi"), ("cc", "nu"))]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50)
     assert set(model.languages) == {"aa", "bb", "cc"}
+
+
+def test_license_repeated_at_once(spark):
+    rows = [(1, "All rights reserved. All rights reserved."), (2, "released under the mit license, under the mit license"), (3, "all rights all rights")]
+    got = {r["doc_id"]: r["labels"] for r in _license_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "proprietary", 2: "mit", 3: ""}
+    (span,) = licenses.spans(spark.createDataFrame(rows[:1], "doc_id long, text string")).where("label = 'proprietary'").collect()
+    assert (span["first_word"], span["last_word"], span["score"]) == (0, 3, 1.0)
