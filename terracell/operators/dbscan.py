@@ -7,26 +7,16 @@ is noise. A cluster's number is the least key of its cores plus 1; noise has 0.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terracell.scratch import stored
+
 CORE, REACHABLE, NOISE = "core", "reachable", "noise"
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terracell-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, "dbscan")
 
 
 def neighbours(df: DataFrame, eps: float, dims: list[str], key: str = "id", closed: bool = False) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from terracell.functions import distance, predicates, temporal, tiles, wkt
 from terracell.functions.types import st_box, st_line, st_point, st_polygon, with_time
 from terracell.operators import cells, dbscan, filter, hull, join, knn, raster, skyline
 from terracell.plans.fixtures import cust_points, emb_points, ev_places, ev_points, ev_tiles, ev_untimed, grid_boxes, ord_intervals, sql, table, user_boxes
+from terracell.scratch import scratch
 from terracell.sources import partitioned, rasters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -571,10 +571,7 @@ def c_sql_functions(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="terracell-")
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return scratch(spark, "store")
 
 
 @query(f"SELECT id, x, y FROM ev WHERE x BETWEEN 100 AND 200 AND y BETWEEN 30 AND 60 AND t BETWEEN {T0} AND {T1}", "ev")
