@@ -1,15 +1,15 @@
-"""What the corpus operators share: scratch storage, Arrow batches, word rules."""
+"""What the corpus operators share: Arrow batches and word rules."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terracell.scratch import remove, scratch, stored  # noqa: F401
+
 #: Code points that separate words in the space rule: space and tab to carriage return.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words of the letter rule, on text whose A-Z are lower-cased.
@@ -20,52 +20,26 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 BATCH_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="terracell-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table, wherever the shared folder is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes a table in the shared folder and reads it again, which cuts its lineage."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.terracell_path = path
-    return out
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def free(name: str, df: DataFrame) -> str:
+    """The name, or with as many underscores before it as make it no column's (capitals aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with a function of one batch, which gets `rows` rows at most; the session's batch size is left alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield f(b)
+            for at in range(0, b.num_rows, rows):
+                yield f(b.slice(at, rows))
 
-    arrow_rows(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -77,3 +51,7 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with value computed once."""
     return F.transform(F.array(value), f)[0]
+
+
+def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

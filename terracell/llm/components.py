@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from terracell.scratch import remove, stored
 
-from terracell.llm.common import remove, stored
 
 #: Links that one task may join up in memory (about 50 MB); more of them go through joins, round by round.
 TASK_LINKS = 300_000

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import by_batch, stored, table
+from terracell.llm.common import by_batch, table
+from terracell.scratch import stored
 
 #: Labelled rows that the lexicon and the score are fitted on, at most (those with the least hash of doc_id).
 SAMPLE = 20_000
@@ -204,16 +205,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     return lexicon
 
 
-def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Adds `score` (0 to 1; a null or empty text's is that of no hits) to documents with a text; a column of that name is replaced."""
-    docs = docs.drop("score")
+def scored(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
+    """Adds a score (0 to 1; a null or empty text's is that of no hits) to documents with a text, under `name`.
+
+    A column of that name is replaced. Repeated rows get the same score each; an empty table stays empty.
+    """
+    docs = docs.drop(name)
     held, at = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns.index("text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         s = [held.value.score(t.as_py()) for t in b.column(at)]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
 
-    return by_batch(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double")
+    return by_batch(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` double")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
