@@ -4,9 +4,11 @@
 2. Bands of the signature put sets into buckets. In a first round a bucket's sets are compared with its least one.
 3. Signatures (a byte of each value) are compared batch by batch; a pair is dropped where the posterior probability that its
    similarity reaches the threshold falls under `MISS`. What survives is decided on the full sets.
-4. Links give components. Buckets that still hold several components are compared across components in blocks of bounded
-   size, inside of which only survivors become rows: at first, for each set, its best match in another component; in the
-   last round every survivor. So no candidate of the bands is lost, and pairs of one component are never made.
+4. Links give components. In buckets that still hold several, the sets outside of the greatest component are compared with
+   one of its members: a pair or fewer for each set.
+5. What is open then is compared across components in blocks of bounded size, each pair of the bands' candidates whose sets
+   aren't joined yet. Survivors are verified inside of the block, and only links that join components leave it, so rows grow
+   with the input whatever a bucket holds. No candidate of the bands is lost.
 
 A pair at the threshold of 0.8 misses all bands with probability (1 - 0.8^6)^40, about 5.2e-6. If it shares one, it is
 dropped in any of the six batches with probability 5.0e-6 in all (1.2e-6 at 0.81; a byte matches at 0.8008), reckoned for
@@ -24,18 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import arrow_rows, by_batch, remove, stored, table
+from terracell.llm.common import by_batch, table
 from terracell.llm.components import components
+from terracell.scratch import remove, stored
 
 BANDS, ROWS, BATCH = 40, 6, 40
 HASHES = BANDS * ROWS
 #: Probability at which a pair of the wanted similarity may be dropped in a batch.
 MISS = 1e-6
 #: Ids or pairs that may be broadcast; beyond it the tables are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-ROUNDS = 3
-#: Sets of a bucket in one block.
-BLOCK = 200
+BROADCAST_ROWS = 300_000
+#: Rounds in which open buckets are compared with one member of their greatest component, after the one with the least member.
+LEADERS = 1
+#: Sets of a bucket in one block, and shingles of them (8 bytes each), on average at most; pairs looked at in one step.
+BLOCK_ROWS, BLOCK_SHINGLES, PAIRS = 2_000, 1_000_000, 200_000
 _RNG = np.random.Generator(np.random.PCG64(20))
 _FACTORS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHINGLE = _RNG.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,6 +47,11 @@ _SHINGLE = _RNG.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.ui
 MEMO = 400_000
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table with the hint to broadcast it if its rows, counted, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), of which a bounded number is kept."""
 
@@ -136,96 +145,122 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose signatures leave the threshold possible."""
+def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, same): pairs whose signatures leave the threshold possible, and how many of their values match."""
     floor = least_matches(threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            every = np.arange(b.num_rows)
-            i, _, _ = _survivors(_sigs(b.column(2)), _sigs(b.column(3)), every, every, floor)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(i)) for c in (0, 1)], names=["a", "b"])
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        every = np.arange(b.num_rows)
+        i, _, same = _survivors(_sigs(b.column(2)), _sigs(b.column(3)), every, every, floor)
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(i)) for c in (0, 1)), pa.array(same, pa.int64())], names=["a", "b", "c"])
 
-    sig = nodes.select("rep", "sig")
+    sig = sigs.select("rep", "sig")
     both = pairs.join(sig.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b")
-    arrow_rows(pairs.sparkSession, 2000)
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return by_batch(both.select("a", "b", "sig_a", "sig_b"), run, "a long, b long, same long", 2000)
 
 
-def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Of (band, rep) the buckets that hold several components: with comp, the greatest component, and numbers of blocks."""
-    known = rows.select("band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    sums = known.groupBy("band", "comp").agg(F.count("*").alias("m"))
-    sums = sums.groupBy("band").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("big")).where(F.col("all") > F.col("big.m"))
-    sums = sums.select("band", F.col("big.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("p"), F.ceil((F.col("all") - F.col("big.m")) / BLOCK).cast("int").alias("q"))
-    return stored(known.join(sums, "band"), "open")
+def _alike(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of pairs whose numbers of shingles n_a and n_b leave the threshold possible."""
+    return pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
 
 
-def _across(here: DataFrame, sigs: DataFrame, threshold: float, percent: int, best: bool) -> DataFrame:
-    """Surviving pairs of open rows that share a bucket and not a component.
+def _open(rows: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """Of (band, rep, n) the buckets that hold several components.
 
-    The bucket's greatest component is only dealt to blocks; the other rows are also sent to each block, so that every pair
-    across components meets in one. A block has about BLOCK rows of either kind. With `best`, of a row's survivors in
-    a block the one with the most matches.
+    Added are the row's component, the bucket's greatest one (main) and a member of it that differs from turn to turn
+    (lead), and into how many parts a bucket's rows (p) and those outside of main (q) are dealt, by rows and by shingles.
+    """
+    known = rows.select("band", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    known = stored(known, "known")
+    pick = F.min(F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("h"), "rep"))
+    sums = known.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"), pick.alias("pick"))
+    sums = sums.groupBy("band").agg(F.sum("m").alias("rows"), F.sum("w").alias("weight"), F.max(F.struct("m", "comp", "w", F.col("pick.rep").alias("lead"))).alias("big")).where("rows > big.m")
+    parts = lambda n, w: F.ceil(F.greatest(n / BLOCK_ROWS, w / BLOCK_SHINGLES)).cast("int")
+    sums = sums.select("band", F.col("big.comp").alias("main"), F.col("big.lead").alias("lead"), parts(F.col("rows"), F.col("weight")).alias("p"), parts(F.col("rows") - F.col("big.m"), F.col("weight") - F.col("big.w")).alias("q"))
+    return stored(known.join(_small(stored(sums, "sums")), "band"), "open")
+
+
+def _across(here: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links between components of the buckets in `here`, enough of them to join up all components that any link joins.
+
+    A bucket's greatest component is only dealt to blocks; its other rows are also sent to each block, so that every pair
+    across components meets in one. Small buckets share blocks. First the rows with a surviving pair in a block are found
+    by signature; they alone get their full sets, and the block is gone through again: survivors are verified one row after
+    the other, and a pair whose components links of the block join already is passed over. Of a block come fewer links than
+    it has components.
     """
     floor = least_matches(threshold)
-    rows = here.join(sigs, "rep")
+    loose = here.where("p = 1").agg(F.count("*"), F.sum("n")).first()
+    packs = 1 + max(loose[0] // BLOCK_ROWS, (loose[1] or 0) // BLOCK_SHINGLES)
     deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    held = rows.select("band", deal(F.col("p"), 1).alias("x"), F.explode(upto(F.col("q"))).alias("y"), F.lit(0).cast("tinyint").alias("role"), "rep", "n", "comp", "sig")
-    asked = rows.where("comp <> main").select("band", F.explode(upto(F.col("p"))).alias("x"), deal(F.col("q"), 2).alias("y"), F.lit(1).cast("tinyint").alias("role"), "rep", "n", "comp", "sig")
-    blocks = held.unionByName(asked)
-    parts = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
-
-    def compare(role: np.ndarray, rep: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
-        lo, hi = np.minimum.outer(n[a], n[b]), np.maximum.outer(n[a], n[b])
-        i, j = np.nonzero((comp[a][:, None] != comp[b][None, :]) & (lo * 100 >= hi * percent))
-        i, j, same = _survivors(sig, sig, a[i], b[j], floor)
-        if best and len(i):
-            order = np.lexsort((rep[j], -same, i))
-            i, j = i[order], j[order]
-            first = np.concatenate(([True], i[1:] != i[:-1]))
-            i, j = i[first], j[first]
-        return np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None
-
-        def split(rows: tuple, last: bool) -> tuple[list, tuple | None]:
-            block = rows[0]
-            edges = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1).tolist(), len(block)]
-            done = [compare(*(c[lo:hi] for c in rows[1:])) for lo, hi in zip(edges[: -1 if last else -2], edges[1:] if last else edges[1:-1])]
-            return done, None if last else tuple(c[edges[-2] :] for c in rows)
-
-        def batch(done: list) -> pa.RecordBatch:
-            a, b = (np.concatenate([d[i] for d in done]) if done else np.empty(0, np.int64) for i in (0, 1))
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in (0, 1)], names=["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            num = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            rows = (np.stack([v.astype(np.int64) for v in num[:3]], axis=1), *num[3:], _sigs(b.column(7)))
-            if kept is not None:
-                rows = tuple(np.concatenate([p, q]) for p, q in zip(kept, rows))
-            done, kept = split(rows, False)
-            yield batch(done)
-        if kept is not None:
-            yield batch(split(kept, True)[0])
-
-    arrow_rows(here.sparkSession, 4000)
-    return blocks.select("band", "x", "y", "role", "rep", "n", "comp", "sig").mapInArrow(run, "a long, b long")
+    kept = ("band", "p", "rep", "n", "comp")
+    held = here.select(*kept, F.lit(0).cast("tinyint").alias("role"), deal(F.col("p"), 1).alias("x"), F.explode(upto(F.col("q"))).alias("y"))
+    asked = here.where("comp <> main").select(*kept, F.lit(1).cast("tinyint").alias("role"), F.explode(upto(F.col("p"))).alias("x"), deal(F.col("q"), 2).alias("y"))
+    block = F.when(F.col("p") == 1, F.pmod(F.xxhash64("band"), F.lit(packs))).otherwise(F.xxhash64("band", "x", "y"))
+    dealt = held.unionByName(asked).select(block.alias("block"), "band", "x", "y", "role", "rep", "n", "comp").join(sigs.select("rep", "sig"), "rep")
+
+    def pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Survivors (asked row, other row) of each bucket of a block, in bounded steps."""
+        band, x, y, role, rep, n, comp = (t.column(c).to_numpy().astype(np.int64) for c in ("band", "x", "y", "role", "rep", "n", "comp"))
+        sig, order = _sigs(t.column("sig")), np.lexsort((rep, role, y, x, band))
+        edge = np.flatnonzero(np.concatenate(([True], (np.diff(np.stack([band, x, y])[:, order]) != 0).any(axis=0), [True])))
+        for lo, hi in zip(edge, edge[1:]):
+            rows = order[lo:hi]
+            b, a = rows[role[rows] == 0], rows[role[rows] == 1]
+            step = max(1, PAIRS // max(1, len(b)))
+            for at in range(0, len(a), step):
+                c = a[at : at + step]
+                fine = (comp[c][:, None] != comp[b][None, :]) & (np.minimum.outer(n[c], n[b]) * 100 >= np.maximum.outer(n[c], n[b]) * percent)
+                i, j = np.nonzero(fine)
+                i, j, _ = _survivors(sig, sig, c[i], b[j], floor)
+                if len(i):
+                    yield i, j
+
+    def taking(t: pa.Table) -> pa.Table:
+        part = np.zeros(t.num_rows, bool)
+        for i, j in pairs(t):
+            part[i] = part[j] = True
+        return t.filter(pa.array(part))
+
+    def linking(t: pa.Table) -> pa.Table:
+        rep, comp = (t.column(c).to_numpy() for c in ("rep", "comp"))
+        s = t.column("s").combine_chunks()
+        starts, ids = s.offsets.to_numpy().astype(np.int64), np.unique(s.values.to_numpy(), return_inverse=True)[1]
+        size, seen, links, above = np.diff(starts), np.zeros(len(ids), bool), [], {}
+
+        def top(c: int) -> int:
+            while above.setdefault(c, c) != c:
+                above[c] = c = above[above[c]]
+            return c
+
+        for i, j in pairs(t):
+            for row in np.unique(i):
+                own = top(int(comp[row]))
+                others = [k for k in j[i == row].tolist() if top(int(comp[k])) != own]
+                mine = ids[starts[row] : starts[row + 1]]
+                seen[mine] = True
+                for k in others:
+                    c = top(int(comp[k]))
+                    if c == top(own):
+                        continue
+                    common = int(np.count_nonzero(seen[ids[starts[k] : starts[k + 1]]]))
+                    if 100 * common >= percent * int(size[row] + size[k] - common):
+                        above[c] = top(own)
+                        links.append((min(rep[row], rep[k]), max(rep[row], rep[k])))
+                seen[mine] = False
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    shape = "rep long, block long, band long, x int, y int, role tinyint, n long, comp long, sig binary"
+    some = stored(dealt.groupBy("block").applyInArrow(taking, shape), "blocks")
+    full = some.join(sets, "rep").select(*some.columns, "s")
+    return stored(full.groupBy("block").applyInArrow(linking, "a long, b long"), "links")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
-    few = pairs.count() <= BROADCAST_ROWS
-    small = lambda d: F.broadcast(d) if few else d
-    one = sets.withColumnsRenamed({"rep": "a", "s": "x"}).join(small(pairs), "a")
-    other = sets.join(small(pairs.select(F.col("b").alias("rep")).distinct()), "rep", "left_semi").withColumnsRenamed({"rep": "b", "s": "y"})
+    one = sets.withColumnsRenamed({"rep": "a", "s": "x"}).join(_small(pairs.select("a", "b")), "a")
+    other = sets.join(_small(pairs.select(F.col("b").alias("rep")).distinct()), "rep", "left_semi").withColumnsRenamed({"rep": "b", "s": "y"})
     two = one.join(other, "b")
     common = two.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("i"))
     return stored(common.where(F.lit(100).cast("long") * F.col("i") >= F.lit(percent) * (F.col("p") + F.col("q") - F.col("i"))).select("a", "b"), "links")
@@ -237,8 +272,7 @@ def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["a", "b"])
 
-    few = reps.count() <= BROADCAST_ROWS
-    held = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(reps) if few else reps, docs.doc_id == reps.rep, "left_semi")
+    held = docs.where(F.col("doc_id").isNotNull()).join(_small(reps), F.col("doc_id") == F.col("rep"), "left_semi")
     return stored(by_batch(held, run, "rep long, s array<long>"), "sets", "lz4")
 
 
@@ -259,35 +293,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     live = nodes.where("rep IS NOT NULL")
     banded = live.select("rep", "n", F.explode("bands").alias("band"))
-    many = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    shared = stored(banded.join(many.select("band", F.col("lo").alias("lead")), "band"), "shared")
+    many = stored(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead"), "buckets")
+    shared = stored(banded.join(_small(many), "band"), "shared")
     some = stored(shared.select("rep").distinct(), "some")
     sets = _sets(docs, some, k)
-    sigs = stored(live.select("rep", "n", "sig").join(some, "rep", "left_semi"), "sigs")
-
-    lead = sigs.select(F.col("rep").alias("lead"), F.col("n").alias("n_lead")).distinct()
-    pairs = shared.where("rep <> lead").select("rep", "n", "lead").distinct().join(lead, "lead")
-    pairs = pairs.where(F.least("n", "n_lead") * 100 >= F.greatest("n", "n_lead") * percent)
-    pairs = stored(_likely(pairs.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), sigs, percent / 100), "pairs")
-    tested, links = pairs, _linked(pairs, sets, percent)
+    sigs = stored(live.select("rep", "n", "sig").join(_small(some), "rep", "left_semi"), "sigs")
+
+    lead = sigs.select(F.col("rep").alias("a"), F.col("n").alias("n_a"))
+    asked = shared.where("rep <> lead")
+    links = None
+    for turn in range(LEADERS + 1):
+        pairs = asked.select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_b")).distinct().join(lead, "a")
+        likely = _likely(_alike(pairs, percent), sigs, percent / 100)
+        if turn:  # one pair of a row: its likeliest
+            likely = likely.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a"))
+        new = _linked(stored(likely.select("a", "b"), "pairs"), sets, percent)
+        links = new if links is None else links.union(new)
+        comps = components(links)
+        here = _open(shared, comps, turn)
+        shared = here.select("band", "rep", "n")
+        asked = here.where("comp <> main")
+    links = links.union(_across(here, sigs, sets, percent / 100, percent))
     comps = components(links)
-    turn, here = 0, shared
-    while True:
-        turn += 1
-        here = _open(here, comps)
-        pairs = _across(here, sigs, percent / 100, percent, best=turn < ROUNDS).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        empty = pairs.isEmpty()
-        new = None if empty else _linked(pairs, sets, percent)
-        if not empty:
-            tested = tested.union(pairs)
-        if new is not None and not new.isEmpty():
-            links = links.union(new)
-            comps = components(links)
-        if turn >= ROUNDS:
-            break
-        if empty or new.isEmpty():
-            turn = ROUNDS - 1  # the best matches are not links: look at all that is left
 
     known = nodes.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     out = base.where("n > 0").join(known, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
