@@ -1,16 +1,22 @@
 """Conversion of ARC archives to WARC.
 
 ARC files start with a version block that names the fields of the record headers; a record is a header line, whose last
-field declares its length, and that many bytes. Each record gets a WARC header with what ARC lacks: an identifier made from
-its address, time and digest, an ISO timestamp, a type, and a payload digest. Later records with a payload that an earlier
-one has become revisits of it. Archives are gzip files of records that each end in two line ends, written with Spark's text
-writer (whose row separator those are), so any file system that Spark knows will do.
+field declares its length, and that many bytes. Fields are told apart from the right, so that addresses may hold blanks.
+Each record gets a WARC header with what ARC lacks: an identifier made from its address, time and digest, an ISO timestamp,
+a type, and digests of block and payload (what follows the HTTP header, if there is one); what ARC does give is kept. Later
+records with a payload that an earlier one has become revisits of it. Records that can't be read are set aside with the
+reason. Blocks are bytes throughout.
+
+An archive is a file of gzip members, one for each record, after one with the archive's own record. Spark's text writer
+writes them, so any file system that Spark knows will do: a member of less than 16 MB ends in a zero byte (the top of its
+length), and that byte is given as the row separator. A longer record takes several members.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,15 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import arrow_rows, by_batch, scratch, stored, table
+from terracell.llm.common import table
+from terracell.scratch import scratch, stored
 
 #: Header fields of the two versions of the format.
 FIELDS = {1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"), 2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length")}
-#: Bytes of records in an ARC block made from pages; records in a WARC file; revisits that may be broadcast.
-BLOCK_BYTES, FILE_RECORDS, BROADCAST_ROWS = 1 << 20, 5_000, 500_000
+#: Bytes of records in an ARC block made from pages, and in a batch of rows; revisits that may be broadcast.
+BLOCK_BYTES, BATCH_BYTES, BROADCAST_ROWS = 1 << 20, 4 << 20, 500_000
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 0
+#: Bytes in a gzip member, so that its length ends in a zero byte; bytes given to the decompressor at once.
+MEMBER, STEP = (1 << 24) - 1, 1 << 16
+#: What ends a header and a record.
 END = "\r\n\r\n"
+#: A line that looks like a record's header, where reading goes on after one that doesn't.
+_HEADER = re.compile(rb"\n(?=[A-Za-z][A-Za-z0-9+.-]*:[^\n]* [^ \n]+ \d{12,14} [^\n]*\d\r?\n)")
 
 
 def sha1(payload: bytes) -> str:
@@ -40,34 +52,50 @@ def version_block(version: int, name: str, date: str) -> bytes:
     return line.encode() + body + b"\n"
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and payload of each record after the version block. Wrong lengths or field counts raise."""
+def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Header fields, block and fault (or None) of each record after the version block.
+
+    A record without a number for its length, with too few bytes or fields, or with no date is given with its fault and
+    with its header line as the block; reading goes on at the next line that looks like a header.
+    """
     at, fields = 0, None
     while at < len(content):
         end = content.find(b"\n", at)
-        if end < 0:
-            raise ValueError("a record's header does not end")
-        line = content[at:end].decode("utf-8").rstrip("\r")
+        line = content[at : end if end >= 0 else len(content)].rstrip(b"\r")
         if not line:
-            at = end + 1
+            at += 1
             continue
-        parts = line.split(" ")
-        if not parts[-1].isdigit():
-            raise ValueError(f"no length in {line[:200]!r}")
-        length = int(parts[-1])
-        body = content[end + 1 : end + 1 + length]
-        if len(body) < length:
-            raise ValueError(f"{len(body)} bytes of {length} in {line[:200]!r}")
-        at = end + 1 + length
-        if line.startswith("filedesc://"):
-            version = int(body.split(b" ", 1)[0])
-            fields = FIELDS[version]
+        parts = line.decode("utf-8", "replace").split(" ")
+        fault, body = None, b""
+        if end < 0:
+            fault = "the header does not end"
+        elif not (parts[-1].isascii() and parts[-1].isdigit()):
+            fault = "no length"
+        elif len(body := content[end + 1 : end + 1 + int(parts[-1])]) < int(parts[-1]):
+            fault = f"{len(body)} bytes of {parts[-1]}"
+        elif line.startswith(b"filedesc://"):
+            version = body.split(b" ", 1)[0]
+            fields = FIELDS.get(int(version) if version.isdigit() else 0)
+            if fields:
+                at = end + 1 + len(body)
+                continue
+            fault = "a version that is not known"
+        elif fields is None:
+            fault = "no version block before"
+        elif len(parts) < len(fields):
+            fault = f"{len(parts)} fields of {len(fields)}"
+        elif not re.fullmatch(r"\d{12}(\d\d)?", parts[fields.index("Archive-date") - len(fields)], re.ASCII):
+            fault = "no date"
+        if fault:
+            yield {}, line, fault
+            # a record whose length is right is passed over; else the next header is looked for
+            known = end >= 0 and body and len(body) == int(parts[-1])
+            at = end + 1 + len(body) if known else m.end() if end >= 0 and (m := _HEADER.search(content, end)) else len(content)
             continue
-        if fields is None:
-            raise ValueError("the archive has no version block")
-        if len(parts) != len(fields):
-            raise ValueError(f"{len(parts)} fields, not {len(fields)}, in {line[:200]!r}")
-        yield dict(zip(fields, parts)), body
+        at = end + 1 + len(body)
+        k = len(fields) - 1
+        values = [" ".join(parts[:-k]), *parts[-k:]]
+        yield dict(zip(fields, values)), body, None
 
 
 def timestamp(date: str) -> str:
@@ -80,129 +108,231 @@ def record_id(url: str, date: str, digest: str, name: str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(31).join((url, date, digest, name)))}"
 
 
-def arc_blocks(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
-    """(content) ARC archives of version 2 of rows of (page_id, url, html), about a megabyte each, or one large page.
-
-    Blanks and line ends in addresses are escaped; a null address is urn:page. A null html is empty. The page_id is the file name.
+def arc_bytes(rows: Iterator[tuple[int | None, str | None, str | None]], date: str) -> Iterator[bytes]:
+    """ARC archives of version 2 of (page_id, url, html), about a megabyte each, or one large page; the page_id is the file name."""
+    held, size = [], 0
+    for page, url, html in rows:
+        payload = (html or "").encode("utf-8", "surrogatepass")
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        url = "".join(c if c > " " else f"%{ord(c):02X}" for c in (url or "urn:page"))
+        held += [f"{url} 0.0.0.0 {date} text/html 200 - - 0 {'-' if page is None else page} {len(block)}\n".encode("utf-8", "surrogatepass"), block, b"\n"]
+        size += len(block)
+        if size >= BLOCK_BYTES:
+            yield version_block(2, "pages.arc", date) + b"".join(held)
+            held, size = [], 0
+    if held:
+        yield version_block(2, "pages.arc", date) + b"".join(held)
+
+
+#: Columns of the records of archives.
+RECORD = (("page_id", "long"), ("url", "string"), ("ip", "string"), ("date", "string"), ("kind", "string"), ("result", "string"), ("checksum", "string"), ("location", "string"), ("digest", "string"), ("block_digest", "string"), ("bytes", "long"), ("body_at", "long"), ("block", "binary"), ("id", "string"), ("fault", "string"))
+_ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batches(rows: Iterator[tuple], shape: tuple, weight: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows, of BATCH_BYTES in the column `weight` and 1,000 rows at most."""
+    made = lambda held: pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, (_, k) in zip(zip(*held), shape)], names=[n for n, _ in shape])
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[weight] or b"") if weight is not None else 0
+        if len(held) >= 1000 or size >= BATCH_BYTES:
+            yield made(held)
+            held, size = [], 0
+    if held:
+        yield made(held)
+
+
+def _record(f: dict[str, str], block: bytes, fault: str | None, blocks: bool) -> tuple:
+    if fault:
+        return (*[None] * 12, block, None, fault)
+    at = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
+    at = 0 if at == 3 else at
+    payload, name = block[at:], f.get("Filename", "-")
+    digest, page = sha1(payload), int(name) if re.fullmatch(r"-?[0-9]{1,18}", name) else None
+    said = [v if (v := f.get(k, "-")) != "-" else None for k in ("Result-code", "Checksum", "Location")]
+    url = "".join(c if c > " " else f"%{ord(c):02X}" for c in f["URL"])
+    return (page, url, f["IP-address"], timestamp(f["Archive-date"]), f["Content-type"], *said, digest, sha1(block) if blocks else None, len(payload), at, block if blocks else None, record_id(url, f["Archive-date"], digest, name), None)
+
+
+def records(archives: DataFrame, blocks: bool = True) -> DataFrame:
+    """`RECORD` columns of the records of ARC archives in a binary column `content`.
+
+    A record that can't be read has its fault, its header line as the block, and nulls else. Without `blocks` these and
+    their digests are null, for a pass that only needs the payloads' digests. A null archive has no records. The page_id is
+    the file name where it is a number. Other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        made = lambda: pa.RecordBatch.from_arrays([pa.array([version_block(2, "pages.arc", date) + b"".join(held)], pa.binary())], names=["content"])
-        for b in batches:
-            for p, u, h in zip(*(b.column(i) for i in range(3))):
-                payload, page = (h.as_py() or "").encode("utf-8", "surrogatepass"), p.as_py()
-                url = "".join(c if c > " " else f"%{ord(c):02X}" for c in (u.as_py() or "urn:page"))
-                held.append(f"{url} 0.0.0.0 {date} text/html 200 - - 0 {'-' if page is None else page} {len(payload)}\n".encode() + payload + b"\n")
-                size += len(payload)
-                if size >= BLOCK_BYTES:
-                    yield made()
-                    held, size = [], 0
-        if held:
-            yield made()
-
-    arrow_rows(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "content binary")
-
-
-def records(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """(page_id, url, date, kind, digest, bytes, payload, id) of the records of ARC archives in a binary column `content`.
-
-    Without `payloads` that column is null, for a pass that only needs the digests.
+        yield from _batches((_record(*x, blocks) for b in batches for c in b.column(0) for x in parse(c.as_py() or b"")), RECORD, 12)
+
+    return archives.select("content").mapInArrow(run, ", ".join(" ".join(x) for x in RECORD))
+
+
+def page_records(pages: DataFrame, date: str = "20240101000000", blocks: bool = True) -> DataFrame:
+    """`records` of ARC archives made from rows of (page_id, url, html), which pass from one to the other inside of a task.
+
+    Blanks and line ends in addresses are escaped; a null address is urn:page. A null html is empty. Repeated rows are
+    records of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("page_id", "url", "date", "kind", "digest", "bytes", "payload", "id")
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-        for b in batches:
-            for content in b.column(0):
-                rows = []
-                for f, body in parse(content.as_py()):
-                    d, name = sha1(body), f.get("Filename", "-")
-                    page = int(name) if name.lstrip("-").isdigit() else None
-                    rows.append((page, f["URL"], timestamp(f["Archive-date"]), f["Content-type"], d, len(body), body.decode("utf-8", "replace") if payloads else None, record_id(f["URL"], f["Archive-date"], d, name)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names=names)
+        rows = ((p, u.as_py(), h.as_py()) for b in batches for p, u, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2)))
+        yield from _batches((_record(*x, blocks) for c in arc_bytes(rows, date) for x in parse(c)), RECORD, 12)
 
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return archives.select("content").mapInArrow(run, "page_id long, url string, date string, kind string, digest string, bytes long, payload string, id string")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, ", ".join(" ".join(x) for x in RECORD))
 
 
 def revisits(rows: DataFrame) -> DataFrame:
-    """(page_id, digest, first_id, first_url, first_record) of records whose payload an earlier page has (least page_id)."""
-    small = stored(rows.select("page_id", "url", "digest", "bytes", "id"), "digests")
-    seen = F.struct("page_id", "url", "id")
-    first = small.where(F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(seen).alias("f")).select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"), F.col("f.id").alias("first_record"))
+    """(page_id, digest, first_id, first_url, first_date, first_record) of records whose payload an earlier page has (least page_id)."""
+    small = stored(rows.where("fault IS NULL").select("page_id", "url", "date", "digest", "bytes", "id"), "digests")
+    first = small.where("page_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("page_id", "url", "date", "id")).alias("f"))
+    first = first.select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"), F.col("f.date").alias("first_date"), F.col("f.id").alias("first_record"))
     again = small.where(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest").join(first, "digest").where(F.col("page_id") > F.col("first_id"))
     return again.dropDuplicates(["page_id", "digest"])
 
 
+def _fields(*pairs: tuple[str, str | int | None]) -> bytes:
+    return "".join(f"\r\n{k}: {v}" for k, v in pairs if v is not None).encode("utf-8", "surrogatepass")
+
+
+def _warc(r: dict) -> bytes:
+    """A record's bytes, whole. A revisit keeps its HTTP header and leaves its payload out."""
+    old = r["first_id"] is not None
+    block = r["block"][: r["body_at"]] if old else r["block"]
+    http = r["body_at"] > 0
+    head = b"WARC/1.0" + _fields(
+        ("WARC-Type", "revisit" if old else "response"),
+        ("WARC-Record-ID", f"<{r['id']}>"),
+        ("WARC-Date", r["date"]),
+        ("WARC-Target-URI", r["url"]),
+        ("WARC-IP-Address", r["ip"] if r["ip"] not in ("0.0.0.0", "-") else None),
+        ("WARC-Block-Digest", f"sha1:{sha1(block) if old else r['block_digest']}"),
+        ("WARC-Payload-Digest", f"sha1:{r['digest']}"),
+        ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest" if old else None),
+        ("WARC-Refers-To", f"<{r['first_record']}>" if old else None),
+        ("WARC-Refers-To-Target-URI", r["first_url"] if old else None),
+        ("WARC-Refers-To-Date", r["first_date"] if old else None),
+        ("X-Refers-To-Page", r["first_id"]),
+        ("X-Page", r["page_id"]),
+        ("X-Payload-Length", r["bytes"]),
+        ("X-Arc-Content-Type", r["kind"]),
+        ("X-Arc-Result-Code", r["result"]),
+        ("X-Arc-Checksum", r["checksum"]),
+        ("X-Arc-Location", r["location"]),
+        ("Content-Type", "application/http; msgtype=response" if http else r["kind"]),
+        ("Content-Length", len(block)),
+    )
+    return head + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _info() -> bytes:
+    body = b"software: terracell\r\nformat: WARC File Format 1.0\r\n"
+    return b"WARC/1.0" + _fields(("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'terracell')}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields"), ("Content-Length", len(body))) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def _members(record: bytes) -> Iterator[bytes]:
+    """Gzip members without their last byte, which is zero."""
+    for at in range(0, len(record), MEMBER):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        yield (z.compress(record[at : at + MEMBER]) + z.flush())[:-1]
+
+
 def write(rows: DataFrame, path: str, keys: DataFrame | None = None) -> None:
-    """Writes records as WARC archives under `path`. keys: the same records, perhaps without payloads, to find revisits by."""
+    """Writes records without a fault as WARC archives under `path`, a file for each task.
+
+    keys: the same records, perhaps without blocks, to find revisits by.
+    """
     again = stored(revisits(rows if keys is None else keys), "revisits")
     few = again.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(again) if few else again, ["page_id", "digest"], "left")
-    old = F.col("first_id").isNotNull()
-    line = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
-    body = F.when(old, F.lit("")).otherwise(F.col("payload"))
-    head = F.concat(
-        F.lit("WARC/1.0"),
-        line("WARC-Type", F.when(old, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<"), F.col("id"), F.lit(">"))),
-        line("WARC-Date", F.col("date")),
-        line("WARC-Target-URI", F.col("url")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(old, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), line("WARC-Refers-To", F.concat(F.lit("<"), F.col("first_record"), F.lit(">"))), line("WARC-Refers-To-Target-URI", F.col("first_url")), line("X-Refers-To-Page", F.col("first_id").cast("string")))).otherwise(""),
-        line("X-Page", F.coalesce(F.col("page_id").cast("string"), F.lit("-"))),
-        line("X-Payload-Length", F.col("bytes").cast("string")),
-        line("Content-Type", F.col("kind")),
-        line("Content-Length", F.octet_length(body).cast("string")),
-    )
-    rows.select(F.concat(head, F.lit(END), body).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
+    rows = rows.where("fault IS NULL").join(F.broadcast(again) if few else again, ["page_id", "digest"], "left")
 
-def _inflated(data: bytes) -> bytes:
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members() -> Iterator[tuple[bytes]]:
+            for m in _members(_info()):
+                yield (m,)
+            for b in batches:
+                for at in range(0, b.num_rows, 16):
+                    for r in b.slice(at, 16).to_pylist():
+                        for m in _members(_warc(r)):
+                            yield (m,)
+
+        yield from _batches(members(), (("value", "binary"),), 0)
+
+    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+
+
+class Archive:
+    """Reads records one by one from the bytes of an archive, of which it holds inflated no more than the record at hand."""
+
+    def __init__(self, content: bytes) -> None:
+        self.content, self.at, self.z, self.data, self.used = memoryview(content), 0, zlib.decompressobj(31), bytearray(), 0
+
+    def _more(self) -> bool:
+        if self.at >= len(self.content):
+            return False
+        part = self.content[self.at : self.at + STEP]
+        self.data += self.z.decompress(part)
+        self.at += len(part)
+        if self.z.eof:
+            self.at -= len(self.z.unused_data)
+            self.z = zlib.decompressobj(31)
+        return True
+
+    def _upto(self, n: int) -> None:
+        while len(self.data) < n:
+            if not self._more():
+                raise ValueError("a record's length is wrong")
+
+    def __iter__(self) -> Iterator[tuple[dict[str, str], bytes]]:
+        while self.data or self._more():
+            if not self.data:
+                continue
+            while (end := self.data.find(END.encode())) < 0:
+                if not self._more():
+                    raise ValueError("a record's header does not end")
+            first, *lines = self.data[:end].decode("utf-8", "surrogatepass").split("\r\n")
+            if not first.startswith("WARC/"):
+                raise ValueError("no record where one should begin")
+            h = dict(x.split(": ", 1) for x in lines)
+            stop = end + 4 + int(h["Content-Length"])
+            self._upto(stop + 4)
+            if self.data[stop : stop + 4] != END.encode():
+                raise ValueError("a record's length is wrong")
+            block = bytes(self.data[end + 4 : stop])
+            del self.data[: stop + 4]
+            yield h, block
+
+
+#: Columns of what is read back.
+BACK = (("page_id", "long"), ("url", "string"), ("date", "string"), ("record_id", "string"), ("record_type", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("refers_to", "long"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, date, record_id, record_type, payload_bytes, payload_digest, refers_to of every record; checks lengths and digests."""
+    """`BACK` columns of every record but the archives' own; lengths and digests are checked, and a wrong one raises."""
+
+    def rows(content: bytes) -> Iterator[tuple]:
+        for h, block in Archive(content):
+            if h["WARC-Type"] == "warcinfo":
+                continue
+            digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
+            if sha1(block) != h["WARC-Block-Digest"].removeprefix("sha1:"):
+                raise ValueError("a block differs from its digest")
+            if h["WARC-Type"] == "response":
+                payload = block[block.find(b"\r\n\r\n") + 4 :] if h["Content-Type"].startswith("application/http") else block
+                if len(payload) != int(h["X-Payload-Length"]) or sha1(payload) != digest:
+                    raise ValueError("a payload differs from its digest")
+            page, ref = h.get("X-Page"), h.get("X-Refers-To-Page")
+            yield (page and int(page), h["WARC-Target-URI"], h["WARC-Date"], h["WARC-Record-ID"], h["WARC-Type"], int(h["X-Payload-Length"]), digest, ref and int(ref))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                data, at, rows = _inflated(content.as_py()), 0, []
-                while at < len(data):
-                    end = data.index(b"\r\n\r\n", at)
-                    first, *lines = data[at:end].decode("utf-8").split("\r\n")
-                    if not first.startswith("WARC/"):
-                        raise ValueError(f"no record at byte {at}")
-                    h = dict(x.split(": ", 1) for x in lines)
-                    body = data[end + 4 : end + 4 + int(h["Content-Length"])]
-                    at = end + 4 + len(body)
-                    if data[at : at + 4] != b"\r\n\r\n":
-                        raise ValueError("a record's length is wrong")
-                    at += 4
-                    digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if h["WARC-Type"] == "response" and sha1(body) != digest:
-                        raise ValueError("a payload differs from its digest")
-                    page, ref = h["X-Page"], h.get("X-Refers-To-Page")
-                    rows.append((None if page == "-" else int(page), h["WARC-Target-URI"], h["WARC-Date"], h["WARC-Record-ID"], h["WARC-Type"], int(h["X-Payload-Length"]), digest, ref and int(ref)))
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names=[str(i) for i in range(8)])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+        yield from _batches((r for b in batches for c in b.column(0) for r in rows(c.as_py())), BACK)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(" ".join(x) for x in BACK))
 
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as ARC archives, converted to WARC archives, and read back."""
-    path = scratch(spark, "warc")
-    blocks = arc_blocks(table(spark, sf_dir, "pages"))
-    write(records(blocks), path, records(blocks, payloads=False))
+    path, pages = scratch(spark, "warc"), table(spark, sf_dir, "pages")
+    write(page_records(pages), path, page_records(pages, blocks=False))
     return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date", "record_id")
