@@ -6,7 +6,7 @@ have different ones, and a pseudonym passes the checks that its original passed:
 
 * e-mail: the part before @, letter by letter and digit by digit; the domain stays;
 * phone: the digits but for a country prefix;
-* card or account number of 13 to 19 digits: all digits but the last, which keeps its distance from the Luhn digit;
+* card or account number of 13 to 19 digits with a right Luhn digit: all digits but the last, which is worked out again;
 * IPv4 address: the 32 bits as two halves;
 * social security number: area, group and serial within their ranges;
 * date: its place among the 146,097 days of a Gregorian cycle from 1800 on; other dates stay;
@@ -39,6 +39,8 @@ PATTERNS = {
 #: Days of a Gregorian cycle, as a product of two numbers, and its first day.
 DAYS, DAY_A, DAY_B, FIRST_DAY = 146_097, 27, 5_411, "1800-01-01"
 AREAS, SERIALS = 898, 99 * 9_999
+#: Letters beyond a to z that are permuted among themselves; letters of other scripts stay.
+ALPHABETS = ("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 
 
 def _stream(key: str, kind: str, turn: Column, other: Column) -> Column:
@@ -46,6 +48,12 @@ def _stream(key: str, kind: str, turn: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(f"{key}\x1f{kind}"), turn.cast("string"), other).cast("binary"), 512)
 
 
+def _long_stream(key: str, kind: str, turn: Column, other: Column, signs: Column) -> Column:
+    """Two hexadecimal digits for each sign or more; of up to 64 signs those of `_stream`."""
+    more = lambda h: F.concat(h, F.array_join(F.transform(F.sequence(F.lit(1), F.floor((signs - 1) / 64).cast("int")), lambda i: F.sha2(F.concat_ws("\x1f", h, i.cast("string")).cast("binary"), 512)), ""))
+    return let(_stream(key, kind, turn, other), lambda h: F.when(signs <= 64, h).otherwise(more(h)))
+
+
 def _number(hexa: Column, start: int, n: int = 14) -> Column:
     return F.conv(F.substring(hexa, start, n), 16, 10).cast("long")
 
@@ -57,16 +65,20 @@ def _moved(c: Column, by: Column, hexa: bool) -> Column:
     if hexa:
         place = F.when(c <= "9", at - 48).otherwise(at - 87)
         return F.lower(F.hex(F.pmod(place + by, F.lit(16))))
-    return F.when((c >= "0") & (c <= "9"), within(48, 10)).when((c >= "a") & (c <= "z"), within(97, 26)).when((c >= "A") & (c <= "Z"), within(65, 26)).otherwise(c)
+    out = F.when((c >= "0") & (c <= "9"), within(48, 10)).when((c >= "a") & (c <= "z"), within(97, 26)).when((c >= "A") & (c <= "Z"), within(65, 26))
+    for letters in ALPHABETS:
+        place = F.instr(F.lit(letters), c)
+        out = out.when((at > 127) & (place > 0), F.substr(F.lit(letters), F.pmod(place - 1 + by, F.lit(len(letters))) + 1, F.lit(1)))
+    return out.otherwise(c)
 
 
 def signs(s: Column, key: str, kind: str, hexa: bool = False) -> Column:
-    """A string with its digits, small and capital letters permuted within their classes (up to 128 signs)."""
+    """A string of any length with its digits, small and capital letters permuted within their classes."""
     half = F.floor(F.length(s) / 2).cast("int")
 
     def turn(acc: Column, r: Column) -> Column:
         chars = F.filter(F.split(acc["x"], ""), lambda c: c != "")
-        moved = let(_stream(key, kind, r, acc["y"]), lambda h: F.array_join(F.transform(chars, lambda c, i: _moved(c, F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"), hexa)), ""))
+        moved = let(_long_stream(key, kind, r, acc["y"], F.size(chars)), lambda h: F.array_join(F.transform(chars, lambda c, i: _moved(c, F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"), hexa)), ""))
         return F.struct(acc["y"].alias("x"), moved.alias("y"))
 
     start = F.struct(F.substr(s, F.lit(1), half).alias("x"), F.substr(s, half + 1).alias("y"))
@@ -105,8 +117,8 @@ def _refilled(form: Column, digits: Column) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
-        head, last = F.substr(d, F.lit(1), F.length(d) - 1), F.substr(d, F.length(d)).cast("int")
-        return let(signs(head, key, "card"), lambda p: F.concat(p, F.pmod(luhn_digit(p) + last - luhn_digit(head), F.lit(10)).cast("string")))
+        head = F.substr(d, F.lit(1), F.length(d) - 1)
+        return let(signs(head, key, "card"), lambda p: F.concat(p, luhn_digit(p).cast("string")))
 
     return _refilled(m, let(F.regexp_replace(m, r"\D", ""), new))
 
@@ -123,29 +135,44 @@ def _ip(m: Column, key: str) -> Column:
     return let(pairs(half(0), half(2), 1 << 16, 1 << 16, key, "ip"), lambda p: F.concat_ws(".", show(p["x"]), show(p["y"])))
 
 
+def _ssn_parts(m: Column) -> tuple[Column, Column, Column]:
+    return tuple(F.substring(m, i, n).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
+
+
+def _ssn_valid(m: Column) -> Column:
+    a, g, s = _ssn_parts(m)
+    return (a > 0) & (a != 666) & (a < 900) & (g > 0) & (s > 0)
+
+
 def _ssn(m: Column, key: str) -> Column:
-    a, g, s = (F.substring(m, i, n).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
-    fine = (a > 0) & (a != 666) & (a < 900) & (g > 0) & (s > 0)
+    a, g, s = _ssn_parts(m)
     area = a - 1 - F.when(a > 666, 1).otherwise(0)
 
     def show(p: Column) -> Column:
         v = p["x"] + 1 + F.when(p["x"] >= 665, 1).otherwise(0)
         return F.concat_ws("-", F.lpad(v.cast("string"), 3, "0"), F.lpad((F.floor(p["y"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(p["y"], F.lit(9999)) + 1).cast("string"), 4, "0"))
 
-    return F.when(fine, let(pairs(area, (g - 1) * 9999 + s - 1, AREAS, SERIALS, key, "ssn"), show)).otherwise(m)
+    return let(pairs(area, (g - 1) * 9999 + s - 1, AREAS, SERIALS, key, "ssn"), show)
+
+
+def _day(m: Column) -> Column:
+    """Days since FIRST_DAY; null where no calendar has the date."""
+    text = F.when(F.substring(m, 5, 1) == "-", m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
+    return F.datediff(F.try_to_date(text, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
+
+
+def _date_valid(m: Column) -> Column:
+    return F.coalesce(_day(m).between(0, DAYS - 1), F.lit(False))
 
 
 def _date(m: Column, key: str) -> Column:
-    iso = F.substring(m, 5, 1) == "-"
-    sep = F.substring(m, 3, 1)
-    text = F.when(iso, m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
-    day = F.datediff(F.try_to_date(text, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
+    iso, sep = F.substring(m, 5, 1) == "-", F.substring(m, 3, 1)
 
     def show(p: Column) -> Column:
         d = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAY_B + p["y"]).cast("int"))
         return F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), sep, F.date_format(d, "MM"), sep, F.date_format(d, "yyyy")))
 
-    return F.when((day >= 0) & (day < DAYS), let(pairs(F.floor(day / DAY_B), F.pmod(day, F.lit(DAY_B)), DAY_A, DAY_B, key, "date"), show)).otherwise(m)
+    return let(_day(m), lambda day: let(pairs(F.floor(day / DAY_B), F.pmod(day, F.lit(DAY_B)), DAY_A, DAY_B, key, "date"), show))
 
 
 def _mod97(s: Column) -> Column:
@@ -154,16 +181,19 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.split(s, ""), F.lit(0), step)
 
 
+def _iban_valid(m: Column) -> Column:
+    return _mod97(F.concat(F.substr(m, F.lit(5)), F.substring(m, 1, 4))) == 1
+
+
 def _iban(m: Column, key: str) -> Column:
     land, rest = F.substring(m, 1, 2), F.substr(m, F.lit(5))
-    valid = _mod97(F.concat(rest, F.substring(m, 1, 4))) == 1
     new = lambda p: F.concat(land, F.lpad((98 - _mod97(F.concat(p, land, F.lit("00")))).cast("string"), 2, "0"), p)
-    return F.when(valid, let(signs(rest, key, "iban"), new)).otherwise(m)
+    return let(signs(rest, key, "iban"), new)
 
 
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
-    return F.concat(signs(F.substr(local, F.lit(1), F.lit(128)), key, "email"), F.substr(m, F.least(F.length(local), F.lit(128)) + 1))
+    return F.concat(signs(local, key, "email"), F.substr(m, F.length(local) + 1))
 
 
 def _key(m: Column, key: str) -> Column:
@@ -173,15 +203,27 @@ def _key(m: Column, key: str) -> Column:
 _MAKE = {"email": _email, "key": _key, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+#: Checks of the kinds that have one.
+_VALID = {"card": luhn_valid, "iban": _iban_valid, "ssn": _ssn_valid, "date": _date_valid}
+
+
 def kind_of(m: Column) -> Column:
-    out = F.when(m.rlike(f"^(?:{PATTERNS['email']})$"), "email")
+    """Kind of a value that one of the patterns matches; null where it fails its kind's check."""
+    matched = F.when(m.rlike(f"^(?:{PATTERNS['email']})$"), "email")
     for k, p in list(PATTERNS.items())[1:]:
-        out = out.when(m.rlike(f"^(?:{p})$"), k)
-    return out
+        matched = matched.when(m.rlike(f"^(?:{p})$"), k)
+
+    def checked(k: Column) -> Column:
+        out = F.lit(True)
+        for name, valid in _VALID.items():
+            out = F.when(k == name, valid(m)).otherwise(out)
+        return F.when(out, k)
+
+    return let(matched, checked)
 
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
-    """Of one value that one of the patterns matches."""
+    """Of one value that one of the patterns matches; a value that fails its check stays as it is."""
 
     def by_kind(k: Column) -> Column:
         out = F.when(k == "email", _email(m, key))
@@ -196,14 +238,16 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     """Documents with `text` rewritten, `_found` (the values found, in order) and `_kinds` (their kinds) added.
 
     A null text stays null and has neither; an empty one stays empty. Columns with the two names are replaced. Values that
-    fail their check (a day that no calendar has, an IBAN with wrong digits) count as found and stay as they are.
+    fail their check (a number with a wrong Luhn digit, a day that no calendar has, an IBAN with wrong digits) are not found
+    and stay as they are. Repeated rows are rewritten alike; an empty table stays empty.
     """
     every = "|".join(PATTERNS.values())
     names = [c for c in docs.columns if c not in ("_found", "_kinds")]
-    some = docs.select(*names, F.regexp_extract_all("text", F.lit(f"({every})"), F.lit(1)).alias("_found"))
+    some = docs.select(*[F.col(f"`{c}`") for c in names], F.regexp_extract_all("text", F.lit(f"({every})"), F.lit(1)).alias("_found"))
     gaps = F.split("text", every, -1)
     new = F.when(F.size("_found") > 0, let(gaps, lambda g: F.concat(g[0], F.array_join(F.transform("_found", lambda m, i: F.concat(pseudonym(m, key), F.get(g, i + 1))), "")))).otherwise(F.col("text"))
-    return some.select(*[new.alias("text") if c == "text" else c for c in names], "_found", F.transform("_found", kind_of).alias("_kinds"))
+    known = F.filter(F.transform("_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))), lambda x: x["k"].isNotNull())
+    return some.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], known["m"].alias("_found"), known["k"].alias("_kinds"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
