@@ -8,8 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.scratch import remove, scratch, stored  # noqa: F401
-
 #: Code points that separate words in the space rule: space and tab to carriage return.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words of the letter rule, on text whose A-Z are lower-cased.
@@ -51,7 +49,3 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with value computed once."""
     return F.transform(F.array(value), f)[0]
-
-
-def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracell.llm.common import arrow_rows, by_batch, remove, scratch, stored, table
+from terracell.llm.common import by_batch, table
 from terracell.llm.tokens import default_path, encoder
+from terracell.scratch import remove, scratch, stored
 
 END_ID, TOKENIZER = 2, "word_bpe_49k.json"
 #: Ids in a chunk: the least, the mask of the rolling hash (one cut in 1,024 ids on average), the most; ids that the hash sees.
@@ -179,7 +180,6 @@ def roots(spark: SparkSession, store: Store) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["a", "b", "c", "d"])
 
-    arrow_rows(spark)
     rows = spark.read.parquet(store.recipes).repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "leaf")
     return rows.select("doc_id", "n_tokens", "digests", "shard").mapInArrow(run, "shard int, documents long, ids long, root string")
 
