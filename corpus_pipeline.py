@@ -8,19 +8,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import SPACE_WORD, scratch, stored, table
+from terracell.llm.common import SPACE_WORD, free, table
 from terracell.llm.decontaminate import decontaminate
 from terracell.llm.neardup import near_duplicates
 from terracell.llm.packing import TOKENIZER, pack, pieces
 from terracell.llm.pii import pseudonymize
 from terracell.llm.tokens import default_path
 from terracell.llm.toxicity import fit, scored
+from terracell.scratch import scratch, stored
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the score takes for toxic (0.5 or more) go."""
     lexicon = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, lexicon).where("score < 0.5").drop("score")
+    score = free("score", docs)
+    return scored(docs, lexicon, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is judged by itself, also where doc_ids repeat. Rows without a word stay, of those alike in all columns one.
     """
-    row = "_row"
-    while row in map(str.lower, docs.columns):
-        row = f"_{row}"
+    row = free("_row", docs)
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     blank = ~F.coalesce("text", F.lit("")).rlike(SPACE_WORD)
     ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), F.when(blank, F.to_json(F.struct(*docs.columns))).alias("same"))
