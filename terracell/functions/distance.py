@@ -33,7 +33,7 @@ def st_area(st: Column) -> Column:
     """0 of points and lines; holes are taken off."""
     ring = lambda r, i: F.abs(_ring_sums(r)["w"]) / 2 * F.when(i == 0, 1.0).otherwise(-1.0)
     part = lambda p: _sum(F.transform(p, ring), lambda v: v)
-    return F.when(st["gtype"].isin(POLYGON, MULTIPOLYGON), _sum(F.transform(st["parts"], part), lambda v: v)).otherwise(F.when(st.isNotNull(), 0.0))
+    return F.when(st["gtype"].isin(POLYGON, MULTIPOLYGON), _sum(F.transform(st["parts"], part), lambda v: v)).otherwise(F.when(st["gtype"].isNotNull(), 0.0))
 
 
 def _lengths(ring: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terracell.functions import kernel, temporal
-from terracell.functions.types import MULTIPOLYGON, POINT, POLYGON, is_box
+from terracell.functions.types import MULTIPOLYGON, POINT, POLYGON, is_box, is_null
 
 TIMES = {"intersects": temporal.t_intersects, "contains": temporal.t_contains, "containedby": temporal.t_containedby, "covers": temporal.t_contains, "coveredby": temporal.t_containedby}
 FLIPPED = {"intersects": "intersects", "contains": "containedby", "containedby": "contains", "covers": "coveredby", "coveredby": "covers"}
@@ -129,13 +129,13 @@ def spatial(name: str, a: Column, b: Column, kinds: str | tuple[str, str] = "sim
     """The geometries' predicate alone; false, not null, of null values. Other pairs than the simple ones need kinds="any".
     A pair of kinds, such as ("point", "box"), says what the values are and gives a shorter expression."""
     if isinstance(kinds, tuple):
-        return F.coalesce(known_spatial(name, a, b, kinds), F.lit(False))
+        return F.coalesce(known_spatial(name, a, b, kinds) & ~is_null(a) & ~is_null(b), F.lit(False))
     if kinds == "any":
         pick = lambda g: F.struct(g["gtype"].alias("gtype"), g["parts"].alias("parts"))
         test = _exact(name)(pick(a), pick(b))
         return F.coalesce(envelope_test(name, a, b), F.lit(False)) & test
     simple = simple_spatial(name, a, b)
-    known = F.when(simple.isNull() & a.isNotNull() & b.isNotNull() & (F.size(a["parts"]) > 0) & (F.size(b["parts"]) > 0), F.raise_error(F.lit(f"{name}: these geometries need kinds='any'")).cast("boolean")).otherwise(simple)
+    known = F.when(simple.isNull() & ~is_null(a) & ~is_null(b) & (F.size(a["parts"]) > 0) & (F.size(b["parts"]) > 0), F.raise_error(F.lit(f"{name}: these geometries need kinds='any'")).cast("boolean")).otherwise(simple)
     return F.coalesce(F.coalesce(envelope_test(name, a, b), F.lit(False)) & known, F.lit(False))
 
 

@@ -4,6 +4,9 @@
 polygon one part whose first ring is the shell); xmin to ymax is the envelope, which storage can prune by; `t_kind` is
 null without a time, 1 for an instant, 2 for an interval, whose null `t_end` leaves it open. Times are whole numbers in a
 unit that the user chooses (the SQL constructors use seconds since 1970).
+
+A value whose coordinates are partly null is null: its gtype is, and no predicate holds of it. The envelope's fields are the
+coordinates themselves, with nothing around them, so that comparisons of a made value reach the scan of its columns.
 """
 
 from __future__ import annotations
@@ -45,23 +48,23 @@ def time_fields(instant: _Value = None, start: _Value = None, end: _Value = None
     return [F.when(s.isNotNull(), F.lit(kind)).cast("tinyint").alias("t_kind"), s.alias("t_start"), F.when(s.isNotNull(), e).alias("t_end")]
 
 
-def _st(gtype: int, parts: Column, env: list[Column], time: list[Column]) -> Column:
+def _st(gtype: int, parts: Column, env: list[Column], time: list[Column], known: Column | None = None) -> Column:
     names = ("xmin", "ymin", "xmax", "ymax")
-    return F.struct(F.lit(gtype).cast("tinyint").alias("gtype"), parts.cast(PARTS).alias("parts"), *[c.cast("double").alias(n) for c, n in zip(env, names)], *time)
+    kind = F.lit(gtype).cast("tinyint")
+    return F.struct((kind if known is None else F.when(known, kind)).alias("gtype"), parts.cast(PARTS).alias("parts"), *[c.cast("double").alias(n) for c, n in zip(env, names)], *time)
 
 
 def st_point(x: _Value, y: _Value, instant: _Value = None, start: _Value = None, end: _Value = None) -> Column:
-    """Null where x or y is."""
+    """Null (see above) where x or y is."""
     x, y = _col(x, "double"), _col(y, "double")
-    st = _st(POINT, F.array(F.array(F.array(place(x, y)))), [x, y, x, y], time_fields(instant, start, end))
-    return F.when(x.isNotNull() & y.isNotNull(), st)
+    return _st(POINT, F.array(F.array(F.array(place(x, y)))), [x, y, x, y], time_fields(instant, start, end), x.isNotNull() & y.isNotNull())
 
 
 def st_box(xmin: _Value, ymin: _Value, xmax: _Value, ymax: _Value, instant: _Value = None, start: _Value = None, end: _Value = None) -> Column:
     """A rectangle along the axes."""
     a, b, c, d = (_col(v, "double") for v in (xmin, ymin, xmax, ymax))
     ring = F.array(place(a, b), place(c, b), place(c, d), place(a, d), place(a, b))
-    return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull(), _st(POLYGON, F.array(F.array(ring)), [a, b, c, d], time_fields(instant, start, end)))
+    return _st(POLYGON, F.array(F.array(ring)), [a, b, c, d], time_fields(instant, start, end), a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull())
 
 
 def st_polygon(shell: list[tuple], holes: list[list[tuple]] | None = None, instant: _Value = None, start: _Value = None, end: _Value = None) -> Column:
@@ -83,7 +86,11 @@ def with_time(st: Column, instant: _Value = None, start: _Value = None, end: _Va
     out = st
     for c, n in zip(time_fields(instant, start, end), ("t_kind", "t_start", "t_end")):
         out = out.withField(n, c)
-    return F.when(st.isNotNull(), out)
+    return out
+
+
+def is_null(st: Column) -> Column:
+    return st["gtype"].isNull()
 
 
 def x(st: Column) -> Column:

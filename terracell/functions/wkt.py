@@ -152,7 +152,7 @@ def _number(c: Column) -> Column:
 
 
 def st_wkt(st: Column) -> Column:
-    """Text of a value's geometry, by expression."""
+    """Text of a value's geometry, by expression; null of a null value."""
     spot = lambda p: F.concat(_number(p["x"]), F.lit(" "), _number(p["y"]))
     ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, spot), ", "), F.lit(")"))
     rings = lambda part: F.concat(F.lit("("), F.array_join(F.transform(part, ring), ", "), F.lit(")"))
@@ -161,7 +161,7 @@ def st_wkt(st: Column) -> Column:
     body = F.when(kind.isin(POINT, LINE), ring(parts[0][0])).when(kind == POLYGON, rings(parts[0]))
     body = body.when(kind.isin(MULTIPOINT, MULTILINE), F.concat(F.lit("("), F.array_join(F.transform(parts, lambda p: ring(p[0])), ", "), F.lit(")")))
     body = body.otherwise(F.concat(F.lit("("), F.array_join(F.transform(parts, rings), ", "), F.lit(")")))
-    return F.when(F.size(parts) == 0, F.concat(name, F.lit(" EMPTY"))).otherwise(F.concat(name, F.lit(" "), body))
+    return F.when(kind.isNull(), F.lit(None).cast("string")).when(F.size(parts) == 0, F.concat(name, F.lit(" EMPTY"))).otherwise(F.concat(name, F.lit(" "), body))
 
 
 __all__ = ["COLLECTION", "literal", "number", "parse", "st_geomfromwkt", "st_pointfromwkt", "st_wkt", "write"]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.functions import distance, predicates, temporal
+from terracell.scratch import stored
 
 #: Each coarser grid's cells are this many times longer; a value goes to the finest where it spans at most SPAN cells an axis.
 COARSER, SPAN, LEVELS = 8, 3, 8
@@ -63,7 +64,7 @@ def cell_join(left: DataFrame, right: DataFrame, condition: Callable[[Column, Co
     names = list(new.values())
     r, rst = right.withColumnsRenamed(new), new[right_st]
     if how != "inner":
-        left = left.withColumn("_row", F.monotonically_increasing_id())
+        left = stored(left.withColumn("_row", F.monotonically_increasing_id()), "left")  # ids of rows must not change between two uses
     # a right value lies in its own grid; a left one is dealt to every grid that the right side has
     used = [int(x["g"]) for x in right.select(_level(F.col(right_st), side).alias("g")).where("g IS NOT NULL").distinct().collect()]  # at most LEVELS
     a = _dealt(left, left_st, side, grow, F.array(*[F.lit(float(g)) for g in sorted(used)]) if used else F.array().cast("array<double>"), "l")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terracell.functions import distance
 from terracell.operators.cells import extent
+from terracell.scratch import stored
 
 Metric = Callable[[Column, Column], Column]
 
@@ -60,8 +61,9 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: str = "id", ri
     names = [*left.columns, *[f"r_{c}" for c in right.columns], "dist", "rank"]
     side = side or cell_side(left, right, st, rows_per_cell=max(4, k))
     place = F.col(st)
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where(F.col(f"r_{st}").isNotNull())
-    todo = left.where(place.isNotNull()).withColumn("_l", F.monotonically_increasing_id())
+    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where(F.col(f"r_{st}")["gtype"].isNotNull())
+    r = stored(r, "knn-right")
+    todo = stored(left.where(place["gtype"].isNotNull()).withColumn("_l", F.monotonically_increasing_id()), "knn-left")
     e, f, most = extent(left, st), extent(right, st), min(k, r.count())
     wide = 1.0 if e is None or f is None else max(max(e.xmax, f.xmax) - min(e.xmin, f.xmin), max(e.ymax, f.ymax) - min(e.ymin, f.ymin))
     done = None
@@ -77,8 +79,10 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: str = "id", ri
         if last:
             part = near.select(*names)
             return part if done is None else done.union(part)
-        sure = near.groupBy("_l").agg(F.count("*").alias("n"), F.max("dist").alias("d")).where((F.col("n") >= most) & (F.col("d") < side)).select("_l")
-        part, todo, side = near.join(sure, "_l", "left_semi").select(*names), todo.join(sure, "_l", "left_anti"), side * 4
+        near = stored(near, "knn-near")
+        sure = stored(near.groupBy("_l").agg(F.count("*").alias("n"), F.max("dist").alias("d")).where((F.col("n") >= most) & (F.col("d") < side)).select("_l"), "knn-sure")
+        part, side = near.join(sure, "_l", "left_semi").select(*names), side * 4
+        todo = stored(todo.join(sure, "_l", "left_anti"), "knn-left")
         done = part if done is None else done.union(part)
         if todo.isEmpty():
             return done

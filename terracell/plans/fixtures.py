@@ -42,6 +42,19 @@ def grid_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return i.withColumns({"x1": F.col("x0") + 50, "y1": F.col("y0") + 15}).withColumn("st", st_box("x0", "y0", "x1", "y1"))
 
 
+def plots(spark: SparkSession) -> DataFrame:
+    """A plot in the middle of each of the hundred boxes, with free ground around it."""
+    i = spark.range(100).select(F.col("id").alias("gid"), ((F.col("id") % 10) * 50.0 + 10).alias("x0"), (F.floor(F.col("id") / 10) * 15.0 + 3).alias("y0"))
+    return i.withColumn("st", st_box("x0", "y0", F.col("x0") + 30, F.col("y0") + 9))
+
+
+def month_intervals(spark: SparkSession) -> DataFrame:
+    """The 84 months from 1995 on, up to the last second of each."""
+    i = spark.range(84).select(F.col("id").alias("mid"), F.add_months(F.lit("1995-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    sec = lambda d: F.unix_date(d).cast("long") * 86400
+    return i.select("mid", with_time(st_point(F.lit(0), F.lit(0)), start=sec(F.col("d")), end=sec(F.add_months("d", 1)) - 1).alias("st"))
+
+
 def ord_intervals(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_T.format("o_orderdate")).alias("s"))
     o = o.withColumn("e", F.when(F.col("id") % 50 != 0, F.col("s") + (F.col("id") % 30) * 86400))
@@ -69,6 +82,8 @@ SQL = {
     "evu": "evu AS (SELECT event_id AS id, value AS x, user_id::DOUBLE AS y, CASE WHEN event_id % 3 <> 0 THEN floor(epoch(ts))::BIGINT END AS t FROM events)",
     "ub": "ub AS (SELECT user_id AS bid, min(value) AS x0, max(value) AS x1, user_id - 0.5 AS y0, user_id + 0.5 AS y1 FROM events GROUP BY user_id)",
     "gb": "gb AS (SELECT i AS gid, (i % 10) * 50.0::DOUBLE AS x0, (i // 10) * 15.0::DOUBLE AS y0, (i % 10) * 50.0::DOUBLE + 50 AS x1, (i // 10) * 15.0::DOUBLE + 15 AS y1 FROM range(100) r(i))",
+    "pl": "pl AS (SELECT i AS gid, (i % 10) * 50.0::DOUBLE + 10 AS x0, (i // 10) * 15.0::DOUBLE + 3 AS y0, (i % 10) * 50.0::DOUBLE + 40 AS x1, (i // 10) * 15.0::DOUBLE + 12 AS y1 FROM range(100) r(i))",
+    "mo": "mo AS (SELECT i AS mid, epoch(TIMESTAMP '1995-01-01' + INTERVAL (i) MONTH)::BIGINT AS m0, epoch(TIMESTAMP '1995-01-01' + INTERVAL (i + 1) MONTH)::BIGINT - 1 AS m1 FROM range(84) r(i))",
     "oi": "oi AS (SELECT o_orderkey AS id, floor(epoch(o_orderdate))::BIGINT AS s, CASE WHEN o_orderkey % 50 <> 0 THEN floor(epoch(o_orderdate))::BIGINT + (o_orderkey % 30) * 86400 END AS e FROM orders)",
     "em": "em AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings)",
     "cu": "cu AS (SELECT c_custkey AS id, c_acctbal AS x, c_nationkey::DOUBLE AS y FROM customer)",

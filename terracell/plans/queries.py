@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terracell.functions import distance, predicates, temporal, tiles, wkt
+from terracell.functions.sql import register
 from terracell.functions.types import st_box, st_line, st_point, st_polygon, with_time
 from terracell.operators import cells, dbscan, filter, hull, join, knn, raster, skyline
-from terracell.plans.fixtures import cust_points, emb_points, ev_places, ev_points, ev_tiles, ev_untimed, grid_boxes, ord_intervals, sql, table, user_boxes
+from terracell.plans.fixtures import cust_points, emb_points, ev_places, ev_points, ev_tiles, ev_untimed, grid_boxes, month_intervals, ord_intervals, plots, sql, table, user_boxes
 from terracell.scratch import scratch
 from terracell.sources import partitioned, rasters
 
@@ -257,15 +258,15 @@ def j_zip_distinct(spark, sf):
     return join.zip_join(ev_places(spark, sf).select("event_type", "st"), grid_boxes(spark, sf).select("gid", "st"), "intersects", ["event_type", "gid"], kinds=("point", "box"))
 
 
-@query("SELECT a.id AS id, b.id AS r_id FROM oi a, oi b WHERE a.id % 10 = 1 AND b.id % 10 = 2 AND (b.e IS NULL OR a.s <= b.e) AND (a.e IS NULL OR b.s <= a.e)", "oi")
+@query("SELECT id, mid FROM oi, mo WHERE s <= m1 AND (e IS NULL OR m0 <= e)", "oi", "mo")
 def j_interval(spark, sf):
-    o = ord_intervals(spark, sf).select("id", "st")
-    return join.interval_join(o.where("id % 10 = 1"), o.where("id % 10 = 2")).select("id", "r_id")
+    """Each order with every month that its interval meets."""
+    return join.interval_join(ord_intervals(spark, sf).select("id", "st"), month_intervals(spark).select("mid", "st")).select("id", "mid")
 
 
-@query()
+@query("SELECT a.id AS id, b.id AS r_id FROM oi a, oi b WHERE a.id < b.id AND (b.e IS NULL OR a.s <= b.e) AND (a.e IS NULL OR b.s <= a.e)", "oi")
 def j_interval_all(spark, sf):
-    """Every pair of orders whose intervals meet, once. SQL would compare each order with each, so a test does on small tables."""
+    """Every pair of orders whose intervals meet, once."""
     o = ord_intervals(spark, sf).select("id", "st")
     return join.interval_join(o, o).where("id < r_id").select("id", "r_id")
 
@@ -277,22 +278,22 @@ def j_spatiotemporal(spark, sf):
     return join.st_join(ev_points(spark, sf).select("id", "st"), g, kinds=("point", "box")).select("id", "gid")
 
 
-_SMALL = "gid % 7 = 3 AND "
+_MEET = "x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"
 
 
-@query(f"SELECT id, gid FROM ev LEFT JOIN gb ON {_SMALL} x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1", "ev", "gb")
+@query(f"SELECT id, gid FROM ev LEFT JOIN pl ON {_MEET}", "ev", "pl")
 def j_left_outer(spark, sf):
-    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), how="left", kinds=("point", "box")).select("id", "gid")
+    return join.st_join(ev_places(spark, sf).select("id", "st"), plots(spark).select("gid", "st"), how="left", kinds=("point", "box")).select("id", "gid")
 
 
-@query(f"SELECT id FROM ev WHERE EXISTS (SELECT 1 FROM gb WHERE {_SMALL} x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)", "ev", "gb")
+@query(f"SELECT id FROM ev WHERE EXISTS (SELECT 1 FROM pl WHERE {_MEET})", "ev", "pl")
 def j_semi(spark, sf):
-    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), how="left_semi", kinds=("point", "box")).select("id")
+    return join.st_join(ev_places(spark, sf).select("id", "st"), plots(spark).select("gid", "st"), how="left_semi", kinds=("point", "box")).select("id")
 
 
-@query(f"SELECT id FROM ev WHERE NOT EXISTS (SELECT 1 FROM gb WHERE {_SMALL} x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)", "ev", "gb")
+@query(f"SELECT id FROM ev WHERE NOT EXISTS (SELECT 1 FROM pl WHERE {_MEET})", "ev", "pl")
 def j_anti(spark, sf):
-    return join.st_join(ev_places(spark, sf).select("id", "st"), grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), how="left_anti", kinds=("point", "box")).select("id")
+    return join.st_join(ev_places(spark, sf).select("id", "st"), plots(spark).select("gid", "st"), how="left_anti", kinds=("point", "box")).select("id")
 
 
 @query("SELECT a.gid, b.gid AS r_gid FROM gb a, gb b WHERE a.x0 < b.x0 AND a.y0 = b.y0", "gb")
@@ -501,14 +502,14 @@ def r_map(spark, sf):
     return ev_tiles(spark, sf).select("tx", "ty", F.aggregate(t["values"], F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-@query("SELECT tx, ty, gid FROM tl, gb WHERE gid % 9 = 4 AND ulx <= x1 AND ulx + 10 >= x0 AND uly - 10 <= y1 AND uly >= y0", "tl", "gb")
+@query("SELECT tx, ty, gid FROM tl, gb WHERE ulx <= x1 AND ulx + 10 >= x0 AND uly - 10 <= y1 AND uly >= y0", "tl", "gb")
 def r_join_vector(spark, sf):
-    return raster.join_vector(ev_tiles(spark, sf), grid_boxes(spark, sf).where("gid % 9 = 4").select("gid", "st")).select("tx", "ty", "gid")
+    return raster.join_vector(ev_tiles(spark, sf), grid_boxes(spark, sf).select("gid", "st")).select("tx", "ty", "gid")
 
 
-@query("+ c AS (SELECT tx, ty, gid, v, ulx, uly, greatest(ulx, x0) AS a, least(ulx + 10, x1) AS b, greatest(uly - 10, y0) AS l, least(uly, y1) AS h FROM tl, gb WHERE gid % 9 = 4 AND ulx <= x1 AND ulx + 10 >= x0 AND uly - 10 <= y1 AND uly >= y0), e AS (SELECT *, unnest(CASE WHEN (b - a) * (h - l) > 0 THEN range(((b - a) * (h - l))::INT) ELSE [-1] END) AS k FROM c) SELECT tx, ty, gid, sum(CASE WHEN k < 0 THEN 0 ELSE v[((uly - (h - k // greatest((b - a)::INT, 1))) * 10 + (a - ulx) + k % greatest((b - a)::INT, 1))::INT + 1] END) AS total FROM e GROUP BY ALL", "tl", "gb")
+@query("+ c AS (SELECT tx, ty, gid, v, ulx, uly, greatest(ulx, x0) AS a, least(ulx + 10, x1) AS b, greatest(uly - 10, y0) AS l, least(uly, y1) AS h FROM tl, gb WHERE ulx <= x1 AND ulx + 10 >= x0 AND uly - 10 <= y1 AND uly >= y0), e AS (SELECT *, unnest(CASE WHEN (b - a) * (h - l) > 0 THEN range(((b - a) * (h - l))::INT) ELSE [-1] END) AS k FROM c) SELECT tx, ty, gid, sum(CASE WHEN k < 0 THEN 0 ELSE v[((uly - (h - k // greatest((b - a)::INT, 1))) * 10 + (a - ulx) + k % greatest((b - a)::INT, 1))::INT + 1] END) AS total FROM e GROUP BY ALL", "tl", "gb")
 def r_join_aggregate(spark, sf):
-    rows = raster.join_vector(ev_tiles(spark, sf), grid_boxes(spark, sf).where("gid % 9 = 4").select("gid", "st"), aggregate=lambda v: F.aggregate(v, F.lit(0.0), lambda a, z: a + z))
+    rows = raster.join_vector(ev_tiles(spark, sf), grid_boxes(spark, sf).select("gid", "st"), aggregate=lambda v: F.aggregate(v, F.lit(0.0), lambda a, z: a + z))
     return rows.select("tx", "ty", "gid", F.col("agg").alias("total"))
 
 
@@ -532,11 +533,12 @@ def r_point_pixels(spark, sf):
 # ---- constructors and measures
 
 
-@query("SELECT o_orderkey AS id, (epoch(date_trunc('day', o_orderdate)))::BIGINT AS t FROM orders")
+@query("SELECT o_orderkey AS id, (epoch(date_trunc('day', o_orderdate)))::BIGINT AS t, (o_orderkey % 100)::DOUBLE AS x FROM orders")
 def c_st_sto(spark, sf):
-    """Text and a date, as seconds of its midnight."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("d"))
-    return o.select("id", st_point(1, 1, instant=F.col("d") * 86400)["t_start"].alias("t"))
+    """SQL's st_sto of a text and a date, as seconds of its midnight; with year, month and day it gives the same."""
+    register(spark)
+    table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("POINT ("), F.col("o_orderkey") % 100, F.lit(" 1)")).alias("w"), F.col("o_orderdate").cast("date").alias("d")).createOrReplaceTempView("terracell_orders")
+    return spark.sql("SELECT id, a.t_start AS t, b.xmin AS x FROM (SELECT id, st_sto(w, d) AS a, st_sto(w, year(d), month(d), day(d)) AS b FROM terracell_orders) WHERE a.t_kind = 1 AND a.t_start = b.t_start")
 
 
 @query("SELECT gid, 'POLYGON ((' || x0::INT || ' ' || y0::INT || ', ' || x1::INT || ' ' || y0::INT || ', ' || x1::INT || ' ' || y1::INT || ', ' || x0::INT || ' ' || y1::INT || ', ' || x0::INT || ' ' || y0::INT || '))' AS text FROM gb", "gb")
@@ -560,8 +562,6 @@ def c_envelope(spark, sf):
 @query("SELECT id FROM ev WHERE x > 100 AND x < 200 AND y > 30 AND y < 60", "ev")
 def c_sql_functions(spark, sf):
     """The same in SQL, with registered functions."""
-    from terracell.functions.sql import register
-
     register(spark)
     ev_places(spark, sf).where(predicates.envelopes_meet(F.col("st"), st_box(*BOX))).createOrReplaceTempView("terracell_places")
     return spark.sql("SELECT id FROM terracell_places WHERE st_containedby(st, st_geomfromwkt('POLYGON ((100 30, 200 30, 200 60, 100 60, 100 30))'))")
@@ -596,11 +596,11 @@ def io_knn(spark, sf):
     return partitioned.knn(spark, path, 250.0, 75.0, 15).select("id", _r("dist").alias("dist"))
 
 
-@query("SELECT id, gid FROM ev, gb WHERE gid % 7 = 3 AND x > x0 AND x < x1 AND y > y0 AND y < y1", "ev", "gb")
+@query("SELECT id, gid FROM ev, gb WHERE x > x0 AND x < x1 AND y > y0 AND y < y1", "ev", "gb")
 def io_join(spark, sf):
     a, b = _folder(spark), _folder(spark)
     partitioned.write(cells.grid_cells(ev_places(spark, sf).select("id", "st"), _grid(), points=True), a)
-    partitioned.write(cells.grid_cells(grid_boxes(spark, sf).where("gid % 7 = 3").select("gid", "st"), _grid()), b)
+    partitioned.write(cells.grid_cells(grid_boxes(spark, sf).select("gid", "st"), _grid()), b)
     return partitioned.join(spark, a, b, "containedby", kinds=("point", "box")).select("id", "gid")
 
 
