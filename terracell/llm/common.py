@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: Rows in an Arrow batch; texts are long, and Python holds a batch's words at once.
 BATCH_ROWS = 256
+#: Bytes of text that are tokenized at once.
+BATCH_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +45,20 @@ def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
     return df.mapInArrow(run, schema)
 
 
+def by_weight(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: int, most: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow with a function of one batch, whose texts in a column have about `most` bytes, or which is one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype(np.int64) + 16) // most
+            edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi > lo:
+                    yield f(b.slice(lo, hi - lo))
+
+    return df.mapInArrow(run, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)

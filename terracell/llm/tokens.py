@@ -10,6 +10,9 @@ import json
 import os
 import struct
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Pre-tokens of the two kinds of tokenizer that cut points are known for; used on Latin text only.
@@ -17,8 +20,13 @@ BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of Latin letters only, which every Unicode version classes alike.
 LATIN = regex.compile(r"[\n\x20-\x7e¡-¬®-ɏ]+")
+LAST_LATIN = "ɏ"
+#: Packs of few ids, by their number.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]
 #: Line ends beside other blanks, which may be one token with them.
 LOOSE_LINE = regex.compile(r"\s\n|\n\s|\n\Z")
+#: Begins a text's first part in `encode_many`; texts that hold it take the longer way.
+START = "\0"
 MARKS = frozenset(".,;:!?")
 #: Entries of a generation of a memo of parts, and of one of pre-tokens; two generations are kept.
 PARTS, TOKENS = 600_000, 150_000
@@ -71,6 +79,7 @@ class Encoder:
         self.token = Memo(self._token, TOKENS)
         self.part = Memo(self._word_part if self.kind == "word" else self._byte_part, PARTS)
         self.first = Memo(self._first, TOKENS)
+        self.unit = self.part if self.kind == "word" else Memo(self._unit, PARTS)
 
     def _whole(self, text: str) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids) if (ids := self.full.encode(text, add_special_tokens=False).ids) else b""
@@ -79,17 +88,19 @@ class Encoder:
         """Of one pre-token."""
         shown = token if token.isascii() and token.isprintable() and token[0] != " " else token.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.bare(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _word_part(self, part: str) -> bytes:
         if not part:
             return b""
+        low = part.lower()
+        if low.isalpha() and max(part) <= LAST_LATIN:
+            return self._token(low) if low == part else self.part[low]
         if not LATIN.fullmatch(part):
             return self._whole(part)
-        low = part.lower()
         if low[-1] in MARKS and low[:-1].isalpha():
-            return self.part[part[:-1]] + self.token[part[-1]]
-        return self._token(low) if low.isalpha() else b"".join([self.token[x] for x in WORD_PATTERN.findall(low)])
+            return self.part[low[:-1]] + self.token[part[-1]]
+        return b"".join([self.token[x] for x in WORD_PATTERN.findall(low)])
 
     def _first(self, part: str) -> bytes:
         """Of a part with nothing or a line end before it."""
@@ -113,6 +124,46 @@ class Encoder:
         first, *rest = line.split(" ")
         return self.first[first] + b"".join(map(self.part.__getitem__, rest))
 
+    def _unit(self, unit: str) -> bytes:
+        """Of what stands between blanks where START begins a text and a blank stands before each line end."""
+        if unit[:1] == START:
+            return self.first[unit[1:]]
+        return self.token["\n"] + self.first[unit[1:]] if unit[:1] == "\n" else self._byte_part(unit)
+
+    def _regular(self, text: str) -> bool:
+        """Whether `encode` cuts the text at blanks and line ends alone."""
+        if self.kind == "whole" or any(s in text for s in self.special):
+            return False
+        return self.kind == "word" or not ("  " in text or START in text or LOOSE_LINE.search(text))
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each one's begin, and the last's end. Nulls are empty.
+
+        The parts of all texts are made a dictionary first, so that each different one is looked up once.
+        """
+        texts = texts.fill_null("")
+        odd = {i: t for i, t in enumerate(texts.to_pylist()) if not self._regular(t)}
+        if odd:
+            texts = pa.array(["" if i in odd else t for i, t in enumerate(texts.to_pylist())], pa.string())
+        if self.kind == "word":
+            plain = pc.replace_substring(texts, "\n", " ")
+        else:
+            plain = pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " \n"), "")
+        parts = pc.split_pattern(plain, " ")
+        known = parts.flatten().dictionary_encode()
+        code = known.indices.to_numpy()
+        each = [self.unit[u] for u in known.dictionary.to_pylist()]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        ids = np.frombuffer(b"".join(each), "<u4")
+        start, n = np.cumsum(size) - size, size[code]
+        end = np.cumsum(n)
+        ids = ids[np.repeat((start[code] - end + n).astype(np.int32), n) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
+        bounds = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy())))]
+        if odd:
+            runs = [np.frombuffer(self.encode(odd[i]), "<u4") if i in odd else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+            ids, bounds = np.concatenate(runs), np.concatenate(([0], np.cumsum([len(r) for r in runs])))
+        return ids, bounds
+
     def encode(self, text: str) -> bytes:
         if self.kind == "whole" or any(s in text for s in self.special):
             return self._whole(text)

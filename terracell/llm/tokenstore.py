@@ -4,7 +4,7 @@ Each text's ids (and an end id) are cut where a rolling hash of the last ids has
 give equal chunks wherever they stand. The store is three Parquet tables in the shared folder:
 
 * chunks: digest, ids (packed little-endian, 2 or 4 bytes each); one row for each different chunk;
-* recipes: doc_id, n_tokens, shard, digests of its chunks in order, leaf hash; ranges of doc_id in ascending order;
+* recipes: row, doc_id, n_tokens, shard, digests of its chunks in order, leaf hash; ranges of doc_id in ascending order;
 * manifest: for each shard its documents, ids and Merkle root over the recipes' leaves, in order of the shards.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracell.llm.common import by_batch, table
+from terracell.llm.common import by_batch, by_weight, table
 from terracell.llm.tokens import default_path, encoder
 from terracell.scratch import remove, scratch, stored
 
@@ -32,23 +32,27 @@ LEAST, MASK, MOST, SEEN = 256, 1023, 4096, 16
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << 12, dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; they depend on the `SEEN` ids before them only, but for the least and most."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def cuts(ids: np.ndarray, bounds: np.ndarray | None = None) -> np.ndarray:
+    """Ends of the chunks of id streams that lie one after the other; `bounds` has their ends, and 0 at first.
+
+    A cut depends on the `SEEN` ids before it only, but for the least and most. Those of an earlier stream never count, as
+    `LEAST` is more than `SEEN`.
+    """
+    bounds = np.array([0, len(ids)]) if bounds is None else bounds
     g = _GEAR[ids & 0xFFF] * (ids.astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    h = np.zeros(n, np.uint64)
-    for j in range(SEEN):
-        h[j:] += g[: n - j] << np.uint64(j)
+    h = g.copy()
+    for j in range(1, min(SEEN, len(g))):
+        h[j:] += g[:-j] << np.uint64(j)
     marks = np.flatnonzero((h >> np.uint64(20)) & np.uint64(MASK) == 0) + 1
-    out, at = [], 0
-    for m in [*marks.tolist(), n]:
-        while m - at > MOST:
-            out.append(at := at + MOST)
-        if m - at >= LEAST or m == n and m > at:
-            out.append(at := m)
-    return out
+    first = np.searchsorted(marks, bounds, "right").tolist()
+    marks, bounds, out = marks.tolist(), bounds.tolist(), []
+    for k, (at, end) in enumerate(zip(bounds, bounds[1:])):
+        for m in (*marks[first[k] : first[k + 1]], end):
+            while m - at > MOST:
+                out.append(at := at + MOST)
+            if m - at >= LEAST or m == end and m > at:
+                out.append(at := m)
+    return np.array(out, np.int64)
 
 
 def _digest(data: bytes) -> bytes:
@@ -129,31 +133,30 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, base: str) -> Store:
     width = 2 if tokenizers.Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
 
     def encode(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc, cols = encoder(tokenizer), ([], [], [], [])
-        for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-            ids = np.append(np.frombuffer(enc.encode(t.as_py() or ""), "<u4"), np.uint32(end_id))
-            packed, edges = ids.astype(f"<u{width}").tobytes(), [0, *cuts(ids)]
-            parts = [packed[width * lo : width * hi] for lo, hi in zip(edges, edges[1:])]
-            for c, v in zip(cols, (d, len(ids), [_digest(p) for p in parts], parts)):
-                c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "b", "c", "d"])
-
-    raw = by_batch(docs.select(F.col("doc_id").cast("long"), "text"), encode, "doc_id long, n_tokens long, digests array<binary>, parts array<binary>")
+        ids, bounds = encoder(tokenizer).encode_many(b.column(1))
+        ids = np.insert(ids, bounds[1:], end_id)
+        bounds = bounds + np.arange(len(bounds))
+        edges = np.concatenate(([0], cuts(ids, bounds)))
+        packed = pa.py_buffer(ids.astype(f"<u{width}").tobytes())
+        view = memoryview(packed)
+        parts = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype("<i4")), packed])
+        digests = pa.array([_digest(view[width * lo : width * hi]) for lo, hi in zip(edges.tolist(), edges[1:].tolist())], pa.binary())
+        lists, n = pa.array(np.searchsorted(edges, bounds).astype(np.int32)), np.diff(bounds)
+        made = pa.ListArray.from_arrays(lists, digests)
+        leaves = pa.array([leaf(d, k, x) for d, k, x in zip(b.column(0).to_pylist(), n.tolist(), made.to_pylist())], pa.binary())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n), made, pa.ListArray.from_arrays(lists, parts), leaves], names=list("abcde"))
+
+    raw = by_weight(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), encode, "doc_id long, n_tokens long, digests array<binary>, parts array<binary>, leaf binary", 1)
     raw = stored(raw, "raw-ids")
     out = Store(f"{base}/chunks", f"{base}/recipes", f"{base}/manifest", width)
     each = raw.select(F.explode(F.arrays_zip("digests", "parts")).alias("c"))
     each = each.select(F.col("c.digests").alias("digest"), F.col("c.parts").alias("ids")).groupBy("digest").agg(F.first("ids").alias("ids"))
     each.write.option("compression", "zstd").parquet(out.chunks)
 
-    def leaves(b: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [leaf(*r) for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes, pa.binary())], names=["a", "b", "c", "d"])
-
-    rows = by_batch(raw.select("doc_id", "n_tokens", "digests"), leaves, "doc_id long, n_tokens long, digests array<binary>, leaf binary")
+    rows = raw.select("doc_id", "n_tokens", "digests", "leaf")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "leaf").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf")
-    rows.withColumn("shard", F.spark_partition_id()).write.option("compression", "zstd").parquet(out.recipes)
+    rows.withColumns({"shard": F.spark_partition_id(), "row": F.monotonically_increasing_id()}).write.option("compression", "zstd").parquet(out.recipes)
     remove(spark, raw.terracell_path)
     roots(spark, out).write.parquet(out.manifest)
     return out
@@ -206,7 +209,7 @@ def read_sums(spark: SparkSession, store: Store) -> DataFrame:
     A document's crc is joined from its chunks' crcs, so each different chunk is read once and no ids are moved again.
     A recipe whose ids don't add up, or a shard whose Merkle root is not the manifest's, raises.
     """
-    recipes = spark.read.parquet(store.recipes).select("doc_id", "leaf", "n_tokens", "shard", "digests", F.monotonically_increasing_id().alias("_row"))
+    recipes = spark.read.parquet(store.recipes).select("doc_id", "leaf", "n_tokens", "shard", "digests", F.col("row").alias("_row"))
     said = spark.read.parquet(store.manifest)
     # one row for each shard, of which there are as many as shuffle partitions
     bases = said.select("shard", F.coalesce(F.sum("ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))

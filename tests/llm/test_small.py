@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,10 @@ def test_tokens_are_those_of_whole_texts():
         e = Encoder(default_path(name))
         for t in odd:
             assert e.encode(t) == np.array(e.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), (name, t)
+        several = [*odd, None, "\0x\n y", *TEXTS[0][1:], *odd[::-1]]
+        ids, bounds = e.encode_many(pa.array(several, pa.string()))
+        assert [ids[i:j].tobytes() for i, j in zip(bounds, bounds[1:])] == [e.encode(t or "") for t in several]
+        assert [len(x) for x in e.encode_many(pa.array([], pa.string()))] == [0, 1]
 
 
 def test_packing(docs):
@@ -180,6 +185,12 @@ def test_packing(docs):
             at += n
         assert at <= packing.CAPACITY
     assert collections.Counter(r["doc_id"] for r in out if r["piece"] == 0) == collections.Counter(d for d, _ in TEXTS)
+    e, want = Encoder(default_path("byte_bpe_50k.json")), collections.Counter()
+    for d, t in TEXTS:
+        ids = e.full.encode(t or "", add_special_tokens=False).ids + [0]
+        edges = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want.update((d, k, lo, hi - lo, zlib.crc32(np.array(ids[lo:hi], "<u4").tobytes())) for k, (lo, hi) in enumerate(zip(edges, edges[1:])))
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
     assert packing.pack(packing.pieces(docs.limit(0), default_path("byte_bpe_50k.json"))).count() == 0
 
 
@@ -212,6 +223,11 @@ def test_token_store(spark, docs):
     parts = [b"abc", b"", b"x" * 999]
     assert tokenstore.joined_crc([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
     assert tokenstore.cuts(np.zeros(10_000, np.uint32))[-1] == 10_000
+    rng = np.random.default_rng(5)
+    streams = [rng.integers(0, 49_000, n, dtype=np.uint32) for n in (0, 1, 300, 20_000, 0, 7_000)]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in streams])))
+    alone = [c + lo for s, lo in zip(streams, bounds) for c in tokenstore.cuts(s).tolist()]
+    assert tokenstore.cuts(np.concatenate(streams), bounds).tolist() == alone
 
 
 def test_archives(spark):
