@@ -125,15 +125,28 @@ def known_spatial(name: str, a: Column, b: Column, kinds: tuple[str, str]) -> Co
     raise ValueError(f"no short form for {kinds}")
 
 
+def plain_spatial(name: str, a: Column, b: Column) -> Column:
+    """By comparisons alone, which round nothing: points with points and rectangles, rectangles with rectangles; null of other pairs."""
+    if name in ("containedby", "coveredby"):
+        return plain_spatial(FLIPPED[name], b, a)
+    pa, pb = a["gtype"] == POINT, b["gtype"] == POINT
+    inside = (b["xmin"] > a["xmin"]) & (b["xmin"] < a["xmax"]) & (b["ymin"] > a["ymin"]) & (b["ymin"] < a["ymax"])
+    boxes = envelopes_meet(a, b) if name == "intersects" else envelope_covers(a, b)
+    out = F.when(pa & pb, (a["xmin"] == b["xmin"]) & (a["ymin"] == b["ymin"]))
+    out = out.when(pb & is_box(a), inside if name == "contains" else envelopes_meet(a, b))
+    return out.when(pa & is_box(b), envelopes_meet(a, b) if name == "intersects" else F.lit(False)).when(is_box(a) & is_box(b), boxes)
+
+
 def spatial(name: str, a: Column, b: Column, kinds: str | tuple[str, str] = "simple") -> Column:
     """The geometries' predicate alone; false, not null, of null values. Other pairs than the simple ones need kinds="any".
     A pair of kinds, such as ("point", "box"), says what the values are and gives a shorter expression."""
     if isinstance(kinds, tuple):
         return F.coalesce(known_spatial(name, a, b, kinds) & ~is_null(a) & ~is_null(b), F.lit(False))
     if kinds == "any":
-        pick = lambda g: F.struct(g["gtype"].alias("gtype"), g["parts"].alias("parts"))
-        test = _exact(name)(pick(a), pick(b))
-        return F.coalesce(envelope_test(name, a, b), F.lit(False)) & test
+        near, plain = F.coalesce(envelope_test(name, a, b), F.lit(False)), plain_spatial(name, a, b)
+        # what comparisons decide reaches the kernel as nulls
+        pick = lambda g: F.struct(*[F.when(near & plain.isNull(), g[n]).alias(n) for n in ("gtype", "parts")])
+        return near & F.coalesce(plain, _exact(name)(pick(a), pick(b)))
     simple = simple_spatial(name, a, b)
     known = F.when(simple.isNull() & ~is_null(a) & ~is_null(b) & (F.size(a["parts"]) > 0) & (F.size(b["parts"]) > 0), F.raise_error(F.lit(f"{name}: these geometries need kinds='any'")).cast("boolean")).otherwise(simple)
     return F.coalesce(F.coalesce(envelope_test(name, a, b), F.lit(False)) & known, F.lit(False))
@@ -148,6 +161,13 @@ def predicate(name: str, a: Column, b: Column, kinds: str | tuple[str, str] = "s
     return spatial(name, a, b, kinds) & time_rule(name, a, b)
 
 
+def st_equals(a: Column, b: Column, kinds: str | tuple[str, str] = "simple") -> Column:
+    """The same places, however they are written down, and the same time or none on either side; false of null values."""
+    same = (a["xmin"] == b["xmin"]) & (a["ymin"] == b["ymin"]) & (a["xmax"] == b["xmax"]) & (a["ymax"] == b["ymax"])
+    time = a["t_kind"].eqNullSafe(b["t_kind"]) & a["t_start"].eqNullSafe(b["t_start"]) & a["t_end"].eqNullSafe(b["t_end"])
+    return F.coalesce(same, F.lit(False)) & time & spatial("covers", a, b, kinds) & spatial("coveredby", a, b, kinds)
+
+
 def st_intersects(a: Column, b: Column, kinds: str | tuple[str, str] = "simple") -> Column:
     return predicate("intersects", a, b, kinds)
 

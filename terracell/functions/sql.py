@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from terracell.functions import kernel
-from terracell.functions.types import ST
+from terracell.functions import predicates
+from terracell.functions.types import KINDS, ST
 from terracell.functions.wkt import _row
 
 #: The unit of the value's time made from dates.
@@ -15,6 +16,7 @@ DAY_SECONDS = 86_400
 _HIST = "array<struct<values:int,lowerBounds:double,upperBounds:double>>"
 _TILE = "STRUCT<ulx: DOUBLE, uly: DOUBLE, width: INT, height: INT, pixelwidth: DOUBLE, values: ARRAY<DOUBLE>>"
 _BUCKET = "STRUCT<values: INT, lowerBounds: DOUBLE, upperBounds: DOUBLE>"
+_SQL_ST = "STRUCT<gtype: TINYINT, parts: ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>, xmin: DOUBLE, ymin: DOUBLE, xmax: DOUBLE, ymax: DOUBLE, t_kind: TINYINT, t_start: BIGINT, t_end: BIGINT>"
 _PLACE = "named_struct('x', {}, 'y', {})"
 
 
@@ -31,6 +33,24 @@ def _box(t: str) -> str:
     return f"named_struct('gtype', CAST(2 AS TINYINT), 'parts', array(array(array({ring}))), 'xmin', {a}, 'ymin', {b}, 'xmax', {c}, 'ymax', {d}, {time})"
 
 
+def _number(c: str) -> str:
+    plain = f"CAST(CAST({c} AS BIGINT) AS STRING)"
+    long = f"regexp_replace(CAST(CAST({c} AS DECIMAL(38,10)) AS STRING), '[.]?0+$', '')"
+    tiny = f"regexp_replace(format_string('%.20f', {c}), '[.]?0+$', '')"
+    return f"CASE WHEN abs({c}) < 1e15 AND {c} = floor({c}) THEN {plain} WHEN abs({c}) >= 1e-3 AND abs({c}) < 1e7 THEN CAST({c} AS STRING) WHEN abs({c}) >= 1e7 THEN {long} ELSE {tiny} END"
+
+
+def _text(g: str) -> str:
+    """The text of a value's geometry, as `wkt.st_wkt` makes it."""
+    inside = lambda items: f"concat('(', array_join({items}, ', '), ')')"
+    ring = lambda r: inside(f"transform({r}, p -> concat({_number('p.x')}, ' ', {_number('p.y')}))")
+    rings = lambda part: inside(f"transform({part}, r -> {ring('r')})")
+    kind = f"{g}.gtype"
+    body = f"CASE WHEN {kind} IN (0, 1) THEN {ring(f'{g}.parts[0][0]')} WHEN {kind} = 2 THEN {rings(f'{g}.parts[0]')} WHEN {kind} IN (3, 4) THEN {inside(f'transform({g}.parts, q -> {ring("q[0]")})')} ELSE {inside(f'transform({g}.parts, q -> {rings("q")})')} END"
+    name = f"array({', '.join(repr(k) for k in KINDS)})[{kind}]"
+    return f"CASE WHEN {kind} IS NULL THEN NULL WHEN size({g}.parts) = 0 THEN concat({name}, ' EMPTY') ELSE concat({name}, ' ', {body}) END"
+
+
 #: Name, parameters and body of the functions that are SQL expressions.
 SQL_FUNCTIONS = {
     "st_point": ("x DOUBLE, y DOUBLE, z DOUBLE DEFAULT NULL", f"CASE WHEN x IS NULL OR y IS NULL THEN raise_error('st_point needs x and y') ELSE {_point('x', 'y')} END"),
@@ -43,34 +63,51 @@ SQL_FUNCTIONS = {
     "r_max": (f"tile {_TILE}", "array_max(tile.values)"),
     "r_min": (f"tile {_TILE}", "array_min(tile.values)"),
     "r_median": (f"tile {_TILE}", "get(tile.values, CAST(floor(size(tile.values) / 2) AS INT))"),
+    "st_wkt": (f"st {_SQL_ST}", _text("st")),
     "h_value": (f"bucket {_BUCKET}", "bucket.values"),
     "h_lower": (f"bucket {_BUCKET}", "bucket.lowerBounds"),
     "h_upper": (f"bucket {_BUCKET}", "bucket.upperBounds"),
 }
 
 
-def _time_rule(name: str, a, b) -> bool:
-    ka, kb = (None if pd.isna(v["t_kind"]) else v["t_kind"] for v in (a, b))
-    if ka is None or kb is None:
-        return ka is None and kb is None
-    s, t = ((v["t_start"], None if pd.isna(v["t_end"]) else v["t_end"]) for v in (a, b))
-    inside = lambda p, q: q[1] is not None and q[0] >= p[0] and (p[1] is None or q[1] <= p[1])
-    if name == "contains":
-        return inside(s, t)
-    if name == "containedby":
-        return inside(t, s)
-    return (t[1] is None or s[0] <= t[1]) and (s[1] is None or t[0] <= s[1])
+def _value(d: pd.DataFrame) -> pd.DataFrame:
+    """A struct argument as a value; a tile becomes its box, without a time."""
+    if "ulx" not in d.columns:
+        return d
+    a, b, c, e = d["ulx"], d["uly"] - d["height"] * d["pixelwidth"], d["ulx"] + d["width"] * d["pixelwidth"], d["uly"]
+    known = a.notna() & b.notna() & c.notna()
+    parts = [[[[{"x": x, "y": y} for x, y in ((i, j), (k, j), (k, m), (i, m), (i, j))]]] if f else None for i, j, k, m, f in zip(a, b, c, e, known)]
+    kind = pd.Series([2 if f else None for f in known], dtype="object")
+    none = pd.Series([None] * len(d), dtype="object")
+    return pd.DataFrame({"gtype": kind, "parts": parts, "xmin": a, "ymin": b, "xmax": c, "ymax": e, "t_kind": none, "t_start": none, "t_end": none})
+
+
+def _time_rule(name: str, a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Both without a time, or both with one and the times' predicate."""
+    timed = [d["t_kind"].notna().to_numpy() for d in (a, b)]
+    start = [pd.to_numeric(d["t_start"]).to_numpy(float, na_value=np.nan) for d in (a, b)]
+    end = [pd.to_numeric(d["t_end"]).to_numpy(float, na_value=np.nan) for d in (a, b)]
+    inside = lambda i, j: ~np.isnan(end[j]) & (start[j] >= start[i]) & (np.isnan(end[i]) | (end[j] <= end[i]))
+    meet = (np.isnan(end[1]) | (start[0] <= end[1])) & (np.isnan(end[0]) | (start[1] <= end[0]))
+    rule = {"contains": lambda: inside(0, 1), "containedby": lambda: inside(1, 0)}.get(name, lambda: meet)()
+    return np.where(timed[0] & timed[1], rule, ~timed[0] & ~timed[1])
 
 
 def _predicate(name: str):
-    test = kernel.TESTS[name]
+    exact = predicates._exact(name).func
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        out = []
-        for p, q in zip(a.to_dict("records"), b.to_dict("records")):
-            null = p["gtype"] is None or pd.isna(p["gtype"]) or q["gtype"] is None or pd.isna(q["gtype"])
-            apart = null or p["xmin"] > q["xmax"] or p["xmax"] < q["xmin"] or p["ymin"] > q["ymax"] or p["ymax"] < q["ymin"]
-            out.append(not apart and _time_rule(name, p, q) and test(kernel.Shape(int(p["gtype"]), p["parts"]), kernel.Shape(int(q["gtype"]), q["parts"])))
+        """Kinds, envelopes and times of all rows at once; points by their places; what is left by the exact kernel."""
+        a, b = _value(a), _value(b)
+        env = lambda d, n: pd.to_numeric(d[n]).to_numpy(float, na_value=np.nan)
+        (p, q, r, s), (t, u, v, w) = ([env(d, n) for n in ("xmin", "ymin", "xmax", "ymax")] for d in (a, b))
+        near = {"contains": (p <= t) & (q <= u) & (r >= v) & (s >= w), "containedby": (t <= p) & (u <= q) & (v >= r) & (w >= s)}.get(name, (p <= v) & (r >= t) & (q <= w) & (s >= u))
+        known = a["gtype"].notna().to_numpy() & b["gtype"].notna().to_numpy()
+        out = near & known & _time_rule(name, a, b)
+        points = (a["gtype"] == 0).to_numpy(bool) & (b["gtype"] == 0).to_numpy(bool)
+        rest = np.flatnonzero(out & ~points)
+        if len(rest):
+            out[rest] = exact(a.iloc[rest].reset_index(drop=True), b.iloc[rest].reset_index(drop=True)).to_numpy(bool)
         return pd.Series(out, dtype=bool)
 
     run.__annotations__ = {"a": pd.DataFrame, "b": pd.DataFrame, "return": pd.Series}
@@ -83,38 +120,31 @@ def _fromwkt(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_row(t) | {"t_kind": None, "t_start": None, "t_end": None} for t in texts], columns=["gtype", "parts", "xmin", "ymin", "xmax", "ymax", "t_kind", "t_start", "t_end"])
 
 
-def _sto(*args) -> dict | None:
+def _sto(texts: pd.Series, *args: pd.Series) -> pd.DataFrame:
     """Text; text and date; text, year, month and day. Other numbers of arguments leave the time out."""
-    import datetime
-
-    row = _row(args[0]) | {"t_kind": None, "t_start": None, "t_end": None}
-    day = args[1] if len(args) == 2 else datetime.date(*map(int, args[1:])) if len(args) == 4 else None
-    if isinstance(day, str):
-        day = datetime.date.fromisoformat(day)
-    if day is not None:
-        t = (day - datetime.date(1970, 1, 1)).days * DAY_SECONDS
-        row |= {"t_kind": 1, "t_start": t, "t_end": t}
-    return row
-
-
-def _wkt(gtype_parts) -> str | None:
-    from terracell.functions.wkt import write
-
-    if gtype_parts is None:
-        return None
-    return write(gtype_parts["gtype"], [[[(p["x"], p["y"]) for p in r] for r in part] for part in gtype_parts["parts"]])
+    out = _fromwkt(texts)
+    if len(args) == 1:
+        days = pd.to_datetime(args[0])
+    elif len(args) == 3:
+        days = pd.to_datetime(pd.DataFrame(dict(zip(("year", "month", "day"), args))))
+    else:
+        return out
+    known = days.notna()
+    seconds = [int(d.timestamp()) // DAY_SECONDS * DAY_SECONDS if k else None for d, k in zip(days, known)]
+    out["t_kind"] = pd.Series([1 if k else None for k in known], dtype="object")
+    out["t_start"] = out["t_end"] = pd.Series(seconds, dtype="object")
+    return out
 
 
-def _buckets(values, n: int = 10) -> list:
-    distinct = sorted(set(values or []))
-    if not distinct:
-        return []
-    each = -(-len(distinct) // n)
+def _buckets(tiles, n=None):
+    """Buckets of ceil(distinct / n) distinct values each (ten buckets if n is left out), as `tiles.histogram` makes them."""
     out = []
-    for i in range(0, len(distinct), each):
-        lo, hi = distinct[i], distinct[min(i + each, len(distinct)) - 1]
-        out.append((sum(lo <= v <= hi for v in values), lo, hi))
-    return out
+    for i, values in enumerate(tiles["values"]):
+        distinct, counts = np.unique(np.asarray([] if values is None else values, float), return_counts=True)
+        each = -(-len(distinct) // int(10 if n is None else n[i])) or 1
+        starts = range(0, len(distinct), each)
+        out.append([{"values": int(counts[j : j + each].sum()), "lowerBounds": float(distinct[j]), "upperBounds": float(distinct[j : j + each][-1])} for j in starts])
+    return pd.Series(out, dtype="object")
 
 
 def _merge(tiles: pd.Series) -> list:
@@ -138,10 +168,9 @@ def register(spark: SparkSession) -> SparkSession:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURN {body}")
     spark.udf.register("st_geomfromwkt", F.pandas_udf(_fromwkt, ST))
     spark.udf.register("fromwkt", F.pandas_udf(_fromwkt, ST))
-    spark.udf.register("st_sto", F.udf(_sto, ST))
-    spark.udf.register("st_wkt", F.udf(_wkt, "string"))
+    spark.udf.register("st_sto", F.pandas_udf(_sto, ST))
     for name in ("contains", "containedby", "intersects"):
         spark.udf.register(f"st_{name}", _predicate(name))
-    spark.udf.register("histogram", F.udf(lambda t, n=10: _buckets(t["values"], n) if t is not None else [], _HIST))
+    spark.udf.register("histogram", F.pandas_udf(_buckets, _HIST))
     spark.udf.register("rasterhistogram", F.pandas_udf(_merge, _HIST, F.PandasUDFType.GROUPED_AGG))
     return spark

@@ -53,6 +53,24 @@ def from_box(xmin, ymin, xmax, ymax, value: float = 0.0, pixelwidth: float = 1.0
     return filled(xmin, ymax, F.ceil((xmax - xmin) / pixelwidth).cast("int"), F.ceil((ymax - ymin) / pixelwidth).cast("int"), value, pixelwidth)
 
 
+def from_box_computed(xmin, ymin, xmax, ymax, f: Callable[[Column, Column], Column], pixelwidth: float = 1.0) -> Column:
+    """A tile that covers a box; f gives the value of each pixel from its upper left place."""
+    t = filled(xmin, ymax, F.ceil((xmax - xmin) / pixelwidth).cast("int"), F.ceil((ymax - ymin) / pixelwidth).cast("int"), 0.0, pixelwidth)
+    at = lambda i: f(t["ulx"] + F.pmod(i, t["width"]) * pixelwidth, t["uly"] - F.floor(i / t["width"]) * pixelwidth)
+    return with_values(t, F.transform(t["values"], lambda _, i: at(i).cast("double")))
+
+
+def tile_intersects(a: Column, b: Column) -> Column:
+    """Borders count."""
+    (p, q, r, s), (t, u, v, w) = span(a), span(b)
+    return (p <= v) & (r >= t) & (q <= w) & (s >= u)
+
+
+def tile_contains(a: Column, b: Column) -> Column:
+    (p, q, r, s), (t, u, v, w) = span(a), span(b)
+    return (p <= t) & (q <= u) & (r >= v) & (s >= w)
+
+
 def col_row(t: Column, i: Column) -> Column:
     return F.struct(F.pmod(i, t["width"]).alias("col"), F.floor(i / t["width"]).cast("int").alias("row"))
 

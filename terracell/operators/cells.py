@@ -10,11 +10,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terracell.functions.distance import corner_distance, st_centroid
+from terracell.scratch import stored
 
 EPS = 1e-6
 
@@ -86,6 +87,52 @@ def grid_histogram(df: DataFrame, grid: Grid, st: str = "st", points: bool = Fal
     return out.withColumns(grid.bounds(F.col("cell")))
 
 
+def combine_histograms(*parts: DataFrame) -> DataFrame:
+    """Of histograms of the same grid: counts added up, extents joined; a cell that one of them lacks counts as empty there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    sums = [F.sum("n").alias("n")] + [f(c).alias(c) for c, f in (("e_xmin", F.min), ("e_ymin", F.min), ("e_xmax", F.max), ("e_ymax", F.max))]
+    return out.groupBy("cell", "xmin", "ymin", "xmax", "ymax").agg(*sums).select(*parts[0].columns)
+
+
+def total_cost(histogram: DataFrame) -> DataFrame:
+    """One row: the number of values."""
+    return histogram.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def nonempty_cells(histogram: DataFrame) -> DataFrame:
+    return histogram.where("n > 0")
+
+
+def range_cost(histogram: DataFrame, box: Extent) -> DataFrame:
+    """One row: the values in the cells that lie in a box, and the extent of these values."""
+    inside = (F.col("xmin") >= box.xmin - EPS) & (F.col("xmax") <= box.xmax + EPS) & (F.col("ymin") >= box.ymin - EPS) & (F.col("ymax") <= box.ymax + EPS)
+    return histogram.where(inside).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("e_xmin").alias("xmin"), F.min("e_ymin").alias("ymin"), F.max("e_xmax").alias("xmax"), F.max("e_ymax").alias("ymax"))
+
+
+def write_cells(cells: DataFrame | list[Extent], path: str, spark: SparkSession | None = None) -> None:
+    """Text lines `cell;WKT of its bounds[;WKT of its values' extent]` of a grid's histogram, or of boxes."""
+    ring = lambda a, b, c, d: F.concat(F.lit("POLYGON (("), F.array_join(F.array(*[F.concat(x.cast("string"), F.lit(" "), y.cast("string")) for x, y in ((a, b), (c, b), (c, d), (a, d), (a, b))]), ", "), F.lit("))"))
+    if isinstance(cells, list):
+        cells = spark.createDataFrame([(i, b.xmin, b.ymin, b.xmax, b.ymax) for i, b in enumerate(cells)], "cell int, xmin double, ymin double, xmax double, ymax double")
+    names = ("xmin", "ymin", "xmax", "ymax")
+    lines = [F.col("cell").cast("string"), ring(*[F.col(n) for n in names])]
+    if "e_xmin" in cells.columns:
+        lines.append(F.when(F.col("e_xmin").isNotNull(), ring(*[F.col(f"e_{n}") for n in names])))  # concat_ws leaves nulls out
+    cells.select(F.concat_ws(";", *lines)).write.text(path)
+
+
+def spacetime_bsp(df: DataFrame, side: float, most: int, slices: int = 10, st: str = "st", points: bool = False) -> DataFrame:
+    """Adds `cell` and `slice`: binary splits by cost in space, and in each box up to `slices` slices of its own time range."""
+    rows = box_cells(df, bsp_cells(df, side, most, st, points), st, "cell")
+    c = F.col(st)
+    spans = rows.groupBy("cell").agg(F.min(c["t_start"]).alias("_lo"), F.max(c["t_start"]).alias("_hi"))  # one row for each box
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices))
+    at = F.floor((c["t_start"] - F.col("_lo")) / width)
+    return rows.join(F.broadcast(spans), "cell").withColumn("slice", F.coalesce(F.least(F.lit(slices - 1), at), F.lit(0)).cast("int")).drop("_lo", "_hi")
+
+
 def bsp_cells(df: DataFrame, side: float, most: int, st: str = "st", points: bool = False, cells: int = 1_000_000) -> list[Extent]:
     """Boxes along the cells of a grid of the given side, split in two where the halves' numbers of values differ least,
     until a box holds `most` values or is one cell. The histogram of the grid (at most `cells`) is summed on the driver."""
@@ -141,12 +188,8 @@ def str_tiles(df: DataFrame, slices: int, per_slice: int, st: str = "st", key: s
 def even_slices(df: DataFrame, n: int, order: list[str], to: str) -> DataFrame:
     """Adds the 1-based slice of n equal ones in a total order, as ntile does, without sorting in one task."""
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lead = F.col(order[0])
-    cuts = df.select(lead.cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.01)
-    bucket = F.lit(0)
-    for q in sorted(set(cuts)):
-        bucket = bucket + (lead >= F.lit(q)).cast("int")
-    rows = df.withColumn("_part", bucket)
+    # ranges of the whole order, in which no two rows are equal, so that equal first values are spread too
+    rows = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
     base = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"))
     rows = rows.join(F.broadcast(base), "_part").withColumn("_row", F.col("_base") + F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)

@@ -7,7 +7,9 @@ is noise. A cluster's number is the least key of its cores plus 1; noise has 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.scratch import stored
@@ -19,10 +21,19 @@ def _cut(df: DataFrame) -> DataFrame:
     return stored(df, "dbscan")
 
 
-def neighbours(df: DataFrame, eps: float, dims: list[str], key: str = "id", closed: bool = False) -> DataFrame:
+#: Distance of two points given by lists of columns.
+Metric = Callable[[list[Column], list[Column]], Column]
+
+
+def euclid(p: list[Column], q: list[Column]) -> Column:
+    return F.sqrt(sum(((a - b) * (a - b) for a, b in zip(p, q)), F.lit(0.0)))
+
+
+def neighbours(df: DataFrame, eps: float, dims: list[str], key: str = "id", closed: bool = False, metric: Metric = euclid) -> DataFrame:
     """(a, b, d): keys of points nearer than eps, each pair both ways and each point with itself; `closed` takes eps too.
 
-    Cells of side eps in the first two dimensions: each point meets those of its own and the neighbouring cells.
+    Cells of side eps in the first two dimensions: each point meets those of its own and the neighbouring cells. A metric
+    must be no less than the difference on either of these.
     """
     at = lambda c: F.floor(F.col(c) / eps).cast("long")
     grid = dims[:2]
@@ -30,14 +41,14 @@ def neighbours(df: DataFrame, eps: float, dims: list[str], key: str = "id", clos
     q = df.select(F.col(key).alias("b"), *[F.col(d).alias(f"q{i}") for i, d in enumerate(dims)], *[at(d).alias(f"_c{i}") for i, d in enumerate(grid)])
     for i in range(len(grid)):
         p = p.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + j for j in (-1, 0, 1)])))
-    total = sum(((F.col(f"p{i}") - F.col(f"q{i}")) * (F.col(f"p{i}") - F.col(f"q{i}")) for i in range(len(dims))), F.lit(0.0))
-    pairs = p.join(q, [f"_c{i}" for i in range(len(grid))]).withColumn("d", F.sqrt(total))
+    sides = ([F.col(f"{s}{i}") for i in range(len(dims))] for s in "pq")
+    pairs = p.join(q, [f"_c{i}" for i in range(len(grid))]).withColumn("d", metric(*sides))
     return pairs.where(F.col("d") <= eps if closed else F.col("d") < eps).select("a", "b", "d")
 
 
-def dbscan(df: DataFrame, eps: float, min_pts: int, dims: list[str], key: str = "id", include_noise: bool = True) -> DataFrame:
-    """Adds cluster_id and label to rows with a unique key. Rows with a null coordinate are noise."""
-    pairs = _cut(neighbours(df, eps, dims, key).select("a", "b"))
+def dbscan(df: DataFrame, eps: float, min_pts: int, dims: list[str], key: str = "id", include_noise: bool = True, metric: Metric = euclid) -> DataFrame:
+    """Adds cluster_id and label to rows with a unique key. Rows with a null coordinate are noise. metric: see `neighbours`."""
+    pairs = _cut(neighbours(df, eps, dims, key, metric=metric).select("a", "b"))
     cores = _cut(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).select(F.col("a").alias("c")))
     links = pairs.join(cores, pairs.b == cores.c, "left_semi")
     inner = _cut(links.join(cores, links.a == cores.c, "left_semi"))
@@ -57,6 +68,21 @@ def dbscan(df: DataFrame, eps: float, min_pts: int, dims: list[str], key: str =
     return out if include_noise else out.where("cluster_id > 0")
 
 
+def predict(df: DataFrame, clustered: DataFrame, eps: float, dims: list[str], key: str = "id", metric: Metric = euclid) -> DataFrame:
+    """Adds the cluster_id of the nearest core that is nearer than eps, the least number among equals; 0 without one."""
+    cores = clustered.where(F.col("label") == CORE).select(F.lit(1).alias("side"), F.col("cluster_id").cast("long").alias("k"), *dims)
+    both = df.select(F.lit(0).alias("side"), F.col(key).cast("long").alias("k"), *dims).union(cores)
+    both = both.withColumn("_id", F.struct("side", "k", *dims))
+    near = neighbours(both, eps, dims, "_id", metric=metric).where("a.side = 0 AND b.side = 1")
+    best = near.groupBy(F.col("a.k").alias(key)).agg(F.min(F.struct("d", F.col("b.k").alias("c"))).alias("best")).select(key, F.col("best.c").alias("cluster_id"))
+    return df.join(best, key, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0).cast("long")))
+
+
+def write_clusters(clustered: DataFrame, path: str, dims: list[str]) -> None:
+    """Text lines of the coordinates and the cluster's number, with commas between."""
+    clustered.select(F.concat_ws(",", *[F.col(d).cast("string") for d in dims], F.col("cluster_id").cast("string"))).write.text(path)
+
+
 def num_clusters(clustered: DataFrame) -> DataFrame:
     return clustered.where("cluster_id > 0").agg(F.countDistinct("cluster_id").alias("n"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 
 
 def convex_hull(df: DataFrame, group: list[str], x: str = "x", y: str = "y", salt: int = 16) -> DataFrame:
-    """group, pos, x, y: corners counter-clockwise from the least. Hulls of salted parts first, then the hull of these."""
+    """group, pos, x, y: corners counter-clockwise from the least. Hulls of batches first, then of salted parts of their corners, then of these."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*group).schema.fields)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -37,5 +39,13 @@ def convex_hull(df: DataFrame, group: list[str], x: str = "x", y: str = "y", sal
 
     schema = f"{fields}{', ' * bool(group)}pos int, `{x}` double, `{y}` double"
     rows = df.select(*group, F.col(x).cast("double"), F.col(y).cast("double")).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    part = rows.withColumn("_salt", F.pmod(F.xxhash64(x, y), F.lit(salt))).groupBy(*group, "_salt").applyInPandas(run, schema)
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The hull of each group in a batch, so that corners alone are moved."""
+        for pdf in parts:
+            for _, g in pdf.groupby(group, dropna=False, sort=False) if group else [(None, pdf)]:
+                yield run(g)
+
+    first = rows.mapInPandas(batches, schema).drop("pos")
+    part = first.withColumn("_salt", F.pmod(F.xxhash64(x, y), F.lit(salt))).groupBy(*group, "_salt").applyInPandas(run, schema)
     return part.drop("pos").groupBy(*group).applyInPandas(run, schema) if group else part.drop("pos").groupBy().applyInPandas(run, schema)

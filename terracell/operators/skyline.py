@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terracell.functions import distance
+from terracell.scratch import stored
 
 
 def dominates(a: Column, b: Column) -> Column:
@@ -24,22 +25,53 @@ def distances(df: DataFrame, query: Column, st: str = "st", metric: Callable[[Co
     return df.withColumns({"sd": d["s"], "td": d["t"]}).where(F.col("sd").isNotNull() & F.col("td").isNotNull())
 
 
-def skyline(df: DataFrame, query: Column, st: str = "st", metric: Callable[[Column, Column], Column] = distance.euclid, parts: int = 64, angular: bool = False) -> DataFrame:
-    """Rows of the skyline with sd and td.
+def _front(places: DataFrame, parts: int) -> DataFrame:
+    """Of (sd, td) the places that none beats. Slices of sd hold about equal numbers; the least td of the slices before one
+    (a number for each slice) beats most of its places in a filter, and the rest is passed over in order, slice by slice."""
+    cuts = sorted(set(places.approxQuantile("sd", [i / parts for i in range(1, parts)], 0.001)))
+    slice_ = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("sd"))) if cuts else F.lit(0)
+    rows = places.withColumn("_slice", slice_)
+    least = {r["_slice"]: r["td"] for r in rows.groupBy("_slice").agg(F.min("td").alias("td")).collect()}  # `parts` rows at most
+    before, so_far = [], float("inf")
+    for i in range(len(cuts) + 1):
+        before.append(so_far)
+        so_far = min(so_far, least.get(i, so_far))
+    rows = rows.where(F.col("td") < F.array(*[F.lit(v) for v in before])[F.col("_slice")])
+    seen = W.partitionBy("_slice").orderBy("sd").rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("_least", F.min("td").over(seen)).where(F.col("_least").isNull() | (F.col("td") < F.col("_least"))).select("sd", "td")
 
-    Places are cut into slices of sd (or of the angle of (sd, td) where `angular`). Each slice's own skyline is taken in
-    parallel, from the least td of each sd. What is left of all slices, which a slice's size bounds no more than the
-    skylines do, is passed over once more in order of sd.
+
+def skyline(df: DataFrame, query: Column, st: str = "st", metric: Callable[[Column, Column], Column] = distance.euclid, parts: int | None = None, angular: bool = False) -> DataFrame:
+    """Rows of the skyline with sd and td. With `angular`, slices of the angle of (sd, td) keep their own skylines first.
+
+    parts: slices, as many as there are shuffle partitions or 64 if left out. No step has all places in one task.
     """
+    parts = parts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = distances(df, query, st, metric)
     places = rows.groupBy("sd").agg(F.min("td").alias("td"))
     if angular:
-        slice_ = F.floor(F.atan2("td", "sd") / (F.lit(3.141592653589793) / 2 / parts))
-    else:
-        top = rows.agg(F.max("sd")).first()[0] or 0.0
-        slice_ = F.floor(F.col("sd") / F.lit((top or 1.0) / parts * (1 + 1e-9)))
-    before = W.partitionBy("_slice").orderBy("sd").rowsBetween(W.unboundedPreceding, -1)
-    local = places.withColumn("_slice", slice_).withColumn("_least", F.min("td").over(before)).where(F.col("_least").isNull() | (F.col("td") < F.col("_least")))
-    every = W.orderBy("sd").rowsBetween(W.unboundedPreceding, -1)
-    best = local.select("sd", "td").withColumn("_least", F.min("td").over(every)).where(F.col("_least").isNull() | (F.col("td") < F.col("_least")))
+        seen = W.partitionBy("_angle").orderBy("sd").rowsBetween(W.unboundedPreceding, -1)
+        places = places.withColumn("_angle", F.floor(F.atan2("td", "sd") / (F.lit(3.141592653589793) / 2 / parts))).withColumn("_least", F.min("td").over(seen))
+        places = places.where(F.col("_least").isNull() | (F.col("td") < F.col("_least"))).select("sd", "td")
+    best = _front(stored(places, "places"), parts)
+    return rows.join(best, ["sd", "td"], "left_semi").select(*df.columns, "sd", "td")
+
+
+def skyline_by(df: DataFrame, query: Column, beats: Callable[[Column, Column], Column] = dominates, st: str = "st", metric: Callable[[Column, Column], Column] = distance.euclid, parts: int = 16) -> DataFrame:
+    """Rows that no other row beats by a rule of one's own over structs of sd and td, which must be transitive and strict.
+
+    Places are dealt to parts and compared inside of them first; what a part keeps then meets what all parts keep, once for
+    each pair of parts.
+    """
+    rows = distances(df, query, st, metric)
+    places = rows.select("sd", "td").distinct().withColumn("_part", F.pmod(F.xxhash64("sd", "td"), F.lit(parts)).cast("int"))
+
+    def left(these: DataFrame, others: DataFrame) -> DataFrame:
+        a = these.select("_part", F.struct("sd", "td").alias("a"))
+        b = others.select("_part", F.struct("sd", "td").alias("b"))
+        return a.join(b, (a["_part"] == b["_part"]) & beats(F.col("b"), F.col("a")), "left_anti").select("_part", "a.*")
+
+    local = stored(left(places, places), "skyline")
+    every = local.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    best = left(local, every)
     return rows.join(best.select("sd", "td"), ["sd", "td"], "left_semi").select(*df.columns, "sd", "td")

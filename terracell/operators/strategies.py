@@ -6,9 +6,11 @@ statistics of row groups sorted by place do what a tree in each partition would,
 
 from __future__ import annotations
 
+import dataclasses
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracell.operators import cells
@@ -71,6 +73,9 @@ class NoStrategy:
     pass
 
 
+_STRATEGIES = {c.__name__: c for c in (GridStrategy, BspStrategy, TileStrategy, TimeStrategy, SpaceTimeStrategy, AngularStrategy, NoStrategy)}
+
+
 @dataclass(frozen=True)
 class IndexConfig:
     """How rows lie in a stored cell: by place, or by time."""
@@ -121,8 +126,17 @@ def live_index(df: DataFrame, strategy=None, config: IndexConfig | None = None,
 def index(df: DataFrame, path: str, strategy=None, config: IndexConfig | None = None, st: str = "st") -> None:
     """Stores the table by cells, to be read by `partitioned.read`, `knn` and `join`."""
     config = config or IndexConfig()
-    df.sparkSession.conf.set("parquet.block.size", str(config.row_group_bytes))
-    partitioned.write(with_cells(df, strategy or NoStrategy(), st), path, "cell", st)
+    strategy = strategy or NoStrategy()
+    options = {"parquet.block.size": str(config.row_group_bytes)}
+    partitioned.write(with_cells(df, strategy, st), path, "cell", st, options=options, order="t_start" if config.by == "time" else "xmin")
+    held = json.dumps({"strategy": type(strategy).__name__} | {"fields": dataclasses.asdict(strategy)})
+    df.sparkSession.createDataFrame([(held,)], "value string").coalesce(1).write.text(f"{path}/strategy")
+
+
+def strategy_of(spark: SparkSession, path: str):
+    """The strategy that a table was stored by, so that other tables can be dealt alike."""
+    held = json.loads("".join(r[0] for r in spark.read.text(f"{path}/strategy").collect()))  # one line
+    return _STRATEGIES[held["strategy"]](**held["fields"])
 
 
 def items(stored: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracell.functions import distance, predicates, temporal, tiles, wkt
+from terracell.functions import boxes, distance, predicates, temporal, tiles, wkt
 from terracell.functions.sql import register
 from terracell.functions.types import st_box, st_line, st_point, st_polygon, with_time
-from terracell.operators import cells, dbscan, filter, hull, join, knn, raster, skyline
+from terracell.operators import cells, dbscan, filter, hull, join, knn, raster, skyline, strategies
 from terracell.plans.fixtures import cust_points, emb_points, ev_places, ev_points, ev_tiles, ev_untimed, grid_boxes, month_intervals, ord_intervals, plots, sql, table, user_boxes
+from terracell.plans.spatial_sql import spatial_sql
 from terracell.scratch import scratch
 from terracell.sources import partitioned, rasters
 
@@ -632,3 +633,300 @@ def s_window(spark, sf):
 def s_semi_join(spark, sf):
     big = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
     return table(spark, sf, "orders").join(big, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("customers"))
+
+
+# ---- statements in SQL
+
+
+def _view(spark: SparkSession, df: DataFrame, name: str) -> None:
+    register(spark)
+    df.createOrReplaceTempView(f"terracell_{name}")
+
+
+@query("SELECT id, gid FROM ev, gb WHERE x > x0 AND x < x1 AND y > y0 AND y < y1", "ev", "gb")
+def j_sql_join(spark, sf):
+    _view(spark, ev_places(spark, sf).select("id", "st"), "places")
+    _view(spark, grid_boxes(spark, sf).select("gid", "st"), "boxes")
+    return spatial_sql(spark, "SELECT id, gid FROM terracell_places p, terracell_boxes b WHERE st_containedby(p.st, b.st)")
+
+
+@query("SELECT bid, gid FROM ub, gb WHERE ub.x0 <= gb.x1 AND ub.x1 >= gb.x0 AND ub.y0 <= gb.y1 AND ub.y1 >= gb.y0 AND bid + gid > 20", "ub", "gb")
+def j_sql_join_wkt(spark, sf):
+    """Constructors inside of the condition, and another condition beside it."""
+    _view(spark, grid_boxes(spark, sf).select("gid", wkt.st_wkt(F.col("st")).alias("w")), "texts")
+    _view(spark, user_boxes(spark, sf).select("bid", "st"), "users")
+    return spatial_sql(spark, "SELECT bid, gid FROM terracell_texts t JOIN terracell_users u ON st_intersects(st_geomfromwkt(t.w), u.st) AND u.bid + t.gid > 20")
+
+
+@query("SELECT tx, ty, gid FROM tl, gb WHERE ulx <= x1 AND ulx + 10 >= x0 AND uly - 10 <= y1 AND uly >= y0", "tl", "gb")
+def j_sql_join_tile(spark, sf):
+    _view(spark, ev_tiles(spark, sf), "tiles")
+    _view(spark, grid_boxes(spark, sf).select("gid", "st"), "boxes")
+    return spatial_sql(spark, "SELECT tx, ty, gid FROM terracell_tiles t JOIN terracell_boxes b ON st_intersects(b.st, t.tile)")
+
+
+@query("SELECT tx, ty FROM tl WHERE ulx <= 57 AND ulx + 10 >= 23 AND uly - 10 <= 44 AND uly >= 18", "tl")
+def f_sql_intersects_tile(spark, sf):
+    _view(spark, ev_tiles(spark, sf), "tiles")
+    return spark.sql("SELECT tx, ty FROM terracell_tiles WHERE st_intersects(tile, st_geomfromwkt('POLYGON ((23 18, 57 18, 57 44, 23 44, 23 18))'))")
+
+
+@query("SELECT bid FROM ub WHERE x0 < 250 AND x1 > 250", "ub")
+def f_sql_contains(spark, sf):
+    _view(spark, user_boxes(spark, sf).select("bid", "st"), "users")
+    return spark.sql("SELECT bid FROM terracell_users WHERE st_contains(st, st_point(250, CAST(bid AS DOUBLE)))")
+
+
+@query("SELECT gid, 'POINT (' || x0::INT || ' ' || y0::INT || ')' AS text FROM gb", "gb")
+def c_sql_point_text(spark, sf):
+    _view(spark, grid_boxes(spark, sf).select("gid", "x0", "y0"), "corners")
+    return spark.sql("SELECT gid, st_wkt(st_point(x0, y0)) AS text FROM terracell_corners")
+
+
+@query("SELECT tx, ty, ulx, uly, 10 AS w, 10 AS h, len(v)::INT AS n, list_max(v) AS hi, list_min(v) AS lo, v[51] AS mid, ulx AS xmin FROM tl", "tl")
+def r_sql_getters(spark, sf):
+    _view(spark, ev_tiles(spark, sf), "tiles")
+    return spark.sql("SELECT tx, ty, ulx(tile) AS ulx, uly(tile) AS uly, width(tile) AS w, height(tile) AS h, size(data(tile)) AS n, r_max(tile) AS hi, r_min(tile) AS lo, r_median(tile) AS mid, st_geomfromtile(tile).xmin AS xmin FROM terracell_tiles")
+
+
+@query(ORACLES["r_histogram_tile"])
+def r_sql_histogram(spark, sf):
+    _view(spark, ev_tiles(spark, sf), "tiles")
+    return spark.sql("SELECT tx, ty, k, h_value(b) AS n, h_lower(b) AS lo, h_upper(b) AS hi FROM (SELECT tx, ty, posexplode(histogram(tile, 3)) AS (k, b) FROM terracell_tiles)")
+
+
+@query("+ p AS (SELECT tx, unnest(v) AS z FROM tl) SELECT tx, count(*) AS n, min(z) AS lo, max(z) AS hi FROM p GROUP BY tx HAVING max(z) > min(z)", "tl")
+def r_sql_rasterhistogram(spark, sf):
+    """Of the tiles of each column of tiles: pixels in all buckets, and the buckets' outer bounds."""
+    _view(spark, ev_tiles(spark, sf), "tiles")
+    buckets = spark.sql("SELECT tx, explode(rasterhistogram(tile)) AS b FROM terracell_tiles GROUP BY tx")
+    v = F.col("b")
+    return buckets.groupBy("tx").agg(F.sum(v["values"]).alias("n"), F.min(v["lowerBounds"]).alias("lo"), F.max(v["upperBounds"]).alias("hi")).where("lo < hi AND lo = floor(lo) AND hi = floor(hi)")
+
+
+# ---- equality, boxes, points
+
+
+@query("SELECT gid FROM gb WHERE x0 = 100 AND y0 = 30", "gb")
+def f_equals(spark, sf):
+    """The same ring, begun elsewhere and gone round the other way."""
+    ring = st_polygon([(150.0, 45.0), (150.0, 30.0), (100.0, 30.0), (100.0, 45.0)])
+    return grid_boxes(spark, sf).where(predicates.st_equals(F.col("st"), ring, "any")).select("gid")
+
+
+@query("SELECT bid, round(least(x0, 100), 6) AS lo, round(greatest(x1, 200), 6) AS hi, round((greatest(x1, 200) - least(x0, 100)) * (greatest(y1, 60) - least(y0, 30)), 4) AS volume, round((x0 + x1) / 2, 6) AS cx, x0 <= 200 AND x1 >= 100 AND y0 <= 60 AND y1 >= 30 AS meets, x0 <= 150 AND x1 > 150 AND y0 <= 40 AND y1 > 40 AS holds FROM ub", "ub")
+def b_box_math(spark, sf):
+    b, q = boxes.box(boxes.point(F.col("x0"), F.col("y0")), boxes.point(F.col("x1"), F.col("y1"))), boxes.box(boxes.point(100, 30), boxes.point(200, 60))
+    e = boxes.extend(b, q)
+    return user_boxes(spark, sf).select("bid", _r(e["lo"][0]).alias("lo"), _r(e["hi"][0]).alias("hi"), _r(boxes.volume(e), 4).alias("volume"), _r(boxes.center(b)[0]).alias("cx"), boxes.intersects(b, q).alias("meets"), boxes.contains_point(b, boxes.point(150, 40)).alias("holds"))
+
+
+@query("SELECT bid, k::INT AS k, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT bid, unnest([0, 1]) AS k, unnest([x0, greatest(x0, 240)]) AS a, unnest([least(x1, 260), x1]) AS b FROM ub) WHERE (k = 0 AND a < least(b, 240)) OR (k = 1 AND b > greatest(a, 260)) ORDER BY 1", "ub")
+def b_box_difference(spark, sf):
+    """What lies left and right of a band that goes through all boxes: its bounds cut to the band's."""
+    b = boxes.box(boxes.point(F.col("x0"), F.col("y0")), boxes.point(F.col("x1"), F.col("y1")))
+    band = boxes.box(boxes.point(240, -10), boxes.point(260, 10_000))
+    d = F.col("d")
+    rows = user_boxes(spark, sf).select("bid", "x0", "x1", F.explode(boxes.difference(b, band, 2)).alias("d")).where((d["lo"][0] < 240) | (d["hi"][0] > 260))
+    left = d["lo"][0] < 240
+    return rows.select("bid", F.when(left, 0).otherwise(1).alias("k"), _r(F.when(left, F.col("x0")).otherwise(F.greatest("x0", F.lit(240.0)))).alias("a"), _r(F.when(left, F.least("x1", F.lit(260.0))).otherwise(F.col("x1"))).alias("b"))
+
+
+@query("SELECT id, round(least(x, 250), 6) AS lo, round(greatest(y, 75), 6) AS hi, x AS kept, 7.0::DOUBLE AS set, abs(x - 250) < 100 AND abs(y - 75) < 100 AS near FROM ev", "ev")
+def b_point_math(spark, sf):
+    p, q = boxes.point(F.col("x"), F.col("y")), boxes.point(250, 75)
+    moved = boxes.with_value(p, 1, 7.0)
+    return ev_points(spark, sf).select("id", _r(boxes.merge_min(p, q)[0]).alias("lo"), _r(boxes.merge_max(p, q)[1]).alias("hi"), moved[0].alias("kept"), moved[1].alias("set"), boxes.near(p, q, 100).alias("near"))
+
+
+@query("SELECT a.tx, a.ty, b.tx AS r_tx, b.ty AS r_ty, a.tx = b.tx AND a.ty = b.ty AS holds FROM tl a JOIN tl b ON abs(a.tx - b.tx) <= 1 AND a.ty = b.ty", "tl")
+def r_tile_predicates(spark, sf):
+    e = ev_tiles(spark, sf)
+    r = e.select(F.col("tx").alias("r_tx"), F.col("ty").alias("r_ty"), F.col("tile").alias("r_tile"))
+    rows = e.join(r, (F.col("ty") == F.col("r_ty")) & tiles.tile_intersects(F.col("tile"), F.col("r_tile")))
+    return rows.select("tx", "ty", "r_tx", "r_ty", tiles.tile_contains(F.col("tile"), F.col("r_tile")).alias("holds"))
+
+
+@query("SELECT gid, 50 AS w, 15 AS h, (x0 + 3 + (y1 - 2) * 1000)::DOUBLE AS v FROM gb", "gb")
+def r_tile_from_box(spark, sf):
+    """Tiles made from boxes, with values that tell the place: the one of column 3 and row 2."""
+    t = tiles.from_box_computed(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), lambda x, y: x + y * 1000)
+    return grid_boxes(spark, sf).select("gid", t.alias("t")).select("gid", F.col("t.width").alias("w"), F.col("t.height").alias("h"), tiles.value_array(F.col("t"), F.lit(3), F.lit(2)).alias("v"))
+
+
+@query("SELECT tx, ty, v[38] AS by_index, v[38] AS by_cell, v[38] AS by_place, 7 AS col, 3 AS row FROM tl", "tl")
+def r_pixel_access(spark, sf):
+    t = F.col("tile")
+    at = tiles.col_row(t, F.lit(37))
+    return ev_tiles(spark, sf).select("tx", "ty", tiles.value(t, F.lit(37)).alias("by_index"), tiles.value_array(t, F.lit(7), F.lit(3)).alias("by_cell"), tiles.value_at(t, t["ulx"] + 7.5, t["uly"] - 3.5).alias("by_place"), at["col"].alias("col"), at["row"].alias("row"))
+
+
+@query("SELECT tx, ty, list_sum(v) - v[6] + 9 AS one, list_sum(v) - list_sum(v[21:30]) + 10 AS whole FROM tl", "tl")
+def r_pixel_update(spark, sf):
+    t, total = F.col("tile"), lambda c: F.aggregate(c["values"], F.lit(0.0), lambda a, v: a + v)
+    return ev_tiles(spark, sf).select("tx", "ty", total(tiles.set_value(t, F.lit(5), F.lit(9.0))).alias("one"), total(tiles.set_row(t, F.lit(2), F.array_repeat(F.lit(1.0), 10))).alias("whole"))
+
+
+@query("+ p AS (SELECT unnest(v) AS z FROM tl), m AS (SELECT min(z) AS lo, greatest(1, ceil((max(z) - min(z)) / 4)) AS step FROM p) SELECT floor((z - lo) / step)::INT AS bucket, (2 * count(*))::BIGINT AS values FROM p, m GROUP BY 1", "tl")
+def r_combine_histograms(spark, sf):
+    h = raster.byte_histogram(ev_tiles(spark, sf), 4)
+    return raster.combine_histograms(h, h).select("bucket", "values")
+
+
+# ---- distances, strategies, clusters
+
+
+@query("SELECT a.bid, b.bid AS r_bid, round(greatest(b.x0 - a.x1, a.x0 - b.x1, 0), 6) AS lo, round(sqrt(greatest(abs(b.x1 - a.x0), abs(a.x1 - b.x0)) ** 2 + 4), 6) AS hi FROM ub a JOIN ub b ON b.bid = a.bid + 1", "ub")
+def d_envelope_order(spark, sf):
+    """Least and greatest distance of neighbouring boxes, where the order of such distances says so too."""
+    u = user_boxes(spark, sf).select("bid", "st")
+    r = u.select((F.col("bid") - 1).alias("bid"), F.col("bid").alias("r_bid"), F.col("st").alias("r_st"))
+    d = distance.envelope_distance(F.col("st"), F.col("r_st"))
+    far = F.struct((d["max"] + 1).alias("min"), (d["max"] + 2).alias("max"))
+    in_order = distance.interval_less(d, far) & distance.interval_less(d, far, True) & ~distance.interval_less(far, d)
+    return u.join(r, "bid").where(in_order).select("bid", "r_bid", _r(d["min"]).alias("lo"), _r(d["max"]).alias("hi"))
+
+
+@query("SELECT bid, round(5 * abs(bid * 1.0 - 7), 6) AS d FROM ub", "ub")
+def d_hausdorff_weighted(spark, sf):
+    """Boxes of half a unit's height moved by whole units: of time 5 for each, of space nothing."""
+    b = F.col("bid")
+    a, q = st_box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0), instant=b), st_box(0.0, 0.0, 1.0, 1.0, instant=7)
+    return user_boxes(spark, sf).select("bid", _r(distance.hausdorff(a, q, 2.0, 5.0)).alias("d"))
+
+
+@query("SELECT id, (least(greatest(floor((y - y0) / ((y1 + 1e-6 - y0) / 8)), 0), 7) * 8 + least(greatest(floor((x - x0) / ((x1 + 1e-6 - x0) / 8)), 0), 7))::INT AS cell FROM ev, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ev)", "ev")
+def p_strategy_cells(spark, sf):
+    return strategies.partition_by(ev_places(spark, sf), strategies.GridStrategy(8, points=True)).select("id", "cell")
+
+
+@query("SELECT tx, ty, (least(greatest(floor((ty * 10 + 5) / 15), 0), 9) * 10 + least(greatest(floor((tx * 10 + 5) / 50), 0), 9))::INT AS cell FROM tl", "tl")
+def p_tile_cells(spark, sf):
+    return raster.grid_tiles(ev_tiles(spark, sf), _grid()).select("tx", "ty", "cell")
+
+
+@query("SELECT i::INT AS cell, count(id) * 2 AS n FROM range(100) r(i) JOIN ev ON i = least(greatest(floor(y / 15), 0), 9) * 10 + least(greatest(floor(x / 50), 0), 9) GROUP BY i", "ev")
+def p_histogram_algebra(spark, sf):
+    h = cells.grid_histogram(ev_places(spark, sf), _grid(), points=True)
+    return cells.nonempty_cells(cells.combine_histograms(h, h)).select("cell", "n")
+
+
+@query("SELECT count(*) AS n, round(min(x), 6) AS xmin, round(max(y), 6) AS ymax FROM ev WHERE x >= 100 AND x < 300 AND y >= 0 AND y < 60", "ev")
+def p_range_cost(spark, sf):
+    h = cells.grid_histogram(ev_places(spark, sf), _grid(), points=True)
+    return cells.range_cost(h, cells.Extent(100.0, 0.0, 300.0, 60.0)).select("n", _r("xmin").alias("xmin"), _r("ymax").alias("ymax"))
+
+
+@query("SELECT count(*) AS n, true AS fits, true AS whole FROM ev", "ev")
+def p_bsp_cells_hold(spark, sf):
+    """The boxes of the binary splits: all values lie in one, none has more than it may unless it is one cell."""
+    e = ev_places(spark, sf)
+    most = max(1, e.count() // 16)
+    made = cells.bsp_cells(e, 25.0, most, points=True)
+    sides = spark.createDataFrame([(i, b.xmax - b.xmin, b.ymax - b.ymin) for i, b in enumerate(made)], "cell int, w double, h double")
+    held = cells.box_cells(e, made).groupBy("cell").agg(F.count("*").alias("n")).join(sides, "cell")
+    fits = (F.col("n") <= most) | ((F.col("w") < 26) & (F.col("h") < 26))
+    return held.agg(F.sum("n").alias("n"), F.bool_and(fits).alias("fits"), (F.count("*") == len(made)).alias("whole"))
+
+
+@query("SELECT count(*) AS n, true AS even FROM ev", "ev")
+def p_spacetime_bsp(spark, sf):
+    """Splits by cost in space, and ten slices of time in each box: every value once, slices numbered from 0 to 9."""
+    rows = cells.spacetime_bsp(ev_points(spark, sf), 25.0, 1000, points=True)
+    return rows.agg(F.count("*").alias("n"), (F.min("slice").between(0, 9) & F.max("slice").between(0, 9)).alias("even"))
+
+
+_CHEBYSHEV = "greatest(abs(a.x - b.x), abs(a.y - b.y))"
+
+
+@query(_DBSCAN.replace(_PAIR, _CHEBYSHEV) + "SELECT id, coalesce(c, 0) AS cluster_id, label FROM cl", "em")
+def m_dbscan_metric(spark, sf):
+    """With the greater of the two differences as the distance."""
+    metric = lambda p, q: F.greatest(F.abs(p[0] - q[0]), F.abs(p[1] - q[1]))
+    return dbscan.dbscan(emb_points(spark, sf), 2.0, 5, ["x", "y"], metric=metric).select("id", "cluster_id", "label")
+
+
+@query(_DBSCAN + f"SELECT a.id, coalesce(arg_min(c, ({_PAIR}, c)), 0) AS cluster_id FROM em a LEFT JOIN (SELECT em.id, x, y, c + 1 AS c FROM em JOIN cc ON cc.id = em.id) b ON {_PAIR} < 2 GROUP BY a.id", "em")
+def m_predict(spark, sf):
+    e = emb_points(spark, sf)
+    return dbscan.predict(e, dbscan.dbscan(e, 2.0, 5, ["x", "y"]), 2.0, ["x", "y"]).select("id", "cluster_id")
+
+
+@query(f"+ d AS (SELECT id, sqrt((x - 250) * (x - 250) + (y - 75) * (y - 75)) AS sd, abs(t - {T2})::DOUBLE AS td FROM ev) SELECT id, round(sd, 6) AS sd, td FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.sd < d.sd AND o.td < d.td)", "ev")
+def m_skyline_by(spark, sf):
+    """A row beats another only if it is nearer in both."""
+    both = lambda a, b: (a["sd"] < b["sd"]) & (a["td"] < b["td"])
+    metric = lambda a, b: distance.euclid(a, b, points=True)
+    return skyline.skyline_by(ev_points(spark, sf), st_point(250.0, 75.0, instant=T2), both, metric=metric).select("id", _r("sd").alias("sd"), "td")
+
+
+# ---- text forms and sinks
+
+
+@query(f"SELECT id, t FROM ev WHERE x BETWEEN 100 AND 200 AND y BETWEEN 30 AND 60 AND t BETWEEN {T0} AND {T1}", "ev")
+def io_text(spark, sf):
+    """Lines by cell with extents, and the lines of the cells that a query needs, parsed and filtered."""
+    path, v = _folder(spark), F.col("st")
+    rows = cells.grid_cells(ev_points(spark, sf), _grid(), points=True)
+    partitioned.write_text(rows, path, F.concat_ws(";", "id", wkt.st_wkt(v), "t"))
+    p = F.split("value", ";")
+    box = st_box(*BOX, start=T0, end=T1)
+    found = partitioned.read_text(spark, path, box).select(p[0].cast("long").alias("id"), p[2].cast("long").alias("t"), wkt.st_pointfromwkt(p[1], instant=p[2]).alias("st"))
+    return filter.st_filter(found, box, "intersects", kinds=("point", "box")).select("id", "t")
+
+
+@query(f"SELECT id, x, y FROM ev WHERE x BETWEEN 100 AND 200 AND y BETWEEN 30 AND 60 AND t BETWEEN {T0} AND {T1}", "ev")
+def io_index(spark, sf):
+    """A stored index whose strategy is read back, and used for another table."""
+    path = _folder(spark)
+    strategies.index(ev_points(spark, sf), path, strategies.GridStrategy(8, points=True), strategies.IndexConfig("time", 1 << 20))
+    if strategies.strategy_of(spark, path) != strategies.GridStrategy(8, points=True):
+        raise ValueError("another strategy was read back")
+    return strategies.items(partitioned.read(spark, path, st_box(*BOX, start=T0, end=T1), kinds=("point", "box"))).select("id", "x", "y")
+
+
+@query("SELECT id, x FROM ev WHERE x BETWEEN 100 AND 200 AND y BETWEEN 30 AND 60", "ev")
+def f_live_index(spark, sf):
+    rows = strategies.live_index(ev_places(spark, sf), strategies.GridStrategy(8, points=True))
+    return filter.st_filter(rows, st_box(*BOX), "intersects", kinds=("point", "box")).select("id", "x")
+
+
+@query("SELECT gid, id FROM ev, gb WHERE x > x0 AND x < x1 AND y > y0 AND y < y1", "ev", "gb")
+def io_broadcast_index(spark, sf):
+    """Join with a stored table of which the cells that matter are read and sent to every task."""
+    path = _folder(spark)
+    partitioned.write(cells.grid_cells(grid_boxes(spark, sf).select("gid", "st"), _grid()), path)
+    return partitioned.broadcast_join(ev_places(spark, sf).select("id", "st"), path, "containedby", kinds=("point", "box")).select("gid", "id")
+
+
+@query("SELECT tx, ty, list_sum(v) AS total FROM tl WHERE ulx <= 57 AND ulx + 10 >= 23 AND uly - 10 <= 44 AND uly >= 18", "tl")
+def io_tile_table(spark, sf):
+    path = _folder(spark)
+    rasters.write_tile_table(ev_tiles(spark, sf), path)
+    return rasters.read_tile_table(spark, path, st_box(23.0, 18.0, 57.0, 44.0)).select("tx", "ty", F.aggregate("tile.values", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@query(_DBSCAN + "SELECT round(x, 6) AS x, coalesce(c, 0) AS cluster_id FROM cl JOIN em USING (id)", "em")
+def io_clusters(spark, sf):
+    """The clusters' text lines, read back."""
+    path, p = _folder(spark), F.split("value", ",")
+    dbscan.write_clusters(dbscan.dbscan(emb_points(spark, sf), 2.0, 5, ["x", "y"]), path, ["x", "y"])
+    return spark.read.text(path).select(_r(p[0].cast("double")).alias("x"), p[2].cast("long").alias("cluster_id"))
+
+
+@query("SELECT i::INT AS cell, round((i % 10) * 50.0::DOUBLE, 6) AS xmin, count(id) > 0 AS held FROM range(100) r(i) LEFT JOIN ev ON i = least(greatest(floor(y / 15), 0), 9) * 10 + least(greatest(floor(x / 50), 0), 9) GROUP BY i", "ev")
+def io_cells(spark, sf):
+    """The grid's text lines, read back: an empty cell has no extent."""
+    path, p = _folder(spark), F.split("value", ";")
+    cells.write_cells(cells.grid_histogram(ev_places(spark, sf), _grid(), points=True), path)
+    rows = spark.read.text(path).select(p[0].cast("int").alias("cell"), wkt.st_geomfromwkt(p[1]).alias("st"), (F.size(p) > 2).alias("held"))
+    return rows.select("cell", _r(F.col("st.xmin")).alias("xmin"), "held")
+
+
+@query("SELECT least(floor(x0 / 500 * 50), 49)::INT AS px, count(DISTINCT bid) AS n FROM ub GROUP BY 1", "ub")
+def r_outline_pixels(spark, sf):
+    """Left edges of the users' boxes in an image, by column."""
+    v = F.col("st")
+    left = user_boxes(spark, sf).withColumn("st", st_box(v["xmin"], v["ymin"], v["xmin"], v["ymax"]))
+    rows = rasters.outline_pixels(left.withColumn("st", st_box(F.col("st.xmin"), F.lit(75.0), F.col("st.xmin"), F.lit(75.0))), 50, 30, 0.0, 0.0, 500.0, 150.0, fill=True)
+    return rows.groupBy("px").agg(F.sum("n").alias("n"))

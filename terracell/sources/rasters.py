@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,21 @@ def write_tiles(df: DataFrame, path: str, column: str = "tile", sma: bool = Fals
     df.select(F.concat_ws(",", *fields, *([text(s[n]) for n in ("min", "max", "median")] if sma else []))).write.text(path)
 
 
+def write_tile_table(df: DataFrame, path: str, column: str = "tile", cells: int = 16) -> None:
+    """Parquet with the tiles' bounds as columns, dealt and sorted by place, so that readers can leave row groups out."""
+    a, b, c, d = tiles.span(F.col(column))
+    rows = df.withColumns({"_xmin": a, "_ymin": b, "_xmax": c, "_ymax": d})
+    rows.repartitionByRange(cells, "_xmin", "_ymin").sortWithinPartitions("_xmin", "_ymin").write.parquet(path)
+
+
+def read_tile_table(spark: SparkSession, path: str, query: Column | None = None) -> DataFrame:
+    """Stored tiles, or those that meet a query's envelope, whose comparisons reach the scan."""
+    rows = spark.read.parquet(path)
+    if query is not None:
+        rows = rows.where((F.col("_xmin") <= query["xmax"]) & (F.col("_xmax") >= query["xmin"]) & (F.col("_ymin") <= query["ymax"]) & (F.col("_ymax") >= query["ymin"]))
+    return rows.drop("_xmin", "_ymin", "_xmax", "_ymax")
+
+
 def decode_pgm(data: bytes) -> tuple[int, int, np.ndarray]:
     """Width, height and grey values of a binary or plain portable grey map."""
     parts, at = [], 0
@@ -112,12 +127,41 @@ def point_pixels(df: DataFrame, width: int, height: int, xmin: float, ymin: floa
     return df.where(inside).groupBy(at(px, width).alias("px"), at(py, height).alias("py")).agg(F.count("*").alias("n"))
 
 
-def image(pixels: DataFrame, width: int, height: int, value: str = "v") -> bytes:
-    """PNG of at most width x height pixels, grey from the least value to the greatest."""
-    canvas = np.zeros((height, width))
-    for r in pixels.collect():
-        canvas[r["py"], r["px"]] = r[value]
-    lo, hi = canvas.min(), canvas.max()
-    return png(((canvas - lo) / ((hi - lo) or 1) * 255).astype(np.uint8))
+def image(pixels: DataFrame, width: int, height: int, value: str = "v", color: Callable[[float], tuple[int, int, int]] | None = None, background: tuple[int, int, int] | int = 0, size: int = 1, flip: bool = False) -> bytes:
+    """PNG of at most width x height pixels: grey from the least value to the greatest, or in the color of each value.
+
+    size: side of the square drawn for each pixel; flip: upside down; pixels without a value have the background's color.
+    """
+    rows = pixels.select("py", "px", F.col(value).cast("double")).collect()  # width x height at most
+    values = np.array([r[2] for r in rows])
+    canvas = np.zeros((height, width, 3), np.uint8) + np.array(background, np.uint8)
+    lo, hi = (values.min(), values.max()) if len(values) else (0.0, 0.0)
+    grey = lambda v: (int((v - lo) / ((hi - lo) or 1) * 255),) * 3
+    for y, x, v in sorted(map(tuple, rows)):
+        canvas[max(0, y - (size - 1) // 2) : y + size // 2 + 1, max(0, x - (size - 1) // 2) : x + size // 2 + 1] = (color or grey)(v)
+    return png(canvas[::-1] if flip else canvas)
+
+
+def save(spark: SparkSession, data: bytes, path: str) -> None:
+    """Writes a file wherever Spark can."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def outline_pixels(df: DataFrame, width: int, height: int, xmin: float, ymin: float, xmax: float, ymax: float, st: str = "st", fill: bool = False) -> DataFrame:
+    """(px, py, n): values whose envelope's border (or whole, with `fill`) lies in each pixel of an image."""
+    v = F.col(st)
+    at = lambda c, lo, hi, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((c - lo) / (hi - lo) * n))).cast("int")
+    inside = (v["xmin"] <= xmax) & (v["xmax"] >= xmin) & (v["ymin"] <= ymax) & (v["ymax"] >= ymin)
+    a, b = at(v["xmin"], xmin, xmax, width), at(v["xmax"], xmin, xmax, width)
+    c, d = F.lit(height - 1) - at(v["ymax"], ymin, ymax, height), F.lit(height - 1) - at(v["ymin"], ymin, ymax, height)
+    rows = df.where(inside).select(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+    rows = rows.withColumn("px", F.explode(F.sequence("a", "b"))).withColumn("py", F.explode(F.sequence("c", "d")))
+    edge = F.col("px").isin(F.col("a"), F.col("b")) | F.col("py").isin(F.col("c"), F.col("d"))
+    return (rows if fill else rows.where(edge)).groupBy("px", "py").agg(F.count("*").alias("n"))
 
 
