@@ -18,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: Rows in an Arrow batch; texts are long, and Python holds a batch's words at once.
 BATCH_ROWS = 256
+#: Ids or pairs that may be broadcast; beyond it tables are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of text that are tokenized at once.
 BATCH_BYTES = 12 << 20
 
@@ -34,6 +36,11 @@ def free(name: str, df: DataFrame) -> str:
     return name
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows with the hint to broadcast it if these, counted, are BROADCAST_ROWS at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with a function of one batch, which gets `rows` rows at most; the session's batch size is left alone."""
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import by_batch, table
+from terracell.llm.common import by_batch, small, table
 from terracell.llm.components import components
 from terracell.scratch import remove, stored
 
@@ -34,8 +34,6 @@ BANDS, ROWS, BATCH = 40, 6, 40
 HASHES = BANDS * ROWS
 #: Probability at which a pair of the wanted similarity may be dropped in a batch.
 MISS = 1e-6
-#: Ids or pairs that may be broadcast; beyond it the tables are joined by shuffle.
-BROADCAST_ROWS = 300_000
 #: Rounds in which open buckets are compared with one member of their greatest component, after the one with the least member.
 LEADERS = 1
 #: Sets of a bucket in one block, and shingles of them (8 bytes each), on average at most; pairs looked at in one step.
@@ -47,11 +45,6 @@ _SHINGLE = _RNG.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.ui
 MEMO = 400_000
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table with the hint to broadcast it if its rows, counted, are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 class WordHashes(dict):
     """64-bit hashes of words (bytes), of which a bounded number is kept."""
 
@@ -177,7 +170,7 @@ def _open(rows: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
     sums = sums.groupBy("band").agg(F.sum("m").alias("rows"), F.sum("w").alias("weight"), F.max(F.struct("m", "comp", "w", F.col("pick.rep").alias("lead"))).alias("big")).where("rows > big.m")
     parts = lambda n, w: F.ceil(F.greatest(n / BLOCK_ROWS, w / BLOCK_SHINGLES)).cast("int")
     sums = sums.select("band", F.col("big.comp").alias("main"), F.col("big.lead").alias("lead"), parts(F.col("rows"), F.col("weight")).alias("p"), parts(F.col("rows") - F.col("big.m"), F.col("weight") - F.col("big.w")).alias("q"))
-    return stored(known.join(_small(stored(sums, "sums")), "band"), "open")
+    return stored(known.join(small(stored(sums, "sums")), "band"), "open")
 
 
 def _across(here: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
@@ -187,7 +180,7 @@ def _across(here: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float,
     across components meets in one. Small buckets share blocks. First the rows with a surviving pair in a block are found
     by signature; they alone get their full sets, and the block is gone through again: survivors are verified one row after
     the other, and a pair whose components links of the block join already is passed over. Of a block come fewer links than
-    it has components.
+    it has components. A pair that meets in several bands is looked at in the first.
     """
     floor = least_matches(threshold)
     loose = here.where("p = 1").agg(F.count("*"), F.sum("n")).first()
@@ -198,12 +191,13 @@ def _across(here: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float,
     held = here.select(*kept, F.lit(0).cast("tinyint").alias("role"), deal(F.col("p"), 1).alias("x"), F.explode(upto(F.col("q"))).alias("y"))
     asked = here.where("comp <> main").select(*kept, F.lit(1).cast("tinyint").alias("role"), F.explode(upto(F.col("p"))).alias("x"), deal(F.col("q"), 2).alias("y"))
     block = F.when(F.col("p") == 1, F.pmod(F.xxhash64("band"), F.lit(packs))).otherwise(F.xxhash64("band", "x", "y"))
-    dealt = held.unionByName(asked).select(block.alias("block"), "band", "x", "y", "role", "rep", "n", "comp").join(sigs.select("rep", "sig"), "rep")
+    dealt = held.unionByName(asked).select(block.alias("block"), "band", "x", "y", "role", "rep", "n", "comp").join(sigs.select("rep", "sig", "bands"), "rep")
 
     def pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Survivors (asked row, other row) of each bucket of a block, in bounded steps."""
+        """Survivors (asked row, other row) of each bucket of a block, in bounded steps; a pair counts in its first common band."""
         band, x, y, role, rep, n, comp = (t.column(c).to_numpy().astype(np.int64) for c in ("band", "x", "y", "role", "rep", "n", "comp"))
         sig, order = _sigs(t.column("sig")), np.lexsort((rep, role, y, x, band))
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         edge = np.flatnonzero(np.concatenate(([True], (np.diff(np.stack([band, x, y])[:, order]) != 0).any(axis=0), [True])))
         for lo, hi in zip(edge, edge[1:]):
             rows = order[lo:hi]
@@ -214,8 +208,10 @@ def _across(here: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float,
                 fine = (comp[c][:, None] != comp[b][None, :]) & (np.minimum.outer(n[c], n[b]) * 100 >= np.maximum.outer(n[c], n[b]) * percent)
                 i, j = np.nonzero(fine)
                 i, j, _ = _survivors(sig, sig, c[i], b[j], floor)
-                if len(i):
-                    yield i, j
+                common = bands[i] == bands[j]
+                first = common.argmax(axis=1) == (common & (bands[i] == np.int32(band[rows[0]] >> 32))).argmax(axis=1)
+                if first.any():
+                    yield i[first], j[first]
 
     def taking(t: pa.Table) -> pa.Table:
         part = np.zeros(t.num_rows, bool)
@@ -251,16 +247,17 @@ def _across(here: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float,
                 seen[mine] = False
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    shape = "rep long, block long, band long, x int, y int, role tinyint, n long, comp long, sig binary"
+    shape = "rep long, block long, band long, x int, y int, role tinyint, n long, comp long, sig binary, bands array<int>"
     some = stored(dealt.groupBy("block").applyInArrow(taking, shape), "blocks")
-    full = some.join(sets, "rep").select(*some.columns, "s")
+    used = sets.join(small(stored(some.select("rep").distinct(), "used")), "rep", "left_semi")
+    full = some.join(used, "rep").select(*some.columns, "s")
     return stored(full.groupBy("block").applyInArrow(linking, "a long, b long"), "links")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
-    one = sets.withColumnsRenamed({"rep": "a", "s": "x"}).join(_small(pairs.select("a", "b")), "a")
-    other = sets.join(_small(pairs.select(F.col("b").alias("rep")).distinct()), "rep", "left_semi").withColumnsRenamed({"rep": "b", "s": "y"})
+    one = sets.withColumnsRenamed({"rep": "a", "s": "x"}).join(small(pairs.select("a", "b")), "a")
+    other = sets.join(small(pairs.select(F.col("b").alias("rep")).distinct()), "rep", "left_semi").withColumnsRenamed({"rep": "b", "s": "y"})
     two = one.join(other, "b")
     common = two.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("i"))
     return stored(common.where(F.lit(100).cast("long") * F.col("i") >= F.lit(percent) * (F.col("p") + F.col("q") - F.col("i"))).select("a", "b"), "links")
@@ -272,7 +269,7 @@ def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["a", "b"])
 
-    held = docs.where(F.col("doc_id").isNotNull()).join(_small(reps), F.col("doc_id") == F.col("rep"), "left_semi")
+    held = docs.where(F.col("doc_id").isNotNull()).join(small(reps), F.col("doc_id") == F.col("rep"), "left_semi")
     return stored(by_batch(held, run, "rep long, s array<long>"), "sets", "lz4")
 
 
@@ -285,19 +282,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(_signed(docs, k), "signed")
-    nodes = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = stored(nodes, "nodes")
+    signed = stored(_signed(docs, k).withColumn("row", F.monotonically_increasing_id()), "signed")
     base = stored(signed.select("doc_id", "n", "key"), "base")
+    live = signed.where("n > 0 AND doc_id IS NOT NULL")
+    nodes = live.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("n").alias("n"))
+    nodes = stored(nodes.select("key", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), "n"), "nodes")
+
+    # buckets with two keys or more; of a key 32 bits, by which two keys look like one with probability 2^-32
+    banded = live.select("key", F.hash("key").alias("short"), F.explode("bands").alias("band"))
+    many = banded.groupBy("band").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo < hi").select("band")
+    shared = banded.join(small(stored(many, "buckets")), "band").select("band", "key").distinct().join(nodes, "key")
+    shared = stored(shared.select("band", "rep", "row", "n"), "shared")
+    leads = stored(shared.groupBy("band").agg(F.min("rep").alias("lead")), "leads")
+    some = stored(shared.select("rep", "row").distinct(), "some")
+    sets = _sets(docs, stored(some.select("rep").distinct(), "reps"), k)
+    sigs = signed.select("row", "n", "sig", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands")).join(small(some), "row").drop("row")
+    sigs = stored(sigs, "sigs")
     remove(spark, signed.terracell_path)
-
-    live = nodes.where("rep IS NOT NULL")
-    banded = live.select("rep", "n", F.explode("bands").alias("band"))
-    many = stored(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead"), "buckets")
-    shared = stored(banded.join(_small(many), "band"), "shared")
-    some = stored(shared.select("rep").distinct(), "some")
-    sets = _sets(docs, some, k)
-    sigs = stored(live.select("rep", "n", "sig").join(_small(some), "rep", "left_semi"), "sigs")
+    shared = shared.select("band", "rep", "n").join(small(leads), "band")
 
     lead = sigs.select(F.col("rep").alias("a"), F.col("n").alias("n_a"))
     asked = shared.where("rep <> lead")
@@ -317,7 +319,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     comps = components(links)
 
     known = nodes.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
-    out = base.where("n > 0").join(known, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+    out = base.where("n > 0").join(known, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
     alone = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = out.union(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
