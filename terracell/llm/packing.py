@@ -1,14 +1,17 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
-The lengths' histogram (at most `capacity` sizes, whatever the corpus) is covered by configurations: multisets of
-lengths that fit a sequence. Multiplicative weights on the lengths still short of their demand price the next
-configuration, a knapsack dynamic program finds the best one, and it is used for a whole share of the demand it can meet.
-Rounding down leaves a remainder of a bounded number of pieces, which goes best-fit into the gaps and then new sequences.
-Pieces get their places by rank within their length, so nothing but the histogram reaches the driver.
+A configuration is a multiset of lengths that fit a sequence; the program covers the lengths' histogram (at most `capacity`
+sizes, whatever the corpus) by fractional uses of configurations, as few as it can. It is solved by multiplicative weights:
+a length's weight shrinks with the share of its demand that is covered, a knapsack dynamic program prices all configurations
+at these weights, and those within a small part of the best price are used a little further. The weights of every round are
+a solution of the dual program, so they bound the number of sequences from below. Uses are rounded down. What that leaves,
+and what no configuration near the best price covers, goes best-fit into gaps and then new sequences. Pieces get their
+places by rank within their length, so nothing but the histogram reaches the driver.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from terracell.llm.common import by_batch, table
+from terracell.llm.common import by_weight, table
 from terracell.llm.tokens import default_path, encoder
 from terracell.scratch import stored
 
@@ -28,58 +31,82 @@ CAPACITY, END_ID, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 RANKED_ROWS = 20_000
 
 
-def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each size in the configuration of the greatest worth (sizes may repeat)."""
-    best = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1, np.int64)
-    order = np.argsort(sizes, kind="stable")
-    s, w = sizes[order], worth[order]
-    upto = np.searchsorted(s, np.arange(capacity + 1), "right")
+#: Rounds of the program at most, the share of a length's demand that a round covers at most, how fast weights shrink, how
+#: far below the best price a configuration may be (at first, and at most where rounds cover little), and the share of all
+#: tokens that may be left to best fit.
+ROUNDS, STEP, RATE, SLACK, MOST_SLACK, REST = 120, 0.25, 0.05, 0.05, 0.2, 0.0005
+
+
+def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest worth within each capacity, and the index of a size taken last there (-1: one token is left free).
+
+    `sizes` ascend and may be taken again and again.
+    """
+    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if n := upto[c]:
-            v = best[c - s[:n]] + w[:n]
+            v = best[c - sizes[:n]] + worth[:n]
             j = int(v.argmax())
-            if v[j] > best[c] + 1e-12:
+            if v[j] > best[c]:
                 best[c], take[c] = v[j], j
-    counts, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
+    return best, take
+
+
+def _taken(sizes: np.ndarray, take: np.ndarray, capacity: int) -> dict[int, int]:
+    """Index of size -> how often, of the best configuration within a capacity."""
+    out: dict[int, int] = {}
+    while capacity > 0:
+        if (j := int(take[capacity])) < 0:
+            capacity -= 1
         else:
-            counts[order[take[c]]] += 1
-            c -= s[take[c]]
-    return counts
+            out[j] = out.get(j, 0) + 1
+            capacity -= int(sizes[j])
+    return out
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 6000, rate: float = 0.05) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
-    """Whole numbers of uses of configurations, and the demand that rounding leaves open.
+def program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[tuple, float], float]:
+    """Fractional uses of configurations ((index of size, how often), ...), and a lower bound on the uses of any cover.
 
-    A length is worth its size times a weight that shrinks by exp(-rate * the share of its demand that a step covers), so
-    lengths that lag behind are preferred and, among equals, full sequences. A step uses its configuration until three
-    quarters of what the scarcest of its lengths allows; uses are rounded down, and the program ends where a configuration
-    could not be used once.
+    No length is covered beyond its demand, so that rounding down is all that is left to do. Starting from weights in
+    proportion to sizes, the first bound is that of the tokens over the capacity.
     """
-    left, used, weight = demand.astype(np.int64).copy(), [], np.ones(len(sizes))
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left)
-        if not len(open_):
+    left, used, bound = demand.astype(float), {}, 0.0
+    weight, total, slack = np.ones(len(sizes)), float((sizes * demand).sum()), SLACK
+    for _ in range(ROUNDS):
+        if (sizes * left).sum() <= REST * total:
+            break
+        worth = sizes * weight
+        best, take = knapsack(sizes, worth, capacity)
+        bound = max(bound, float((demand * worth).sum() / best[capacity]))
+        # lengths without demand are priced for the bound alone; configurations are made of the others
+        open_ = np.flatnonzero(left > 1e-9)
+        if len(open_) < len(sizes):
+            best, take = knapsack(sizes[open_], worth[open_], capacity)
+        some, room = sizes[open_], np.minimum(left[open_], STEP * demand[open_])
+        before = room.copy()
+        for i in np.argsort(-some, kind="stable").tolist():
+            rest = capacity - int(some[i])
+            if worth[open_[i]] + best[rest] < (1 - slack) * best[capacity]:
+                continue
+            held = _taken(some, take, rest)
+            held[i] = held.get(i, 0) + 1
+            uses = min(room[j] / n for j, n in held.items())
+            if uses <= 1e-9:
+                continue
+            for j, n in held.items():
+                room[j] -= uses * n
+            key = tuple(sorted((int(open_[j]), n) for j, n in held.items()))
+            used[key] = used.get(key, 0.0) + uses
+        covered = before - room
+        if not covered.any() and slack >= MOST_SLACK:
             break
-        counts = knapsack(sizes[open_], sizes[open_] * weight[open_], capacity)
-        most = left[open_][counts > 0] // counts[counts > 0]
-        times = int(most.min()) if len(most) else 0
-        if times < 1:  # a length is needed more often than it is left: without repeats it can be used once
-            counts = np.minimum(counts, left[open_])
-            times = 1
-        full = np.zeros(len(sizes), np.int64)
-        full[open_] = counts
-        if times == 1 and capacity - int((full * sizes).sum()) > capacity // 100:
-            break  # only loose configurations are left; best fit does the rest
-        times = times if times < 8 else -(-times * 3 // 4)
-        used.append((full, times))
-        left -= full * times
-        weight *= np.exp(-rate * full * times / demand)
-    return used, left
+        if (some * covered).sum() < 0.05 * (sizes * left).sum():
+            slack = min(MOST_SLACK, slack * 1.5)
+        left[open_] -= covered
+        weight[open_] *= np.exp(-RATE * covered / demand[open_])
+    return used, bound
 
 
 def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int, groups: list[list]) -> None:
@@ -104,18 +131,34 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int, groups: list[li
             n -= each * k
 
 
+def _filled(sizes: np.ndarray, demand: np.ndarray, capacity: int, used: dict[tuple, float]) -> list[list]:
+    """Whole sequences of the uses rounded down, and best fit for what they leave."""
+    left, groups = demand.copy(), []
+    for held, uses in sorted(used.items()):
+        if n := math.floor(uses + 1e-9):
+            n = min(n, *(int(left[i]) // k for i, k in held)) if held else 0
+            for i, k in held:
+                left[i] -= n * k
+            if n:
+                made = {int(sizes[i]): k for i, k in held}
+                groups.append([made, capacity - sum(s * k for s, k in made.items()), n])
+    best_fit(sizes, left, capacity, groups)
+    return groups
+
+
 def solve(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(configuration as size -> count, number of sequences) for all pieces of the histogram."""
+    """(configuration as size -> count, number of sequences) for all pieces of the histogram.
+
+    Where so few pieces are of a length that rounding leaves most of them to best fit, best fit of them all may need fewer
+    sequences; the program's plan is taken unless it needs more.
+    """
     if not histogram:
         return []
     sizes = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(s)] for s in sizes], np.int64)
-    used, left = configurations(sizes, demand, capacity)
-    groups: list[list] = []
-    for counts, times in used:
-        held = {int(s): int(c) for s, c in zip(sizes, counts) if c}
-        groups.append([held, capacity - sum(s * c for s, c in held.items()), times])
-    best_fit(sizes, left, capacity, groups)
+    used, _ = program(sizes, demand, capacity)
+    plans = [_filled(sizes, demand, capacity, u) for u in (used, {})]
+    groups = min(plans, key=lambda g: sum(x[2] for x in g))
     return [(g[0], g[2]) for g in groups]
 
 
@@ -135,22 +178,27 @@ def slots(plan: list[tuple[dict[int, int], int]], first: int = 0) -> pd.DataFram
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every text; a null text is empty, so it has the end id alone."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc, cols = encoder(path), ([], [], [], [], [], [])
-        for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-            ids = enc.encode(t.as_py() or "") + end
-            n = len(ids) // 4
-            edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
-            for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
-                for c, v in zip(cols, (d, k, lo, hi - lo, zlib.crc32(part := ids[4 * lo : 4 * hi]), part)):
-                    c.append(v)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[str(i) for i in range(len(kinds))])
+        ids, bounds = encoder(path).encode_many(b.column(1))
+        ids = np.insert(ids, bounds[1:], end_id)
+        bounds = bounds + np.arange(len(bounds))
+        n = np.diff(bounds)
+        count = -(-n // capacity)
+        doc = np.repeat(np.arange(len(n)), count)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        # the first piece may be shorter, so that all others are full
+        hi = n[doc] - (count[doc] - 1 - piece) * capacity
+        lo = np.maximum(hi - capacity, 0)
+        view, at = memoryview(ids.astype("<u4").tobytes()), bounds[doc]
+        parts = [view[4 * x : 4 * y] for x, y in zip((at + lo).tolist(), (at + hi).tolist())]
+        cols = [b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(lo), pa.array(hi - lo), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+        if with_ids:
+            cols.append(pa.array([bytes(x) for x in parts], pa.binary()))
+        return pa.RecordBatch.from_arrays(cols, names=[str(i) for i in range(len(cols))])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return by_batch(docs.select(F.col("doc_id").cast("long"), "text"), cut, schema)
+    return by_weight(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, schema, 1)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -176,9 +224,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     most = max(histogram.values(), default=0) + 1
     if capacity * most >= 1 << 62:
         raise ValueError("too many pieces of one length")
-    keys = lengths * most + starts
+    # a row for each length of each configuration, of which there are some thousands, whatever the number of pieces
+    held = spark.sparkContext.broadcast((lengths * most + starts, starts, seqs, each, at))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, starts, seqs, each, at = held.value
         for b in batches:
             size, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
             i = np.searchsorted(keys, size * most + rank, "right") - 1

@@ -207,6 +207,42 @@ def test_packing_is_near_the_bound():
     assert sum(t for _, t in plan) <= -(-int((sizes * n).sum()) // 2048) * 1.01
 
 
+def test_packing_program_by_brute_force():
+    """The bound is no more than the fewest sequences, the plan no fewer; uses cover no length beyond its demand."""
+    rng = random.Random(7)
+    for _ in range(25):
+        cap, items = 10, sorted((rng.randint(1, 10) for _ in range(rng.randint(1, 9))), reverse=True)
+
+        def fewest(rest, bins):
+            if not rest:
+                return len(bins)
+            best = len(bins) + len(rest)
+            for i, b in enumerate(bins):
+                if b >= rest[0] and b not in bins[:i]:
+                    best = min(best, fewest(rest[1:], [*bins[:i], b - rest[0], *bins[i + 1 :]]))
+            return min(best, fewest(rest[1:], [*bins, cap - rest[0]]))
+
+        h = collections.Counter(items)
+        sizes, demand = np.array(sorted(h)), np.array([h[s] for s in sorted(h)])
+        used, bound = packing.program(sizes, demand, cap)
+        covered = np.zeros(len(sizes))
+        for config, uses in used.items():
+            assert sum(int(sizes[i]) * k for i, k in config) <= cap and uses > 0
+            for i, k in config:
+                covered[i] += uses * k
+        assert (covered <= demand + 1e-6).all() and bound <= fewest(items, []) + 1e-6 <= sum(n for _, n in packing.solve(h, cap)) + 1e-6
+
+
+def test_packing_program_rounds_to_its_bound():
+    rng = np.random.default_rng(3)
+    sizes, n = np.unique(np.clip(rng.lognormal(6, 1, 5000).astype(int), 2, 2048), return_counts=True)
+    n = n * 1000
+    used, bound = packing.program(sizes, n, 2048)
+    plan = packing._filled(sizes, n, 2048, used)
+    assert sum(sizes[i] * k * u for c, u in used.items() for i, k in c) > 0.5 * (sizes * n).sum()
+    assert bound <= sum(g[2] for g in plan) <= 1.01 * bound
+
+
 def test_token_store(spark, docs):
     from terracell.scratch import scratch
 
