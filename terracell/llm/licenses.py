@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracell.llm.common import table
+from terracell.llm.common import ascii_lower, table
 
 K = 3
 #: Diagonals this near to each other are one span; share of a template's windows that it needs.
@@ -56,11 +56,12 @@ def spans(docs: DataFrame, base: dict[str, str] | None = None, templates: tuple[
     """Verified spans, and for each row of (doc_id, text) one with a null label.
 
     Columns: _row, doc_id, n_words, label, exact, first_word, last_word (start of the span's last window), score (share of
-    the template's windows). Null texts have no words. Rows with equal doc_ids stay apart by _row.
+    the template's windows). Null and empty texts have no words. Rows with equal doc_ids stay apart by _row, and so do equal
+    rows. Of spans that tie, all are given. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     grams = F.broadcast(_templates(spark, BASE if base is None else base, templates))  # fixed phrases
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     rows = rows.select("_row", "doc_id", F.array_remove(F.split("text", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "").alias("words"))
     n = F.size("words")
     hashes = F.when(n < K, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(K)])))
