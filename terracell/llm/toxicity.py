@@ -24,9 +24,8 @@ from terracell.scratch import stored
 
 #: Labelled rows that the lexicon and the score are fitted on, at most (those with the least hash of doc_id).
 SAMPLE = 20_000
-#: Terms that are weighed, and kept in the lexicon, at most.
-CANDIDATES, TERMS = 50_000, 2_000
-#: Of the toxic texts, at least this share and this many have a term; its log odds are at least ODDS.
+#: Of the toxic texts, at least this share and this many have a term; its log odds are at least ODDS. The share bounds the
+#: terms that can pass: a hundred times those of an average text, whatever the sample.
 SHARE, LEAST, ODDS = 0.01, 5, 2.5
 #: Lengths of the beginnings of words that may be terms.
 STEMS = (4, 5, 6, 7, 8, 9)
@@ -65,9 +64,8 @@ def terms_of(text: str | None) -> set[str]:
     """Whole words and beginnings of words, each with the blanks that bound it."""
     out = set()
     for w in set(fold(text).split()):
-        if 3 <= len(w) <= 40:
-            out.add(f" {w} ")
-            out.update(f" {w[:k]}" for k in STEMS if k < len(w))
+        out.add(f" {w} ")
+        out.update(f" {w[:k]}" for k in STEMS if k < len(w))
     return out
 
 
@@ -170,26 +168,26 @@ def choose(bad: dict[str, int], good: dict[str, int], n_bad: int, n_good: int) -
             if bad[t] >= 0.9 * bad[parent]:
                 del kept[parent]
             kept[t] = odds[t]
-    return dict(sorted(kept.items(), key=lambda x: -x[1] * math.sqrt(bad[x[0]]))[:TERMS])
+    return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """From (doc_id, text) and (doc_id, toxic 0/1); null labels and texts teach nothing. Without toxic texts: an empty lexicon.
 
-    Only rows that `held_out` doesn't take are read, and of these at most `sample`. What reaches the driver is counts of at
-    most CANDIDATES terms and three numbers for each of the sample's texts.
+    Only rows that `held_out` doesn't take are read, and of these at most `sample`. What reaches the driver is counts of the
+    terms that SHARE of its toxic texts have, and three numbers for each of the sample's texts. Equal texts teach once.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # so few rows may be broadcast
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("text", "toxic")
-    rows = stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).coalesce(12), "labelled")
+    rows = stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_bad, n_good = n.get(1, 0), n.get(0, 0)
     if not n_bad:
         return Lexicon({}, factors=(0.0, 0.0, -3.0))
     least = max(LEAST, SHARE * n_bad)
-    bad = _counts(rows.where("toxic = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES)
+    bad = _counts(rows.where("toxic = 1")).where(F.col("n") >= least)
     bad = {r["term"]: r["n"] for r in bad.collect()}
     good = {r["term"]: r["n"] for r in _counts(rows.where("toxic = 0"), list(bad)).collect()}
     lexicon = Lexicon(choose(bad, good, n_bad, n_good))
