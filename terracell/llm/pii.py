@@ -234,20 +234,20 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return let(kind_of(m), by_kind)
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """Documents with `text` rewritten, `_found` (the values found, in order) and `_kinds` (their kinds) added.
+def pseudonymize(docs: DataFrame, key: str = KEY, names: tuple[str, str] = ("_found", "_kinds")) -> DataFrame:
+    """Documents with `text` rewritten, and the values found (in order) and their kinds added under the two `names`.
 
     A null text stays null and has neither; an empty one stays empty. Columns with the two names are replaced. Values that
     fail their check (a number with a wrong Luhn digit, a day that no calendar has, an IBAN with wrong digits) are not found
     and stay as they are. Repeated rows are rewritten alike; an empty table stays empty.
     """
     every = "|".join(PATTERNS.values())
-    names = [c for c in docs.columns if c not in ("_found", "_kinds")]
-    some = docs.select(*[F.col(f"`{c}`") for c in names], F.regexp_extract_all("text", F.lit(f"({every})"), F.lit(1)).alias("_found"))
+    kept, found = [c for c in docs.columns if c not in names], names[0]
+    some = docs.select(*[F.col(f"`{c}`") for c in kept], F.regexp_extract_all("text", F.lit(f"({every})"), F.lit(1)).alias(found))
     gaps = F.split("text", every, -1)
-    new = F.when(F.size("_found") > 0, let(gaps, lambda g: F.concat(g[0], F.array_join(F.transform("_found", lambda m, i: F.concat(pseudonym(m, key), F.get(g, i + 1))), "")))).otherwise(F.col("text"))
-    known = F.filter(F.transform("_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))), lambda x: x["k"].isNotNull())
-    return some.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], known["m"].alias("_found"), known["k"].alias("_kinds"))
+    new = F.when(F.size(found) > 0, let(gaps, lambda g: F.concat(g[0], F.array_join(F.transform(found, lambda m, i: F.concat(pseudonym(m, key), F.get(g, i + 1))), "")))).otherwise(F.col("text"))
+    known = F.filter(F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))), lambda x: x["k"].isNotNull())
+    return some.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], known["m"].alias(names[0]), known["k"].alias(names[1]))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
