@@ -36,9 +36,9 @@ def free(name: str, df: DataFrame) -> str:
     return name
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A stored table of narrow rows with the hint to broadcast it if these, counted, are BROADCAST_ROWS at most."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows with the hint to broadcast it if these, counted, are `most` or fewer."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import let, table
+from terracell.llm.common import let, small, table
 from terracell.scratch import stored
 
 #: Fewest words; most of the words that may stand in repeated windows, symbols and repeated lines, in per cent.
 MIN_WORDS, MAX_REPEATED, MAX_SYMBOLS, MAX_LINES = 50, 50, 30, 50
+#: Hosts whose verdicts may be broadcast; more of them are joined by shuffle, where a hot host's partition is split.
+HOST_ROWS = 200_000
 #: Shrunk rate of failures over which a host is rejected.
 HOST_LIMIT = 0.6
 RULES = ("short", "repeated", "symbols", "lines")
@@ -88,7 +90,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     rows = stored(counted(docs), "counted")
     f = failures()
-    hosts = host_verdicts(rows)
+    hosts = small(stored(host_verdicts(rows), "verdicts"), HOST_ROWS)
     out = rows.withColumn("host", F.coalesce("source", F.lit(""))).join(hosts, "host")
     out = out.withColumn("base_failed", f["short"] | f["repeated"])
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
