@@ -135,7 +135,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred, score and rejected to documents with a text; columns of these names are replaced.
 
     A rejected text keeps its nearest language; a user who wants none takes `rejected`. Null texts and texts without a
-    letter are UNKNOWN with score 0, rejected.
+    letter are UNKNOWN with score 0, rejected. Repeated rows are judged alike, of equal cosines the first centroid's counts,
+    and an empty table stays empty.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
