@@ -46,24 +46,68 @@ def neighbours(df: DataFrame, eps: float, dims: list[str], key: str = "id", clos
     return pairs.where(F.col("d") <= eps if closed else F.col("d") < eps).select("a", "b", "d")
 
 
-def dbscan(df: DataFrame, eps: float, min_pts: int, dims: list[str], key: str = "id", include_noise: bool = True, metric: Metric = euclid) -> DataFrame:
-    """Adds cluster_id and label to rows with a unique key. Rows with a null coordinate are noise. metric: see `neighbours`."""
-    pairs = _cut(neighbours(df, eps, dims, key, metric=metric).select("a", "b"))
-    cores = _cut(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).select(F.col("a").alias("c")))
-    links = pairs.join(cores, pairs.b == cores.c, "left_semi")
-    inner = _cut(links.join(cores, links.a == cores.c, "left_semi"))
-    labels = _cut(inner.groupBy("a").agg(F.min("b").alias("l")))
+def _joined_up(links: DataFrame) -> DataFrame:
+    """(a, l): the least node that each node of the links (a, b), given both ways, can reach."""
+    labels = _cut(links.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l")))
     while True:
-        near = inner.join(labels.select(F.col("a").alias("b"), F.col("l").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
+        near = links.join(labels.select(F.col("a").alias("b"), F.col("l").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
         moved = _cut(labels.join(near, "a").select("a", F.col("l").alias("was"), F.least("l", "m").alias("l")))
         up = moved.select(F.col("a").alias("l"), F.col("l").alias("above"))
         labels = _cut(moved.join(up, "l").select("a", "was", F.least("l", "above").alias("l")))
         if labels.where("l <> was").isEmpty():
-            break
+            return labels.select("a", "l")
         labels = labels.select("a", "l")
-    labels = labels.select("a", "l")
-    border = links.join(labels.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("l").alias("m"))
-    known = border.join(labels, "a", "left").select(F.col("a").alias(key), (F.coalesce("l", "m") + 1).alias("cluster_id"), F.when(F.col("l").isNotNull(), CORE).otherwise(REACHABLE).alias("label"))
+
+
+def _by_pairs(df: DataFrame, eps: float, min_pts: int, dims: list[str], key: str, metric: Metric) -> tuple[DataFrame, DataFrame]:
+    """(key, l) of cores and of reachable points, from all pairs that are near."""
+    pairs = _cut(neighbours(df, eps, dims, key, metric=metric).select("a", "b"))
+    cores = _cut(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).select(F.col("a").alias("c")))
+    links = pairs.join(cores, pairs.b == cores.c, "left_semi")
+    labels = _joined_up(_cut(links.join(cores, links.a == cores.c, "left_semi")))
+    border = links.join(labels.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("l").alias("l"))
+    return labels, border.join(labels.select("a"), "a", "left_anti")
+
+
+def _by_cells(df: DataFrame, eps: float, min_pts: int, dims: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """As `_by_pairs` for up to three dimensions, with cells whose points are all near each other.
+
+    A cell with `min_pts` points has cores alone, and the cores of a cell are one node of the graph of clusters; so what is
+    written grows with the points, however many share a cell. Pairs are compared only between cells, and only counted,
+    summed or made distinct. Cells whose points turn out not to be near each other count point by point.
+    """
+    n = len(dims)
+    side, cell = eps / n**0.5 * (1 - 1e-9), [f"c{i}" for i in range(n)]
+    pts = df.select(F.col(key).alias("k"), *[F.col(d).cast("double").alias(f"p{i}") for i, d in enumerate(dims)]).where(" AND ".join(f"p{i} IS NOT NULL" for i in range(n)))
+    pts = _cut(pts.withColumns({f"c{i}": F.floor(F.col(f"p{i}") / side).cast("long") for i in range(n)}))
+    diagonal = F.sqrt(sum((F.pow(F.max(f"p{i}") - F.min(f"p{i}"), 2) for i in range(n)), F.lit(0.0)))
+
+    def near(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Rows of the left with rows of the right (columns q_) nearer than eps."""
+        for c in cell:
+            left = left.withColumn(c, F.explode(F.array(*[F.col(c) + j for j in range(-2, 3)])))
+        right = right.withColumnsRenamed({c: f"q_{c}" for c in right.columns if c not in cell})
+        d = euclid([F.col(f"p{i}") for i in range(n)], [F.col(f"q_p{i}") for i in range(n)])
+        return left.join(right, cell).where(d < eps)
+
+    dense = _cut(pts.groupBy(*cell).agg(F.count("*").alias("n"), diagonal.alias("d")).where((F.col("n") >= min_pts) & (F.col("d") < eps)).select(*cell))
+    rest = pts.join(dense, cell, "left_anti")
+    found = near(rest, pts).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).select("k")
+    cores = _cut(pts.join(dense, cell, "left_semi").unionByName(rest.join(found, "k", "left_semi").select(*pts.columns)))
+    nodes = cores.groupBy(*cell).agg(F.min("k").alias("least"), diagonal.alias("d"))
+    cores = _cut(cores.join(nodes, cell).withColumn("node", F.when(F.col("d") < eps, F.col("least")).otherwise(F.col("k"))).drop("least", "d"))
+    links = near(cores, cores).where("node <> q_node").select(F.col("node").alias("a"), F.col("q_node").alias("b")).distinct()
+    labels = _joined_up(_cut(links))
+    labels = _cut(cores.join(labels, cores.node == labels.a, "left").withColumn("l", F.coalesce("l", "node")).drop("a"))
+    border = near(pts.join(labels.select("k"), "k", "left_anti").select(*pts.columns), labels.drop("node")).groupBy(F.col("k").alias("a")).agg(F.min("q_l").alias("l"))
+    return labels.select(F.col("k").alias("a"), "l"), border
+
+
+def dbscan(df: DataFrame, eps: float, min_pts: int, dims: list[str], key: str = "id", include_noise: bool = True, metric: Metric = euclid) -> DataFrame:
+    """Adds cluster_id and label to rows with a unique key. Rows with a null coordinate are noise. metric: see `neighbours`."""
+    cores, border = _by_cells(df, eps, min_pts, dims, key) if metric is euclid and len(dims) <= 3 else _by_pairs(df, eps, min_pts, dims, key, metric)
+    known = cores.withColumn("label", F.lit(CORE)).unionByName(border.withColumn("label", F.lit(REACHABLE)))
+    known = known.select(F.col("a").alias(key), (F.col("l") + 1).alias("cluster_id"), "label")
     out = df.join(known, key, "left").withColumns({"cluster_id": F.coalesce("cluster_id", F.lit(0).cast("long")), "label": F.coalesce("label", F.lit(NOISE))})
     return out if include_noise else out.where("cluster_id > 0")
 
