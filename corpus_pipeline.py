@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import SPACE_WORD, free, table
+from terracell.llm.common import SPACE_WORD, free, small, table
 from terracell.llm.decontaminate import decontaminate
 from terracell.llm.neardup import near_duplicates
 from terracell.llm.packing import TOKENIZER, pack, pieces
@@ -37,9 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), k=5).withColumnRenamed("doc_id", "row").join(ids, "row")
     judged = stored(judged.select("row", "id", F.coalesce("same", F.col("component_id").cast("string")).alias("group")), "judged")
     first = judged.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("group", F.col("first.row").alias("stays"))
-    gone = judged.join(first, "group").where("row <> stays").select(F.col("row").alias(row))
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+    first = stored(first.where("n > 1").select("group", F.col("first.row").alias("stays")), "first")
+    gone = stored(judged.join(small(first), "group").where("row <> stays").select(F.col("row").alias(row)), "gone")
+    return rows.join(small(gone), row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms; n_chars follows the text."""
-    return pseudonymize(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pseudonymize(docs, names=(free("_found", docs), free("_kinds", docs))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
