@@ -434,7 +434,15 @@ def m_global_mbb(spark, sf):
     return b.select(*[_r(c).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
 
 
-@query()
+#: From corner to corner, by the least turn to the left, and the farthest of equal turns.
+_HULL = """+ p AS MATERIALIZED (SELECT DISTINCT event_type AS g, x, y FROM ev), s AS (SELECT g, min(x) AS sx, arg_min(y, (x, y)) AS sy FROM p GROUP BY g),
+ h AS (SELECT g, 0 AS pos, sx AS x, sy AS y, -pi() / 2 AS a FROM s UNION ALL
+  SELECT g, pos + 1, n.x, n.y, n.a FROM (SELECT h.g, h.pos, arg_min({'x': p.x, 'y': p.y, 'a': atan2(p.y - h.y, p.x - h.x)}, (CASE WHEN atan2(p.y - h.y, p.x - h.x) >= h.a THEN 0 ELSE 2 * pi() END + atan2(p.y - h.y, p.x - h.x) - h.a, 0 - (p.x - h.x) ** 2 - (p.y - h.y) ** 2)) AS n
+   FROM h JOIN p ON p.g = h.g AND NOT (p.x = h.x AND p.y = h.y) GROUP BY h.g, h.pos) JOIN s USING (g) WHERE NOT (n.x = sx AND n.y = sy))
+ SELECT g AS event_type, pos::INT AS pos, x, y FROM h"""
+
+
+@query(_HULL, "ev")
 def m_convex_hull(spark, sf):
     return hull.convex_hull(ev_places(spark, sf).select("event_type", "x", "y"), ["event_type"])
 
