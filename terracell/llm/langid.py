@@ -95,21 +95,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """From at most `sample` rows of (doc_id, text, lang) that are not held out; null texts, languages and ids teach nothing."""
     some = docs.where(~held_out(docs) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so few may be broadcast
-    # ids that repeat bring more rows than ids; the cut is by hash, so that it falls on all languages
-    some = some.join(F.broadcast(ids.distinct()), "doc_id").orderBy(F.xxhash64("doc_id", "text", "lang"), "doc_id", "text", "lang").limit(sample).select("text", "lang")
+    some = some.join(F.broadcast(ids.distinct()), "doc_id").select("text", "lang", F.xxhash64("doc_id", "text", "lang").alias("h"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, n, lang = [], [], []
-        for t, g in zip(b.column(0), b.column(1).to_pylist()):
+        ids, n, lang, hashes = [], [], [], []
+        for t, g, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
             c = counts(t.as_py())
             if c is not None:
                 i = np.flatnonzero(c)
                 ids.append(i.astype("<u2").tobytes())
                 n.append(c[i].astype("<u4").tobytes())
                 lang.append(g)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.binary()), pa.array(lang, pa.string())], names=["a", "b", "c"])
+                hashes.append(h)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.binary()), pa.array(lang, pa.string()), pa.array(hashes, pa.int64())], names=list("abcd"))
 
-    rows = sorted((r["lang"], bytes(r["i"]), bytes(r["n"])) for r in by_batch(some, run, "i binary, n binary, lang string").collect())
+    # ids that repeat bring more rows than ids; the cut is by hash, so that it falls on all languages, and of counts, not texts
+    seen = by_batch(some, run, "i binary, n binary, lang string, h long").orderBy("h", "lang", "i", "n").limit(sample)
+    rows = sorted((r["lang"], bytes(r["i"]), bytes(r["n"])) for r in seen.collect())
     if not rows:
         return Model(np.ones(DIMS), np.zeros((0, DIMS)), [], np.zeros(0))
     x = np.zeros((len(rows), DIMS), np.float32)

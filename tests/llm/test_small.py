@@ -476,3 +476,34 @@ def test_license_repeated_at_once(spark):
     assert got == {1: "proprietary", 2: "mit", 3: ""}
     (span,) = licenses.spans(spark.createDataFrame(rows[:1], "doc_id long, text string")).where("label = 'proprietary'").collect()
     assert (span["first_word"], span["last_word"], span["score"]) == (0, 3, 1.0)
+
+
+def test_other_columns_change_nothing(spark, docs):
+    """Names that the operators use inside, on the columns of their input."""
+    from terracell.scratch import scratch
+
+    named = docs.withColumns({c: F.lit("x") for c in ("digests", "parts", "shard", "leaf", "digest", "length", "piece", "start", "sequence_id", "offset", "_bucket", "_n", "rep", "band", "n_words", "host", "words", "t", "h", "pos", "_h", "value", "fault", "first_id")})
+    plain = docs.select("doc_id", "text", "source")
+
+    def stored(d):
+        store = tokenstore.write(d, default_path("word_bpe_49k.json"), 2, scratch(spark, "t"))
+        return tokenstore.read_sums(spark, store)
+
+    views = {
+        "store": (stored, ("doc_id", "n_tokens", "ids_crc32")),
+        "pieces": (lambda d: packing.pack(packing.pieces(d, default_path("byte_bpe_50k.json"))), ("doc_id", "piece", "length", "ids_crc32")),
+        "dedup": (lambda d: neardup.near_duplicates(d, 2), ("doc_id", "n_shingles", "component_id", "kept")),
+        "quality": (quality.judge, ("doc_id", "n_words", "n_repeat_words", "kept")),
+        "licences": (licenses.spans, ("doc_id", "n_words", "label", "first_word")),
+    }
+    for name, (f, cols) in views.items():
+        assert by(f(named), *cols) == by(f(plain), *cols), name
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "x")], "page_id long, url string, html string")
+    more = pages.withColumns({c: F.lit(1) for c in ("digest", "bytes", "block", "fault", "first_id", "id", "kind", "value")})
+    for p in (pages, more):
+        path = scratch(spark, "w")
+        warc.write(warc.page_records(p), path)
+        assert by(warc.read(spark, path), "page_id", "record_type", "refers_to") == {(1, "response", None): 1, (2, "revisit", 1): 1}
+    kept = toxicity.scored(named, toxicity.Lexicon({" x ": 1.0}), "verdict")
+    assert kept.columns == [*named.columns, "verdict"] and kept.count() == len(TEXTS)
+    assert langid.identify(named, langid.fit(named)).count() == len(TEXTS)
