@@ -52,8 +52,8 @@ def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
     return df.mapInArrow(run, schema)
 
 
-def by_weight(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: int, most: int = BATCH_BYTES) -> DataFrame:
-    """mapInArrow with a function of one batch, whose texts in a column have about `most` bytes, or which is one row."""
+def by_weight(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, column: int, most: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow with a function that makes batches of one, whose texts in a column have about `most` bytes, or which is one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,7 +61,7 @@ def by_weight(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
             edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), b.num_rows]
             for lo, hi in zip(edges, edges[1:]):
                 if hi > lo:
-                    yield f(b.slice(lo, hi - lo))
+                    yield from f(b.slice(lo, hi - lo))
 
     return df.mapInArrow(run, schema)
 

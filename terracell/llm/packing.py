@@ -179,23 +179,23 @@ def slots(plan: list[tuple[dict[int, int], int]], first: int = 0) -> pd.DataFram
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every text; a null text is empty, so it has the end id alone."""
 
-    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, bounds = encoder(path).encode_many(b.column(1))
-        ids = np.insert(ids, bounds[1:], end_id)
-        bounds = bounds + np.arange(len(bounds))
-        n = np.diff(bounds)
-        count = -(-n // capacity)
-        doc = np.repeat(np.arange(len(n)), count)
-        piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        # the first piece may be shorter, so that all others are full
-        hi = n[doc] - (count[doc] - 1 - piece) * capacity
-        lo = np.maximum(hi - capacity, 0)
-        view, at = memoryview(ids.astype("<u4").tobytes()), bounds[doc]
-        parts = [view[4 * x : 4 * y] for x, y in zip((at + lo).tolist(), (at + hi).tolist())]
-        cols = [b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(lo), pa.array(hi - lo), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
-        if with_ids:
-            cols.append(pa.array([bytes(x) for x in parts], pa.binary()))
-        return pa.RecordBatch.from_arrays(cols, names=[str(i) for i in range(len(cols))])
+    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for first, last, ids, bounds in encoder(path).encode_runs(b.column(1)):
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            n = np.diff(bounds)
+            count = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            # the first piece may be shorter, so that all others are full
+            hi = n[doc] - (count[doc] - 1 - piece) * capacity
+            lo = np.maximum(hi - capacity, 0)
+            view, at = memoryview(ids.astype("<u4").tobytes()), bounds[doc]
+            parts = [view[4 * x : 4 * y] for x, y in zip((at + lo).tolist(), (at + hi).tolist())]
+            cols = [b.column(0).take(pa.array(doc + first)), pa.array(piece, pa.int32()), pa.array(lo), pa.array(hi - lo), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+            if with_ids:
+                cols.append(pa.array([bytes(x) for x in parts], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=[str(i) for i in range(len(cols))])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return by_weight(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, schema, 1)

@@ -6,9 +6,11 @@ library once, and the ids of a text are those of its parts in order. `tests/llm`
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ LOOSE_LINE = regex.compile(r"\s\n|\n\s|\n\Z")
 #: Begins a text's first part in `encode_many`; texts that hold it take the longer way.
 START = "\0"
 MARKS = frozenset(".,;:!?")
+#: Parts of the texts whose ids are put together at once.
+RUN_WORDS = 300_000
 #: Entries of a generation of a memo of parts, and of one of pre-tokens; two generations are kept.
 PARTS, TOKENS = 600_000, 150_000
 
@@ -136,8 +140,9 @@ class Encoder:
             return False
         return self.kind == "word" or not ("  " in text or START in text or LOOSE_LINE.search(text))
 
-    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each one's begin, and the last's end. Nulls are empty.
+    def encode_runs(self, texts: pa.Array, most: int = RUN_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, last, ids, bounds) of runs of texts, of `most` parts or one text each: their ids, one text after the other,
+        and where each one's begin, and the last's end. Nulls are empty.
 
         The parts of all texts are made a dictionary first, so that each different one is looked up once.
         """
@@ -150,19 +155,33 @@ class Encoder:
         else:
             plain = pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " \n"), "")
         parts = pc.split_pattern(plain, " ")
+        at = np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy()))).astype(np.int64)
         known = parts.flatten().dictionary_encode()
         code = known.indices.to_numpy()
-        each = [self.unit[u] for u in known.dictionary.to_pylist()]
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        ids = np.frombuffer(b"".join(each), "<u4")
-        start, n = np.cumsum(size) - size, size[code]
-        end = np.cumsum(n)
-        ids = ids[np.repeat((start[code] - end + n).astype(np.int32), n) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
-        bounds = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy())))]
-        if odd:
-            runs = [np.frombuffer(self.encode(odd[i]), "<u4") if i in odd else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-            ids, bounds = np.concatenate(runs), np.concatenate(([0], np.cumsum([len(r) for r in runs])))
-        return ids, bounds
+        each = list(map(self.unit.__getitem__, known.dictionary.to_pylist()))
+        del parts, known, plain
+        size = np.fromiter(map(len, each), np.int32, len(each)) // 4
+        held = np.frombuffer(b"".join(each), "<u4")
+        start = (np.cumsum(size) - size).astype(np.int32)
+        edges = [0, *(np.flatnonzero(np.diff(at[1:] // most)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(edges, edges[1:]):
+            c = code[at[lo] : at[hi]]
+            n = size[c]
+            end = np.cumsum(n, dtype=np.int32)
+            ids = held[np.repeat(start[c] - end + n, n) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
+            bounds = np.concatenate(([0], end))[at[lo : hi + 1] - at[lo]].astype(np.int64)
+            if any(i in odd for i in range(lo, hi)):
+                runs = [np.frombuffer(self.encode(odd[i]), "<u4") if i in odd else ids[bounds[i - lo] : bounds[i - lo + 1]] for i in range(lo, hi)]
+                ids, bounds = np.concatenate(runs), np.concatenate(([0], np.cumsum([len(r) for r in runs])))
+            yield lo, hi, ids, bounds
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`encode_runs` in one."""
+        runs = list(self.encode_runs(texts))
+        if not runs:
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        shift = np.cumsum([0, *(len(ids) for _, _, ids, _ in runs)])
+        return np.concatenate([ids for _, _, ids, _ in runs]), np.concatenate([[0], *(b[1:] + s for (_, _, _, b), s in zip(runs, shift))])
 
     def encode(self, text: str) -> bytes:
         if self.kind == "whole" or any(s in text for s in self.special):
@@ -182,6 +201,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One for each worker process and tokenizer."""
     if path not in _ENCODERS:
+        gc.set_threshold(200_000, 20, 100)  # memos of strings have no cycles; looking for some takes a tenth of the time
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 

@@ -132,19 +132,21 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, base: str) -> Store:
 
     width = 2 if tokenizers.Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
 
-    def encode(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, bounds = encoder(tokenizer).encode_many(b.column(1))
-        ids = np.insert(ids, bounds[1:], end_id)
-        bounds = bounds + np.arange(len(bounds))
-        edges = np.concatenate(([0], cuts(ids, bounds)))
-        packed = pa.py_buffer(ids.astype(f"<u{width}").tobytes())
-        view = memoryview(packed)
-        parts = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype("<i4")), packed])
-        digests = pa.array([_digest(view[width * lo : width * hi]) for lo, hi in zip(edges.tolist(), edges[1:].tolist())], pa.binary())
-        lists, n = pa.array(np.searchsorted(edges, bounds).astype(np.int32)), np.diff(bounds)
-        made = pa.ListArray.from_arrays(lists, digests)
-        leaves = pa.array([leaf(d, k, x) for d, k, x in zip(b.column(0).to_pylist(), n.tolist(), made.to_pylist())], pa.binary())
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n), made, pa.ListArray.from_arrays(lists, parts), leaves], names=list("abcde"))
+    def encode(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        docs = b.column(0).to_pylist()
+        for first, last, ids, bounds in encoder(tokenizer).encode_runs(b.column(1)):
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            edges = np.concatenate(([0], cuts(ids, bounds)))
+            packed = pa.py_buffer(ids.astype(f"<u{width}").tobytes())
+            view = memoryview(packed)
+            parts = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype("<i4")), packed])
+            digests = [_digest(view[width * lo : width * hi]) for lo, hi in zip(edges.tolist(), edges[1:].tolist())]
+            at, n = np.searchsorted(edges, bounds), np.diff(bounds)
+            leaves = [leaf(d, k, digests[i:j]) for d, k, i, j in zip(docs[first:last], n.tolist(), at.tolist(), at[1:].tolist())]
+            lists = pa.array(at.astype(np.int32))
+            cols = [b.column(0).slice(first, last - first), pa.array(n), pa.ListArray.from_arrays(lists, pa.array(digests, pa.binary())), pa.ListArray.from_arrays(lists, parts), pa.array(leaves, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=list("abcde"))
 
     raw = by_weight(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), encode, "doc_id long, n_tokens long, digests array<binary>, parts array<binary>, leaf binary", 1)
     raw = stored(raw, "raw-ids")
@@ -158,12 +160,16 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, base: str) -> Store:
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "leaf").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf")
     rows.withColumns({"shard": F.spark_partition_id(), "row": F.monotonically_increasing_id()}).write.option("compression", "zstd").parquet(out.recipes)
     remove(spark, raw.terracell_path)
-    roots(spark, out).write.parquet(out.manifest)
+    roots(spark, out, anew=False).write.parquet(out.manifest)
     return out
 
 
-def roots(spark: SparkSession, store: Store) -> DataFrame:
-    """shard, documents, ids and Merkle root, from the recipes as they are; a shard is sorted again, in its own task."""
+def roots(spark: SparkSession, store: Store, anew: bool = True) -> DataFrame:
+    """shard, documents, ids and Merkle root, from the recipes as they are; a shard is sorted again, in its own task.
+
+    Leaves are hashed anew from the recipes' digests, or taken as they are written.
+    """
+    told = "digests" if anew else "leaf"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task may hold several shards, one after the other
@@ -176,7 +182,7 @@ def roots(spark: SparkSession, store: Store) -> DataFrame:
                 nonlocal n, ids
                 for d, k, digests, _ in group:
                     n, ids = n + 1, ids + k
-                    yield leaf(d, k, digests)
+                    yield leaf(d, k, digests) if anew else digests
 
             root = merkle(hashes())
             out.append((s, n, ids, root.hex()))
@@ -184,7 +190,7 @@ def roots(spark: SparkSession, store: Store) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["a", "b", "c", "d"])
 
     rows = spark.read.parquet(store.recipes).repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "leaf")
-    return rows.select("doc_id", "n_tokens", "digests", "shard").mapInArrow(run, "shard int, documents long, ids long, root string")
+    return rows.select("doc_id", "n_tokens", told, "shard").mapInArrow(run, "shard int, documents long, ids long, root string")
 
 
 def chunk_sums(spark: SparkSession, store: Store) -> DataFrame:
