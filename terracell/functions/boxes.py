@@ -23,6 +23,16 @@ def box(lo: Column, hi: Column) -> Column:
     return F.struct(merge_min(lo, hi).alias("lo"), merge_max(lo, hi).alias("hi"))
 
 
+def everything(dims: int) -> Column:
+    """The box around all points."""
+    return F.struct(point(*[float("-inf")] * dims).alias("lo"), point(*[float("inf")] * dims).alias("hi"))
+
+
+def nothing(dims: int) -> Column:
+    """The box that extending by any point gives that point: a zero of `extend`."""
+    return F.struct(point(*[float("inf")] * dims).alias("lo"), point(*[float("-inf")] * dims).alias("hi"))
+
+
 def _each(a: Column, b: Column, f) -> Column:
     return F.zip_with(a, b, f)
 

@@ -16,21 +16,21 @@ DAY_SECONDS = 86_400
 _HIST = "array<struct<values:int,lowerBounds:double,upperBounds:double>>"
 _TILE = "STRUCT<ulx: DOUBLE, uly: DOUBLE, width: INT, height: INT, pixelwidth: DOUBLE, values: ARRAY<DOUBLE>>"
 _BUCKET = "STRUCT<values: INT, lowerBounds: DOUBLE, upperBounds: DOUBLE>"
-_SQL_ST = "STRUCT<gtype: TINYINT, parts: ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>, xmin: DOUBLE, ymin: DOUBLE, xmax: DOUBLE, ymax: DOUBLE, t_kind: TINYINT, t_start: BIGINT, t_end: BIGINT>"
+_SQL_ST = "STRUCT<gtype: TINYINT, parts: ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>, xmin: DOUBLE, ymin: DOUBLE, xmax: DOUBLE, ymax: DOUBLE, t_kind: TINYINT, t_start: BIGINT, t_end: BIGINT, zmin: DOUBLE, zmax: DOUBLE>"
 _PLACE = "named_struct('x', {}, 'y', {})"
 
 
-def _point(x: str, y: str) -> str:
+def _point(x: str, y: str, z: str) -> str:
     p = _PLACE.format(x, y)
     time = "'t_kind', CAST(NULL AS TINYINT), 't_start', CAST(NULL AS BIGINT), 't_end', CAST(NULL AS BIGINT)"
-    return f"named_struct('gtype', CAST(0 AS TINYINT), 'parts', array(array(array({p}))), 'xmin', {x}, 'ymin', {y}, 'xmax', {x}, 'ymax', {y}, {time})"
+    return f"named_struct('gtype', CAST(0 AS TINYINT), 'parts', array(array(array({p}))), 'xmin', {x}, 'ymin', {y}, 'xmax', {x}, 'ymax', {y}, {time}, 'zmin', {z}, 'zmax', {z})"
 
 
 def _box(t: str) -> str:
     a, b, c, d = f"{t}.ulx", f"({t}.uly - {t}.height * {t}.pixelwidth)", f"({t}.ulx + {t}.width * {t}.pixelwidth)", f"{t}.uly"
     ring = ", ".join(_PLACE.format(x, y) for x, y in ((a, b), (c, b), (c, d), (a, d), (a, b)))
     time = "'t_kind', CAST(NULL AS TINYINT), 't_start', CAST(NULL AS BIGINT), 't_end', CAST(NULL AS BIGINT)"
-    return f"named_struct('gtype', CAST(2 AS TINYINT), 'parts', array(array(array({ring}))), 'xmin', {a}, 'ymin', {b}, 'xmax', {c}, 'ymax', {d}, {time})"
+    return f"named_struct('gtype', CAST(2 AS TINYINT), 'parts', array(array(array({ring}))), 'xmin', {a}, 'ymin', {b}, 'xmax', {c}, 'ymax', {d}, {time}, 'zmin', CAST(NULL AS DOUBLE), 'zmax', CAST(NULL AS DOUBLE))"
 
 
 def _number(c: str) -> str:
@@ -53,7 +53,7 @@ def _text(g: str) -> str:
 
 #: Name, parameters and body of the functions that are SQL expressions.
 SQL_FUNCTIONS = {
-    "st_point": ("x DOUBLE, y DOUBLE, z DOUBLE DEFAULT NULL", f"CASE WHEN x IS NULL OR y IS NULL THEN raise_error('st_point needs x and y') ELSE {_point('x', 'y')} END"),
+    "st_point": ("x DOUBLE, y DOUBLE, z DOUBLE DEFAULT NULL", f"CASE WHEN x IS NULL OR y IS NULL THEN raise_error('st_point needs x and y') ELSE {_point('x', 'y', 'z')} END"),
     "st_geomfromtile": (f"tile {_TILE}", _box("tile")),
     "ulx": (f"tile {_TILE}", "tile.ulx"),
     "uly": (f"tile {_TILE}", "tile.uly"),
@@ -79,7 +79,7 @@ def _value(d: pd.DataFrame) -> pd.DataFrame:
     parts = [[[[{"x": x, "y": y} for x, y in ((i, j), (k, j), (k, m), (i, m), (i, j))]]] if f else None for i, j, k, m, f in zip(a, b, c, e, known)]
     kind = pd.Series([2 if f else None for f in known], dtype="object")
     none = pd.Series([None] * len(d), dtype="object")
-    return pd.DataFrame({"gtype": kind, "parts": parts, "xmin": a, "ymin": b, "xmax": c, "ymax": e, "t_kind": none, "t_start": none, "t_end": none})
+    return pd.DataFrame({"gtype": kind, "parts": parts, "xmin": a, "ymin": b, "xmax": c, "ymax": e, "t_kind": none, "t_start": none, "t_end": none, "zmin": none, "zmax": none})
 
 
 def _time_rule(name: str, a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
@@ -117,7 +117,7 @@ def _predicate(name: str):
 def _fromwkt(texts: pd.Series) -> pd.DataFrame:
     if texts.isna().any():
         raise ValueError("a geometry's text is null")
-    return pd.DataFrame([_row(t) | {"t_kind": None, "t_start": None, "t_end": None} for t in texts], columns=["gtype", "parts", "xmin", "ymin", "xmax", "ymax", "t_kind", "t_start", "t_end"])
+    return pd.DataFrame([_row(t) | {"t_kind": None, "t_start": None, "t_end": None} for t in texts], columns=["gtype", "parts", "xmin", "ymin", "xmax", "ymax", "t_kind", "t_start", "t_end", "zmin", "zmax"])
 
 
 def _sto(texts: pd.Series, *args: pd.Series) -> pd.DataFrame:

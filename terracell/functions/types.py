@@ -3,7 +3,8 @@
 `gtype` is one of KINDS by index; `parts` holds the rings of each part (a point is one part of one ring of one place, a
 polygon one part whose first ring is the shell); xmin to ymax is the envelope, which storage can prune by; `t_kind` is
 null without a time, 1 for an instant, 2 for an interval, whose null `t_end` leaves it open. Times are whole numbers in a
-unit that the user chooses (the SQL constructors use seconds since 1970).
+unit that the user chooses (the SQL constructors use seconds since 1970). zmin and zmax are the least and greatest height,
+null without one; predicates and measures are of the plane and leave heights out.
 
 A value whose coordinates are partly null is null: its gtype is, and no predicate holds of it. The envelope's fields are the
 coordinates themselves, with nothing around them, so that comparisons of a made value reach the scan of its columns.
@@ -19,7 +20,7 @@ POINT, LINE, POLYGON, MULTIPOINT, MULTILINE, MULTIPOLYGON, COLLECTION = range(7)
 INSTANT, INTERVAL = 1, 2
 PLACE = "struct<x:double,y:double>"
 PARTS = f"array<array<array<{PLACE}>>>"
-ST = f"struct<gtype:tinyint,parts:{PARTS},xmin:double,ymin:double,xmax:double,ymax:double,t_kind:tinyint,t_start:bigint,t_end:bigint>"
+ST = f"struct<gtype:tinyint,parts:{PARTS},xmin:double,ymin:double,xmax:double,ymax:double,t_kind:tinyint,t_start:bigint,t_end:bigint,zmin:double,zmax:double>"
 
 _Value = Column | float | int | str | None
 
@@ -48,16 +49,16 @@ def time_fields(instant: _Value = None, start: _Value = None, end: _Value = None
     return [F.when(s.isNotNull(), F.lit(kind)).cast("tinyint").alias("t_kind"), s.alias("t_start"), F.when(s.isNotNull(), e).alias("t_end")]
 
 
-def _st(gtype: int, parts: Column, env: list[Column], time: list[Column], known: Column | None = None) -> Column:
+def _st(gtype: int, parts: Column, env: list[Column], time: list[Column], known: Column | None = None, z: _Value = None) -> Column:
     names = ("xmin", "ymin", "xmax", "ymax")
     kind = F.lit(gtype).cast("tinyint")
-    return F.struct((kind if known is None else F.when(known, kind)).alias("gtype"), parts.cast(PARTS).alias("parts"), *[c.cast("double").alias(n) for c, n in zip(env, names)], *time)
+    return F.struct((kind if known is None else F.when(known, kind)).alias("gtype"), parts.cast(PARTS).alias("parts"), *[c.cast("double").alias(n) for c, n in zip(env, names)], *time, *[_col(z, "double").alias(n) for n in ("zmin", "zmax")])
 
 
-def st_point(x: _Value, y: _Value, instant: _Value = None, start: _Value = None, end: _Value = None) -> Column:
-    """Null (see above) where x or y is."""
+def st_point(x: _Value, y: _Value, instant: _Value = None, start: _Value = None, end: _Value = None, z: _Value = None) -> Column:
+    """Null (see above) where x or y is. A height z may be null."""
     x, y = _col(x, "double"), _col(y, "double")
-    return _st(POINT, F.array(F.array(F.array(place(x, y)))), [x, y, x, y], time_fields(instant, start, end), x.isNotNull() & y.isNotNull())
+    return _st(POINT, F.array(F.array(F.array(place(x, y)))), [x, y, x, y], time_fields(instant, start, end), x.isNotNull() & y.isNotNull(), z)
 
 
 def st_box(xmin: _Value, ymin: _Value, xmax: _Value, ymax: _Value, instant: _Value = None, start: _Value = None, end: _Value = None) -> Column:

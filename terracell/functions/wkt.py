@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from terracell.functions.types import COLLECTION, KINDS, LINE, MULTILINE, MULTIPOINT, MULTIPOLYGON, PARTS, POINT, POLYGON, ST, st_point, with_time
 
 _TOKEN = re.compile(r"\s*([A-Za-z]+|[-+0-9.][-+0-9.eE]*|[(),])")
-_GEOMETRY = f"struct<gtype:tinyint,parts:{PARTS},xmin:double,ymin:double,xmax:double,ymax:double>"
+_GEOMETRY = f"struct<gtype:tinyint,parts:{PARTS},xmin:double,ymin:double,xmax:double,ymax:double,zmin:double,zmax:double>"
 
 
-def parse(text: str) -> tuple[int, list]:
-    """(kind, parts) with places as (x, y); a third coordinate is read and dropped. Bad text raises ValueError."""
+def parse(text: str, heights: list[float] | None = None) -> tuple[int, list]:
+    """(kind, parts) with places as (x, y); third coordinates that are heights go to `heights`. Bad text raises ValueError."""
     tokens, at = [], 0
     while text[at:].strip():
         m = _TOKEN.match(text, at)
@@ -23,7 +23,7 @@ def parse(text: str) -> tuple[int, list]:
             raise ValueError(f"bad geometry text: {text[:100]!r}")
         tokens.append(m[1])
         at = m.end()
-    pos = 0
+    pos, measured = 0, False
 
     def take(want: str | None = None) -> str:
         nonlocal pos
@@ -47,14 +47,17 @@ def parse(text: str) -> tuple[int, list]:
             numbers.append(float(take()))
         if not 2 <= len(numbers) <= 4:
             raise ValueError(f"bad geometry text: {text[:100]!r}")
+        if len(numbers) > 2 and heights is not None and not measured:
+            heights.append(numbers[2])
         return numbers[0], numbers[1]
 
     def geometry() -> tuple[int, list]:
         name = take().upper()
         if name not in KINDS:
             raise ValueError(f"unknown geometry {name!r}")
+        nonlocal measured
         if pos < len(tokens) and tokens[pos].upper() in ("Z", "M", "ZM"):
-            take()
+            measured = take().upper() == "M"
         kind = KINDS.index(name)
         if pos < len(tokens) and tokens[pos].upper() == "EMPTY":
             take()
@@ -107,10 +110,11 @@ def write(gtype: int, parts: list) -> str:
 
 
 def _row(text: str) -> dict:
-    kind, parts = parse(text)
+    heights: list[float] = []
+    kind, parts = parse(text, heights)
     xs, ys = ([p[i] for part in parts for r in part for p in r] for i in (0, 1))
     env = (min(xs), min(ys), max(xs), max(ys)) if xs else (None,) * 4
-    return {"gtype": kind, "parts": [[[{"x": a, "y": b} for a, b in r] for r in part] for part in parts], **dict(zip(("xmin", "ymin", "xmax", "ymax"), env))}
+    return {"gtype": kind, "parts": [[[{"x": a, "y": b} for a, b in r] for r in part] for part in parts], **dict(zip(("xmin", "ymin", "xmax", "ymax"), env)), "zmin": min(heights, default=None), "zmax": max(heights, default=None)}
 
 
 def literal(text: str, instant=None, start=None, end=None) -> Column:
@@ -119,21 +123,21 @@ def literal(text: str, instant=None, start=None, end=None) -> Column:
     rings = lambda part: F.array(*[F.array(*[F.struct(F.lit(p["x"]).alias("x"), F.lit(p["y"]).alias("y")) for p in r]) for r in part])
     parts = F.array(*[rings(p) for p in row["parts"]]) if row["parts"] else F.array()
     env = [F.lit(row[n]).cast("double").alias(n) for n in ("xmin", "ymin", "xmax", "ymax")]
-    none = [F.lit(None).cast(k).alias(n) for n, k in (("t_kind", "tinyint"), ("t_start", "bigint"), ("t_end", "bigint"))]
+    none = [F.lit(None).cast(k).alias(n) for n, k in (("t_kind", "tinyint"), ("t_start", "bigint"), ("t_end", "bigint"))] + [F.lit(row[n]).cast("double").alias(n) for n in ("zmin", "zmax")]
     return with_time(F.struct(F.lit(row["gtype"]).cast("tinyint").alias("gtype"), parts.cast(PARTS).alias("parts"), *env, *none), instant, start, end)
 
 
 def _parsed(texts: pd.Series) -> pd.DataFrame:
     if texts.isna().any():
         raise ValueError("a geometry's text is null")
-    return pd.DataFrame([_row(t) for t in texts], columns=["gtype", "parts", "xmin", "ymin", "xmax", "ymax"])
+    return pd.DataFrame([_row(t) for t in texts], columns=["gtype", "parts", "xmin", "ymin", "xmax", "ymax", "zmin", "zmax"])
 
 
 def st_geomfromwkt(text: Column | str, instant=None, start=None, end=None) -> Column:
     """Any geometry; bad and null texts raise. For points alone, `st_pointfromwkt` stays out of Python."""
     g = F.pandas_udf(_parsed, _GEOMETRY)(F.col(text) if isinstance(text, str) else text)
     none = [F.lit(None).cast(k).alias(n) for n, k in (("t_kind", "tinyint"), ("t_start", "bigint"), ("t_end", "bigint"))]
-    st = F.struct(*[g[n].alias(n) for n in ("gtype", "parts", "xmin", "ymin", "xmax", "ymax")], *none).cast(ST)
+    st = F.struct(*[g[n].alias(n) for n in ("gtype", "parts", "xmin", "ymin", "xmax", "ymax")], *none, g["zmin"], g["zmax"]).cast(ST)
     return with_time(st, instant, start, end) if instant is not None or start is not None else st
 
 

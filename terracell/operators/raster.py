@@ -98,13 +98,15 @@ def rasterize(df: DataFrame, size: int, pixelwidth: float = 1.0, x: str = "x", y
     return held.select("tx", "ty", tiles.tile(F.col("tx") * side, (F.col("ty") + 1) * side, size, size, values, pixelwidth).alias("tile"))
 
 
-def join_vector(df: DataFrame, vector: DataFrame, default: float = 0.0, name: str = "intersects", column: str = "tile", st: str = "st", box: bool = True, aggregate: Callable[[Column], Column] | None = None, side: float | None = None) -> DataFrame:
+def join_vector(df: DataFrame, vector: DataFrame, default: float = 0.0, name: str = "intersects", column: str = "tile", st: str = "st", box: bool = True, aggregate: Callable[[Column], Column] | None = None, side: float | None = None, whole: bool = False) -> DataFrame:
     """Tiles with each geometry that they stand in the predicate to, cut and masked; `aggregate` makes a column `agg` of the
-    masked values instead of the tile."""
+    masked values instead of the tile. `whole` leaves tiles as they are."""
     rows = vector.withColumnRenamed(st, "_g")
     pairs = st_join(with_geometry(df, column, "_t"), rows, name, left_st="_t", right_st="_g", kinds="simple" if box else "any", side=side)
     g, t = F.col("_g"), F.col(column)
-    if box:
+    if whole:
+        cut = t
+    elif box:
         cut = tiles.mask_box(t, g["xmin"], g["ymin"], g["xmax"], g["ymax"], default, name)
     else:
         cut = tiles.mask_any(name, default)(t, F.struct(g["gtype"].alias("gtype"), g["parts"].alias("parts")))

@@ -455,6 +455,14 @@ def r_rasterize(spark, sf):
     return ev_tiles(spark, sf).select("tx", "ty", F.posexplode("tile.values").alias("i", "v")).where("v > 0")
 
 
+@query("SELECT gid, x0 AS xmin, (gid % 7)::DOUBLE AS zmin, (gid % 7 + 2)::DOUBLE AS zmax, (gid % 7)::DOUBLE AS z FROM gb", "gb")
+def c_heights(spark, sf):
+    """Of points in SQL, and the extremes of lines given as text."""
+    _view(spark, grid_boxes(spark, sf).select("gid", "x0", "y0"), "corners")
+    z = "CAST(gid % 7 AS DOUBLE)"
+    return spark.sql(f"SELECT gid, l.xmin AS xmin, l.zmin AS zmin, l.zmax AS zmax, p.zmax AS z FROM (SELECT gid, st_point(x0, y0, {z}) AS p, st_geomfromwkt(concat('LINESTRING Z (', x0, ' ', y0, ' ', {z}, ', ', x0 + 1, ' 3 ', {z} + 2, ')')) AS l FROM terracell_corners)")
+
+
 @query("SELECT tx, ty, ulx, uly, 10 AS width, 10 AS height, 100 AS n FROM tl", "tl")
 def r_getters(spark, sf):
     t = F.col("tile")
@@ -516,6 +524,13 @@ def r_join_vector(spark, sf):
     return raster.join_vector(ev_tiles(spark, sf), grid_boxes(spark, sf).select("gid", "st")).select("tx", "ty", "gid")
 
 
+@query("SELECT tx, ty, gid, list_sum(v) AS total FROM tl, gb WHERE ulx <= x1 AND ulx + 10 >= x0 AND uly - 10 <= y1 AND uly >= y0", "tl", "gb")
+def r_join_vector_whole(spark, sf):
+    """Whole tiles beside each geometry."""
+    rows = raster.join_vector(ev_tiles(spark, sf), grid_boxes(spark, sf).select("gid", "st"), whole=True)
+    return rows.select("tx", "ty", "gid", F.aggregate("tile.values", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
 @query("+ c AS (SELECT tx, ty, gid, v, ulx, uly, greatest(ulx, x0) AS a, least(ulx + 10, x1) AS b, greatest(uly - 10, y0) AS l, least(uly, y1) AS h FROM tl, gb WHERE ulx <= x1 AND ulx + 10 >= x0 AND uly - 10 <= y1 AND uly >= y0), e AS (SELECT *, unnest(CASE WHEN (b - a) * (h - l) > 0 THEN range(((b - a) * (h - l))::INT) ELSE [-1] END) AS k FROM c) SELECT tx, ty, gid, sum(CASE WHEN k < 0 THEN 0 ELSE v[((uly - (h - k // greatest((b - a)::INT, 1))) * 10 + (a - ulx) + k % greatest((b - a)::INT, 1))::INT + 1] END) AS total FROM e GROUP BY ALL", "tl", "gb")
 def r_join_aggregate(spark, sf):
     rows = raster.join_vector(ev_tiles(spark, sf), grid_boxes(spark, sf).select("gid", "st"), aggregate=lambda v: F.aggregate(v, F.lit(0.0), lambda a, z: a + z))
