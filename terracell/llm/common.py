@@ -21,7 +21,7 @@ BATCH_ROWS = 256
 #: Ids or pairs that may be broadcast; beyond it tables are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that are tokenized at once.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,11 +29,19 @@ PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]
 LOOSE_LINE = regex.compile(r"\s\n|\n\s|\n\Z")
 #: Begins a text's first part in `encode_many`; texts that hold it take the longer way.
 START = "\0"
+#: The letter whose lower case ends in a sign that isn't one, and that a mark after it would join.
+DOTTED = "İ"
+#: Begins a mark that followed a letter there, so that words are looked up without their marks.
+GLUED = "\x01"
+#: A letter and a mark after it, which no tokenizer of either kind joins.
+AFTER = r"(\p{L})([.,;:!?])"
 MARKS = frozenset(".,;:!?")
 #: Parts of the texts whose ids are put together at once.
 RUN_WORDS = 300_000
 #: Entries of a generation of a memo of parts, and of one of pre-tokens; two generations are kept.
-PARTS, TOKENS = 600_000, 150_000
+PARTS, TOKENS = 400_000, 150_000
+#: Bits of a string's hash by which a memo knows that it came before.
+DOOR = 22
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,18 +52,23 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Memo(dict):
-    """A function of strings with its last results."""
+    """A function of strings with its last results, of strings that came twice: half of a text's different words come once."""
 
     def __init__(self, f, most: int) -> None:
         super().__init__()
-        self.f, self.most, self.old = f, most, {}
+        self.f, self.most, self.old, self.door = f, most, {}, bytearray(1 << DOOR)
 
     def __missing__(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            found, at = self.f(part), hash(part) & (1 << DOOR) - 1
+            if not self.door[at]:
+                self.door[at] = 1
+                return found
         if len(self) >= self.most:
-            self.old = dict(self)
+            self.old, self.door = dict(self), bytearray(1 << DOOR)
             self.clear()
-        found = self.old.get(part)
-        self[part] = found = self.f(part) if found is None else found
+        self[part] = found
         return found
 
 
@@ -129,8 +142,9 @@ class Encoder:
         return self.first[first] + b"".join(map(self.part.__getitem__, rest))
 
     def _unit(self, unit: str) -> bytes:
-        """Of what stands between blanks where START begins a text and a blank stands before each line end."""
-        if unit[:1] == START:
+        """Of what stands between blanks where START begins a text, a blank stands before each line end, and one and GLUED
+        before a mark that follows a letter."""
+        if unit[:1] == START or unit[:1] == GLUED:
             return self.first[unit[1:]]
         return self.token["\n"] + self.first[unit[1:]] if unit[:1] == "\n" else self._byte_part(unit)
 
@@ -138,7 +152,9 @@ class Encoder:
         """Whether `encode` cuts the text at blanks and line ends alone."""
         if self.kind == "whole" or any(s in text for s in self.special):
             return False
-        return self.kind == "word" or not ("  " in text or START in text or LOOSE_LINE.search(text))
+        if self.kind == "word":
+            return DOTTED not in text
+        return not ("  " in text or START in text or GLUED in text or LOOSE_LINE.search(text))
 
     def encode_runs(self, texts: pa.Array, most: int = RUN_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first, last, ids, bounds) of runs of texts, of `most` parts or one text each: their ids, one text after the other,
@@ -150,10 +166,11 @@ class Encoder:
         odd = {i: t for i, t in enumerate(texts.to_pylist()) if not self._regular(t)}
         if odd:
             texts = pa.array(["" if i in odd else t for i, t in enumerate(texts.to_pylist())], pa.string())
-        if self.kind == "word":
-            plain = pc.replace_substring(texts, "\n", " ")
+        if self.kind == "word":  # which lower-cases, and knows no blanks
+            plain = pc.replace_substring_regex(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), AFTER, r"\1 \2")
         else:
-            plain = pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " \n"), "")
+            plain = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), AFTER, rf"\1 {GLUED}\2")
+            plain = pc.binary_join_element_wise(START, plain, "")
         parts = pc.split_pattern(plain, " ")
         at = np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy()))).astype(np.int64)
         known = parts.flatten().dictionary_encode()

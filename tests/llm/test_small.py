@@ -167,7 +167,7 @@ def test_tokens_are_those_of_whole_texts():
         e = Encoder(default_path(name))
         for t in odd:
             assert e.encode(t) == np.array(e.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), (name, t)
-        several = [*odd, None, "\0x\n y", *TEXTS[0][1:], *odd[::-1]]
+        several = [*odd, None, "\0x\n y", "x\x01. y", "a.b.c, d!e ...f?! é.É; 3.5, x.\n.y", "don.'t a.'s I'm. X.", "日本.語, ÀÉ.É́.", *TEXTS[0][1:], *odd[::-1]]
         ids, bounds = e.encode_many(pa.array(several, pa.string()))
         assert [ids[i:j].tobytes() for i, j in zip(bounds, bounds[1:])] == [e.encode(t or "") for t in several]
         assert [len(x) for x in e.encode_many(pa.array([], pa.string()))] == [0, 1]
