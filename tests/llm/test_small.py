@@ -173,6 +173,15 @@ def test_tokens_are_those_of_whole_texts():
         assert [len(x) for x in e.encode_many(pa.array([], pa.string()))] == [0, 1]
 
 
+def test_tokens_of_random_texts():
+    rng, signs = random.Random(1), "abXY é.É,;:!?'\"-3 \n\n  ßıİΣ日.\x01\0\t s t'll 'VE|#"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = Encoder(default_path(name))
+        ids, bounds = e.encode_many(pa.array(texts, pa.string()))
+        assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:])] == [e.full.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(docs):
     out = packing.pack(packing.pieces(docs, default_path("byte_bpe_50k.json"))).collect()
     places = collections.defaultdict(list)
