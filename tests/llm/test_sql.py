@@ -1,6 +1,10 @@
 """Queries against their SQL, and the pipeline stage by stage, on the smallest tables."""
 
+import collections
+import re
+
 import pytest
+from tokenizers import Tokenizer
 
 from terracell.llm import queries
 
@@ -20,7 +24,7 @@ def test_rows(name, spark, sf, duck):
 def test_pipeline(spark, sf):
     """Each stage's rows against the plain form of its rule, on what the stage before kept."""
     import corpus_pipeline as p
-    from terracell.llm.decontaminate import Windows, letter_words
+    from terracell.llm.tokens import default_path
     from terracell.llm.toxicity import fit
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -50,9 +54,23 @@ def test_pipeline(spark, sf):
                 x, y = top(a), top(b)
                 above[max(x, y)] = min(x, y)
     assert set(ids[2]) == {d for d in sets if top(d) == d}
-    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-    windows = Windows(items, 10)
-    assert set(ids[3]) == {d for d, t in ids[2].items() if not windows.scan(letter_words(t))[0].any()}
+    word, lower = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: word.findall((t or "").translate(lower))
+    held = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r["text"])
+        k = min(10, len(w))
+        held |= {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+    sizes = {len(x) for x in held}
+    clean = lambda w: not any(tuple(w[i : i + k]) in held for k in sizes for i in range(len(w) - k + 1))
+    assert set(ids[3]) == {d for d, t in ids[2].items() if clean(words(t))}
+    assert {d: t for d, t in ids[3].items() if t is None} == {d: t for d, t in ids[4].items() if t is None}
     assert set(ids[4]) == set(ids[3])
     packed = p.STAGES[-1][1](spark, kept[-1], sf).collect()
     assert {r["doc_id"] for r in packed} == set(ids[4])
+    whole = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    n = {d: len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in ids[4].items()}
+    got = collections.defaultdict(int)
+    for r in packed:
+        got[r["doc_id"]] += r["length"]
+    assert got == n and len({r["sequence_id"] for r in packed}) <= -(-sum(n.values()) // 2048) + 1
