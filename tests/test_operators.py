@@ -157,3 +157,16 @@ def test_interval_join_of_all_orders(spark, sf):
     want = {(i, j) for i, s, e in rows for j, t, f in rows if i < j and (f is None or s <= f) and (e is None or t <= e)}
     got = [tuple(r) for r in QUERIES["j_interval_all"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_interval_pairs_against_brute_force(spark):
+    """Open, reversed and equal intervals, repeated keys and rows without a time."""
+    rng = random.Random(12)
+    rows = [(rng.randrange(90), s, rng.choice((None, s, s + rng.randrange(40), s + 500, s - 3))) for s in (rng.randrange(1000) for _ in range(120))] + [(95, None, None), (None, 3, 9)]
+    df = spark.createDataFrame(rows, "id long, s long, e long").select("id", st_point(F.lit(0), F.lit(0), start="s", end="e").alias("st"))
+    meet = lambda a, b: (b[2] is None or a[1] <= b[2]) and (a[2] is None or b[1] <= a[2])
+    known = [r for r in rows if r[0] is not None and r[1] is not None]
+    want = sorted((a[0], b[0]) for a in known for b in known if a[0] < b[0] and meet(a, b))
+    for width in (None, 1, 5000):
+        assert sorted(tuple(r) for r in join.interval_pairs(df, width=width).collect()) == want
+    assert join.interval_pairs(df.limit(0)).count() == 0
