@@ -7,17 +7,21 @@ A partitioning is a column of cell numbers, so it can be grouped, joined, writte
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracell.functions.distance import corner_distance, st_centroid
+from terracell.functions.distance import st_centroid
 from terracell.scratch import stored
 
 EPS = 1e-6
+#: Most entries of the table by which a place's box is found.
+TABLE = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -125,7 +129,7 @@ def write_cells(cells: DataFrame | list[Extent], path: str, spark: SparkSession
 
 def spacetime_bsp(df: DataFrame, side: float, most: int, slices: int = 10, st: str = "st", points: bool = False) -> DataFrame:
     """Adds `cell` and `slice`: binary splits by cost in space, and in each box up to `slices` slices of its own time range."""
-    rows = box_cells(df, bsp_cells(df, side, most, st, points), st, "cell")
+    rows = box_cells(df, bsp_cells(df, side, most, st, points), st, "cell", points)
     c = F.col(st)
     spans = rows.groupBy("cell").agg(F.min(c["t_start"]).alias("_lo"), F.max(c["t_start"]).alias("_hi"))  # one row for each box
     width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices))
@@ -162,15 +166,49 @@ def bsp_cells(df: DataFrame, side: float, most: int, st: str = "st", points: boo
     return sorted(out, key=lambda e: (e.ymin, e.xmin))
 
 
-def box_cells(df: DataFrame, boxes: list[Extent], st: str = "st", to: str = "cell") -> DataFrame:
+def _box_of(boxes: list[Extent]) -> Callable[[pd.Series, pd.Series], pd.Series]:
+    """Number of the first box that holds each place, from a table of the strips between the boxes' sides: two searches a
+    place, however many boxes there are. The table of splits of a grid is no larger than the grid; where it would be larger
+    than TABLE, places are compared with boxes, in blocks."""
+    a, b, c, d = (np.array([getattr(e, n) for e in boxes], float) for n in ("xmin", "ymin", "xmax", "ymax"))
+    xs, ys = np.unique(np.concatenate([a, c])), np.unique(np.concatenate([b, d]))
+    table = None
+    if len(xs) * len(ys) <= TABLE:
+        table = np.full((len(ys) + 1, len(xs) + 1), -1, np.int32)  # what lies outside on either side is in none
+        x0, x1, y0, y1 = np.searchsorted(xs, a), np.searchsorted(xs, c), np.searchsorted(ys, b), np.searchsorted(ys, d)
+        for i in range(len(boxes) - 1, -1, -1):
+            table[y0[i] + 1 : y1[i] + 1, x0[i] + 1 : x1[i] + 1] = i
+    block = max(1, 1_000_000 // len(boxes))
+
+    def find(x: pd.Series, y: pd.Series) -> pd.Series:
+        x, y = x.to_numpy(float), y.to_numpy(float)
+        known = ~(np.isnan(x) | np.isnan(y))
+        out = np.full(len(x), 0 if table is None else -1, np.int32)
+        if table is not None:
+            out[known] = table[np.searchsorted(ys, y[known], "right"), np.searchsorted(xs, x[known], "right")]
+        rest = np.flatnonzero(known if table is None else known & (out < 0))
+        for k in range(0, len(rest), block):
+            at = rest[k : k + block]
+            p, q = x[at][:, None], y[at][:, None]
+            inside = (p >= a) & (p < c) & (q >= b) & (q < d)
+            far = np.minimum.reduce([np.sqrt((p - u) * (p - u) + (q - v) * (q - v)) for u in (a, c) for v in (b, d)])
+            out[at] = np.where(inside.any(1), inside.argmax(1), far.argmin(1))
+        out[~known] = 0
+        return pd.Series(out)
+
+    return find
+
+
+def box_cells(df: DataFrame, boxes: list[Extent], st: str = "st", to: str = "cell", points: bool = False) -> DataFrame:
     """Adds the number of the box (right-open) that holds a value's centroid; outside of all, that of the nearest corner."""
     if not boxes:
         return df.withColumn(to, F.lit(0))
-    c = st_centroid(F.col(st))
-    rows = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(getattr(b, n)).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")]) for i, b in enumerate(boxes)])
-    inside = F.filter(rows, lambda b: (c["x"] >= b["xmin"]) & (c["x"] < b["xmax"]) & (c["y"] >= b["ymin"]) & (c["y"] < b["ymax"]))
-    near = F.array_min(F.transform(rows, lambda b: F.struct(corner_distance(b["xmin"], b["ymin"], b["xmax"], b["ymax"], c["x"], c["y"]).alias("d"), b["i"].alias("i"))))
-    return df.withColumn(to, F.when(F.size(inside) > 0, inside[0]["i"]).otherwise(near["i"]))
+    find, c = F.pandas_udf(_box_of(boxes), "int"), F.col(st)
+    if points:
+        return df.withColumn(to, find(c["xmin"], c["ymin"]))
+    # Spark doesn't take a Python function out of a projection whose arguments hold nested lambdas, so these come before
+    rows = df.withColumn("_centre", F.explode(F.array(st_centroid(c))))
+    return rows.withColumn(to, find(F.col("_centre")["x"], F.col("_centre")["y"])).drop("_centre")
 
 
 def str_tiles(df: DataFrame, slices: int, per_slice: int, st: str = "st", key: str = "id") -> DataFrame:

@@ -97,7 +97,7 @@ def with_cells(df: DataFrame, strategy, st: str = "st") -> DataFrame:
         return out.withColumn("cell", F.col("cell") * s.slices + F.coalesce("slice", F.lit(0))).drop("slice")
     if isinstance(s, BspStrategy):
         some = df if s.sample >= 1 else df.sample(s.sample, seed=1)
-        return cells.box_cells(df, cells.bsp_cells(some, s.side, max(1, int(s.most * min(s.sample, 1))), st, s.points), st)
+        return cells.box_cells(df, cells.bsp_cells(some, s.side, max(1, int(s.most * min(s.sample, 1))), st, s.points), st, points=s.points)
     if isinstance(s, TileStrategy):
         return cells.str_tiles(df, s.slices, s.per_slice, st, s.key).withColumnRenamed("tile", "cell")
     if isinstance(s, TimeStrategy):

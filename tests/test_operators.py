@@ -170,3 +170,25 @@ def test_interval_pairs_against_brute_force(spark):
     for width in (None, 1, 5000):
         assert sorted(tuple(r) for r in join.interval_pairs(df, width=width).collect()) == want
     assert join.interval_pairs(df.limit(0)).count() == 0
+
+
+def test_box_of_places_among_many_boxes(spark, monkeypatch):
+    """As comparing with every box does, by the table and by blocks: borders, gaps, overlaps, places outside and null ones."""
+    rng = random.Random(5)
+    made = [cells.Extent(x, y, x + w, y + h) for x, y, w, h in ((rng.randrange(60), rng.randrange(60), rng.randrange(1, 9), rng.randrange(1, 9)) for _ in range(700))]
+    pts = [(i, rng.choice((float(rng.randrange(-5, 75)), rng.uniform(-5, 75))), float(rng.randrange(-5, 75))) for i in range(600)] + [(990, None, 2.0)]
+
+    def box(x, y):
+        if x is None:
+            return 0
+        held = [i for i, b in enumerate(made) if b.xmin <= x < b.xmax and b.ymin <= y < b.ymax]
+        far = lambda b: min(((x - u) * (x - u) + (y - v) * (y - v)) ** 0.5 for u in (b.xmin, b.xmax) for v in (b.ymin, b.ymax))
+        return held[0] if held else min(range(len(made)), key=lambda i: (far(made[i]), i))
+
+    want = {i: box(x, y) for i, x, y in pts}
+    df = spark.createDataFrame(pts, "id int, x double, y double").select("id", st_point("x", "y").alias("st"))
+    assert {r["id"]: r["cell"] for r in cells.box_cells(df, made, points=True).collect()} == want
+    assert {r["id"]: r["cell"] for r in cells.box_cells(df, made).collect()} == want
+    monkeypatch.setattr(cells, "TABLE", 0)
+    assert {r["id"]: r["cell"] for r in cells.box_cells(df, made, points=True).collect()} == want
+    assert len(cells.box_cells(df, made).limit(1)._jdf.queryExecution().optimizedPlan().toString()) < 50_000
