@@ -108,9 +108,10 @@ def _slab(a: Column, b: Column, i: int, lower: bool) -> Column:
 
 
 def difference(a: Column, b: Column, dims: int) -> Column:
-    """Boxes that make up what of a is outside of b: a itself where they share nothing."""
+    """Boxes that make up what of a is outside of b: a itself where they share nothing, and none where a holds nothing."""
     parts = F.filter(F.array(*[_slab(a, b, i, lower) for i in range(dims) for lower in (True, False)]), lambda x: x.isNotNull())
-    return F.when(overlap(a, b).isNull(), F.array(F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))).otherwise(parts)
+    whole = F.array(F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+    return F.when(~_all(a["lo"], a["hi"], lambda p, q: p < q), F.slice(whole, 1, 0)).when(overlap(a, b).isNull(), whole).otherwise(parts)
 
 
 def lengths(b: Column) -> Column:
