@@ -64,9 +64,15 @@ class Grid:
         return {"xmin": F.lit(e.xmin) + cx * a, "ymin": F.lit(e.ymin) + cy * b, "xmax": F.lit(e.xmin) + (cx + 1) * a, "ymax": F.lit(e.ymin) + (cy + 1) * b}
 
     def cells_in(self, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-        """Numbers of all cells that a box meets."""
-        xs = F.sequence(self.axis(xmin, 0), self.axis(xmax, 0))
-        return F.flatten(F.transform(F.sequence(self.axis(ymin, 1), self.axis(ymax, 1)), lambda cy: F.transform(xs, lambda cx: cy * self.nx + cx)))
+        """Numbers of all cells that a box meets; none of a box outside of the grid."""
+
+        def along(lo: Column, hi: Column, i: int) -> Column:
+            at, n = (lambda v: F.floor((v - F.lit((self.extent.xmin, self.extent.ymin)[i])) / F.lit(self.side[i]))), (self.nx, self.ny)[i]
+            first, last = F.greatest(F.lit(0), at(lo)).cast("int"), F.least(F.lit(n - 1), at(hi)).cast("int")
+            return F.when((at(lo) < n) & (at(hi) >= 0) & (first <= last), F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+
+        xs = along(xmin, xmax, 0)
+        return F.flatten(F.transform(along(ymin, ymax, 1), lambda cy: F.transform(xs, lambda cx: cy * self.nx + cx)))
 
 
 def extent(df: DataFrame, st: str = "st") -> Extent | None:
