@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -50,39 +51,62 @@ def knn_two_phase(df: DataFrame, x: float, y: float, k: int, st: str = "st", key
     return knn(df, query, k, st, key, metric)
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: str = "id", right_key: str = "id", st: str = "st", side: float | None = None) -> DataFrame:
-    """The k nearest right rows of each left row, for points: columns of both (the right's with r_), dist and rank.
+def nearest_places(left: DataFrame, right: DataFrame, n: int, k: int, ties: str, metric: Callable[[list[Column], list[Column]], Column], reach: float | None = None, side: float | None = None) -> DataFrame:
+    """The k nearest rows of `right` (q0 .. and more) to each row of `left`, which are different places p0 .. of n dimensions:
+    columns of both, dist and rank. `reach`: only those nearer than that.
 
-    A left row looks into its cell and the eight around it, by equality of cells. It is done where k rows are nearer than
-    one cell's side, which nothing outside of the nine cells can be; the others go on with cells of four times the side.
+    A place looks into its cell and those around it, by equality of the cells of the first two dimensions. It is done where k
+    rows are nearer than one cell's side, which nothing outside of these cells can be (the metric is no less than the
+    difference on either axis); the others go on with cells of four times the side. Rows should be narrow: they meet in a sort.
     """
-    from terracell.operators.join import cell_side
-
-    names = [*left.columns, *[f"r_{c}" for c in right.columns], "dist", "rank"]
-    side = side or cell_side(left, right, st, rows_per_cell=max(4, k))
-    place = F.col(st)
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where(F.col(f"r_{st}")["gtype"].isNotNull())
-    r = stored(r, "knn-right")
-    todo = stored(left.where(place["gtype"].isNotNull()).withColumn("_l", F.monotonically_increasing_id()), "knn-left")
-    e, f, most = extent(left, st), extent(right, st), min(k, r.count())
-    wide = 1.0 if e is None or f is None else max(max(e.xmax, f.xmax) - min(e.xmin, f.xmin), max(e.ymax, f.ymax) - min(e.ymin, f.ymin))
-    done = None
+    left, right = stored(left, "knn-left"), stored(right, "knn-right")
+    place, m = [f"p{i}" for i in range(n)], min(2, n)
+    one = lambda d, c: d.agg(F.count("*"), *[f(f"{c}{i}") for i in range(m) for f in (F.min, F.max)]).first()
+    a, b = one(left, "p"), one(right, "q")
+    wide, most = 1.0, min(k, b[0])
+    if a[0] and b[0]:
+        spans = [max(a[2 * i + 2], b[2 * i + 2]) - min(a[2 * i + 1], b[2 * i + 1]) for i in range(m)]
+        wide = max(spans) + 1e-6
+        side = side or max((math.prod(max(v, 1e-9) for v in spans) * max(4, k) / (a[0] + b[0])) ** (1 / m), 1e-9)
+    side = side or 1.0
+    wide = wide if reach is None else reach
+    todo, done = left, None
     while True:
+        side = side if reach is None else min(side, reach)
         last = side >= wide or not most
-        at = lambda v, side=side: F.floor(v / side).cast("long")
-        step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        near = todo.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step))
-        near = near.withColumns({"_cx": at(place["xmin"]) + F.col("_i"), "_cy": at(place["ymin"]) + F.col("_j")}).drop("_i", "_j")
-        near = near.join(r.withColumns({"_cx": at(F.col(f"r_{st}")["xmin"]), "_cy": at(F.col(f"r_{st}")["ymin"])}), ["_cx", "_cy"])
-        near = near.withColumn("dist", distance.seuclid(place, F.col(f"r_{st}"), points=True))
-        near = near.withColumn("rank", F.row_number().over(W.partitionBy("_l").orderBy("dist", f"r_{right_key}"))).where(F.col("rank") <= k)
+        at = lambda c, side=side: F.floor(F.col(c) / side).cast("long")
+        near = todo
+        for i in range(m):
+            near = near.withColumn(f"_c{i}", F.explode(F.array(*[at(f"p{i}") + j for j in (-1, 0, 1)])))
+        near = near.join(right.withColumns({f"_c{i}": at(f"q{i}") for i in range(m)}), [f"_c{i}" for i in range(m)]).drop(*[f"_c{i}" for i in range(m)])
+        near = near.withColumn("dist", metric([F.col(c) for c in place], [F.col(f"q{i}") for i in range(n)]))
+        near = near if reach is None else near.where(F.col("dist") < reach)
+        near = near.withColumn("rank", F.row_number().over(W.partitionBy(*place).orderBy("dist", ties))).where(F.col("rank") <= k)
         if last:
-            part = near.select(*names)
-            return part if done is None else done.union(part)
+            return near if done is None else done.union(near)
         near = stored(near, "knn-near")
-        sure = stored(near.groupBy("_l").agg(F.count("*").alias("n"), F.max("dist").alias("d")).where((F.col("n") >= most) & (F.col("d") < side)).select("_l"), "knn-sure")
-        part, side = near.join(sure, "_l", "left_semi").select(*names), side * 4
-        todo = stored(todo.join(sure, "_l", "left_anti"), "knn-left")
+        sure = stored(near.groupBy(*place).agg(F.count("*").alias("n"), F.max("dist").alias("d")).where((F.col("n") >= most) & (F.col("d") < side)).select(*place), "knn-sure")
+        part, side = near.join(sure, place, "left_semi").select(*near.columns), side * 4
+        todo = stored(todo.join(sure, place, "left_anti").select(*todo.columns), "knn-left")
         done = part if done is None else done.union(part)
         if todo.isEmpty():
             return done
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: str = "id", right_key: str = "id", st: str = "st", side: float | None = None) -> DataFrame:
+    """The k nearest right rows of each left row, for points: columns of both (the right's with r_), dist and rank.
+
+    Places are compared, not rows: each left place once, with the k least keys of each right place, as no others of a place
+    can be among k. Values and other columns come back afterwards, so that none is moved or sorted with the candidates.
+    """
+    names = [*left.columns, *[f"r_{c}" for c in right.columns], "dist", "rank"]
+    place, theirs = F.col(st), F.col(f"r_{st}")
+    rows = stored(left.where(place["gtype"].isNotNull()).withColumns({"p0": place["xmin"], "p1": place["ymin"]}), "knn-rows")
+    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where(theirs["gtype"].isNotNull())
+    r = stored(r.withColumns({"_r": F.monotonically_increasing_id(), "q0": theirs["xmin"], "q1": theirs["ymin"]}), "knn-theirs")
+    first = F.row_number().over(W.partitionBy("q0", "q1").orderBy("_k"))
+    others = r.select("_r", F.col(f"r_{right_key}").alias("_k"), "q0", "q1").withColumn("_n", first).where(F.col("_n") <= k).drop("_n")
+    metric = lambda p, q: F.sqrt((p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]))
+    best = nearest_places(rows.select("p0", "p1").distinct(), others, 2, k, "_k", metric, side=side)
+    best = stored(best.select("p0", "p1", "_r", "dist", "rank"), "knn-best")
+    return rows.join(best, ["p0", "p1"]).join(r, "_r").select(*names)

@@ -192,3 +192,26 @@ def test_box_of_places_among_many_boxes(spark, monkeypatch):
     monkeypatch.setattr(cells, "TABLE", 0)
     assert {r["id"]: r["cell"] for r in cells.box_cells(df, made, points=True).collect()} == want
     assert len(cells.box_cells(df, made).limit(1)._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+
+
+def test_neighbours_of_places_with_many_rows(spark):
+    """Copies on both sides are compared by place: against brute force, and with few rows in the step that compares."""
+    rng = random.Random(21)
+    spots = [(float(rng.randrange(30)), float(rng.randrange(3))) for _ in range(25)]
+    p = [(i, *rng.choice(spots)) for i in range(200)] + [(500, -0.0, 900.0), (501, None, 1.0)]
+    q = [(i, *rng.choice(spots)) for i in range(300)] + [(600, None, None)]
+    make = lambda rows: spark.createDataFrame(rows, "id int, x double, y double").select("id", st_point("x", "y").alias("st"))
+    got = sorted((r["id"], r["rank"], r["r_id"], round(r["dist"], 9)) for r in knn.knn_join(make(p), make(q), 4).collect())
+    d = lambda a, b: ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5
+    want = sorted((a[0], n, b[0], round(d(a, b), 9)) for a in p if a[1] is not None for n, b in enumerate(sorted(q[:-1], key=lambda b: (d(a, b), b[0]))[:4], 1))
+    assert got == want
+
+    compared = []
+    real = knn.nearest_places
+    try:
+        knn.nearest_places = lambda left, right, *more, **named: compared.append((left.count(), right.count(), right.columns)) or real(left, right, *more, **named)
+        knn.knn_join(make(p), make(q), 4).count()
+    finally:
+        knn.nearest_places = real
+    assert compared[0][0] <= 26 and compared[0][1] <= 100 and "r_st" not in compared[0][2]
+    assert knn.knn_join(make(p), make(q[-1:]), 4).count() == 0
