@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terracell.operators import knn
 from terracell.scratch import stored
 
 CORE, REACHABLE, NOISE = "core", "reachable", "noise"
@@ -113,13 +114,23 @@ def dbscan(df: DataFrame, eps: float, min_pts: int, dims: list[str], key: str =
 
 
 def predict(df: DataFrame, clustered: DataFrame, eps: float, dims: list[str], key: str = "id", metric: Metric = euclid) -> DataFrame:
-    """Adds the cluster_id of the nearest core that is nearer than eps, the least number among equals; 0 without one."""
-    cores = clustered.where(F.col("label") == CORE).select(F.lit(1).alias("side"), F.col("cluster_id").cast("long").alias("k"), *dims)
-    both = df.select(F.lit(0).alias("side"), F.col(key).cast("long").alias("k"), *dims).union(cores)
-    both = both.withColumn("_id", F.struct("side", "k", *dims))
-    near = neighbours(both, eps, dims, "_id", metric=metric).where("a.side = 0 AND b.side = 1")
-    best = near.groupBy(F.col("a.k").alias(key)).agg(F.min(F.struct("d", F.col("b.k").alias("c"))).alias("best")).select(key, F.col("best.c").alias("cluster_id"))
-    return df.join(best, key, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0).cast("long")))
+    """Adds the cluster_id of the nearest core that is nearer than eps, the least number among equals; 0 without one.
+
+    Cores are looked for in cells that hold a few, and in larger ones, up to eps, only where these hold none near enough.
+    """
+    n = range(len(dims))
+    known = " AND ".join(f"{{}}{i} IS NOT NULL" for i in n)
+    cores = clustered.where(F.col("label") == CORE).select(F.col("cluster_id").cast("long").alias("c"), *[F.col(d).cast("double").alias(f"q{i}") for i, d in enumerate(dims)])
+    cores = _cut(cores.where(known.format(*["q"] * len(dims))).groupBy(*[f"q{i}" for i in n]).agg(F.min("c").alias("c")))
+    places = df.select(*[F.col(d).cast("double").alias(f"p{i}") for i, d in enumerate(dims)]).where(known.format(*["p"] * len(dims))).distinct()
+    rest, here = places, None
+    if metric is euclid:  # a core's own place is as near as any
+        here = places.join(cores.withColumnsRenamed({f"q{i}": f"p{i}" for i in n}), [f"p{i}" for i in n])
+        rest = places.join(cores.select(*[F.col(f"q{i}").alias(f"p{i}") for i in n]), [f"p{i}" for i in n], "left_anti")
+    best = knn.nearest_places(rest, cores, len(dims), 1, "c", metric, float(eps)).select(*[f"p{i}" for i in n], "c")
+    best = (best if here is None else best.union(here)).withColumnRenamed("c", "cluster_id")
+    rows = df.withColumns({f"p{i}": F.col(d).cast("double") for i, d in enumerate(dims)})
+    return rows.join(best, [f"p{i}" for i in n], "left").select(*df.columns, F.coalesce("cluster_id", F.lit(0).cast("long")).alias("cluster_id"))
 
 
 def write_clusters(clustered: DataFrame, path: str, dims: list[str]) -> None:

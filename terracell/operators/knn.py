@@ -14,6 +14,8 @@ from terracell.operators.cells import extent
 from terracell.scratch import stored
 
 Metric = Callable[[Column, Column], Column]
+#: Candidates of one task in the search of nearest places.
+CANDIDATES = 250_000
 
 
 def knn(df: DataFrame, query: Column, k: int, st: str = "st", key: str = "id", metric: Metric = distance.seuclid) -> DataFrame:
@@ -57,7 +59,8 @@ def nearest_places(left: DataFrame, right: DataFrame, n: int, k: int, ties: str,
 
     A place looks into its cell and those around it, by equality of the cells of the first two dimensions. It is done where k
     rows are nearer than one cell's side, which nothing outside of these cells can be (the metric is no less than the
-    difference on either axis); the others go on with cells of four times the side. Rows should be narrow: they meet in a sort.
+    difference on either axis); the others go on with cells of four times the side. Candidates are sorted, so their number is
+    reckoned from the cells' counts first, and tasks are so many that each sorts about CANDIDATES; rows should be narrow.
     """
     left, right = stored(left, "knn-left"), stored(right, "knn-right")
     place, m = [f"p{i}" for i in range(n)], min(2, n)
@@ -78,7 +81,11 @@ def nearest_places(left: DataFrame, right: DataFrame, n: int, k: int, ties: str,
         near = todo
         for i in range(m):
             near = near.withColumn(f"_c{i}", F.explode(F.array(*[at(f"p{i}") + j for j in (-1, 0, 1)])))
-        near = near.join(right.withColumns({f"_c{i}": at(f"q{i}") for i in range(m)}), [f"_c{i}" for i in range(m)]).drop(*[f"_c{i}" for i in range(m)])
+        cell = [f"_c{i}" for i in range(m)]
+        theirs = right.withColumns({c: at(f"q{i}") for i, c in enumerate(cell)})
+        met = near.groupBy(*cell).agg(F.count("*").alias("a")).join(theirs.groupBy(*cell).agg(F.count("*").alias("b")), cell)
+        tasks = min(20_000, (met.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0) // CANDIDATES + 1)
+        near = near.repartition(tasks, *cell).join(theirs.repartition(tasks, *cell), cell).drop(*cell)
         near = near.withColumn("dist", metric([F.col(c) for c in place], [F.col(f"q{i}") for i in range(n)]))
         near = near if reach is None else near.where(F.col("dist") < reach)
         near = near.withColumn("rank", F.row_number().over(W.partitionBy(*place).orderBy("dist", ties))).where(F.col("rank") <= k)

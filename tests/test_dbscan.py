@@ -40,3 +40,20 @@ def test_clusters(spark, n):
         assert got.pop(999) == (0, dbscan.NOISE)
         assert got == plain(points, eps, least)
     assert dbscan.dbscan(df.limit(0), 1.0, 2, ["x"]).count() == 0
+
+
+def test_prediction_against_brute_force(spark, monkeypatch):
+    """Nearest cores by place, with copies, equal distances, null coordinates, and a metric of one's own."""
+    from terracell.operators import knn
+
+    rng = random.Random(6)
+    core = [(i, float(rng.randrange(25)), float(rng.randrange(25)), "core" if rng.random() < 0.8 else "reachable", 1 + rng.randrange(9)) for i in range(150)]
+    pts = [(i, float(rng.randrange(-2, 27)) + rng.choice((0, 0.5)), float(rng.randrange(-2, 27))) for i in range(300)] + [(900, None, 1.0), (901, 300.0, 1.0)]
+    clustered, df = spark.createDataFrame(core, "id long, x double, y double, label string, cluster_id long"), spark.createDataFrame(pts, "id long, x double, y double")
+    seen, real = [], knn.nearest_places
+    monkeypatch.setattr(knn, "nearest_places", lambda left, right, *more: seen.append((left.count(), right.count())) or real(left, right, *more))
+    for metric, d in ((dbscan.euclid, lambda a, b: ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5), (lambda p, q: F.greatest(F.abs(p[0] - q[0]), F.abs(p[1] - q[1])), lambda a, b: max(abs(a[1] - b[1]), abs(a[2] - b[2])))):
+        want = {a[0]: min(((d(a, b), b[4]) for b in core if a[1] is not None and b[3] == "core" and d(a, b) < 2), default=(0, 0))[1] for a in pts}
+        assert {r["id"]: r["cluster_id"] for r in dbscan.predict(df, clustered, 2.0, ["x", "y"], metric=metric).collect()} == want
+    assert seen[0][0] < seen[1][0] <= len({p[1:] for p in pts}) and seen[0][1] <= len({c[1:3] for c in core if c[3] == "core"})
+    assert {r["cluster_id"] for r in dbscan.predict(df, clustered.limit(0), 2.0, ["x", "y"]).collect()} == {0}
