@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -120,20 +122,43 @@ def _fromwkt(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_row(t) | {"t_kind": None, "t_start": None, "t_end": None} for t in texts], columns=["gtype", "parts", "xmin", "ymin", "xmax", "ymax", "t_kind", "t_start", "t_end", "zmin", "zmax"])
 
 
-def _sto(texts: pd.Series, *args: pd.Series) -> pd.DataFrame:
-    """Text; text and date; text, year, month and day. Other numbers of arguments leave the time out."""
-    out = _fromwkt(texts)
+_F64 = pa.float64()
+_ARROW_PARTS = pa.list_(pa.list_(pa.list_(pa.struct([("x", _F64), ("y", _F64)]))))
+_ARROW_ST = [("gtype", pa.int8()), ("parts", _ARROW_PARTS), *[(n, _F64) for n in ("xmin", "ymin", "xmax", "ymax")], ("t_kind", pa.int8()), ("t_start", pa.int64()), ("t_end", pa.int64()), ("zmin", _F64), ("zmax", _F64)]
+
+
+def _days(args: tuple[pa.Array, ...]) -> pa.Array | None:
+    """Days since 1970 of a date (or what pandas reads as one), or of year, month and day; None of other numbers of arguments."""
+    if len(args) == 1 and pa.types.is_date32(args[0].type):
+        return args[0].cast(pa.int32()).cast(pa.int64())
     if len(args) == 1:
-        days = pd.to_datetime(args[0])
+        at = pc.local_timestamp(args[0]) if pa.types.is_timestamp(args[0].type) and args[0].type.tz else args[0]
+        days = pd.to_datetime(at.to_pandas())
     elif len(args) == 3:
-        days = pd.to_datetime(pd.DataFrame(dict(zip(("year", "month", "day"), args))))
+        days = pd.to_datetime(pd.DataFrame({n: a.to_pandas() for n, a in zip(("year", "month", "day"), args)}))
     else:
-        return out
-    known = days.notna()
-    seconds = [int(d.timestamp()) // DAY_SECONDS * DAY_SECONDS if k else None for d, k in zip(days, known)]
-    out["t_kind"] = pd.Series([1 if k else None for k in known], dtype="object")
-    out["t_start"] = out["t_end"] = pd.Series(seconds, dtype="object")
-    return out
+        return None
+    return pa.array(days.to_numpy("datetime64[D]").astype("int64"), pa.int64(), mask=days.isna().to_numpy())
+
+
+def _sto(texts: pa.Array, *args: pa.Array) -> pa.Array:
+    """Text; text and date; text, year, month and day. Other numbers of arguments leave the time out.
+
+    Each different text of a batch is parsed once and given out as columns, so that no objects are kept for each row.
+    """
+    if texts.null_count:
+        raise ValueError("a geometry's text is null")
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    known, n = texts.dictionary_encode(), len(texts)
+    rows = [_row(t) for t in known.dictionary.to_pylist()]
+    column = lambda c, kind: pa.array([r[c] for r in rows], kind).take(known.indices)
+    made = {c: column(c, kind) for c, kind in _ARROW_ST if not c.startswith("t_")}
+    days = _days(args)
+    seconds = pa.nulls(n, pa.int64()) if days is None else pc.multiply(days, DAY_SECONDS)
+    kind = pc.if_else(pc.is_valid(seconds), pa.scalar(1, pa.int8()), pa.scalar(None, pa.int8()))
+    made |= {"t_kind": kind, "t_start": seconds, "t_end": seconds}
+    return pa.StructArray.from_arrays([made[c] for c, _ in _ARROW_ST], names=[c for c, _ in _ARROW_ST])
 
 
 def _buckets(tiles, n=None):
@@ -168,7 +193,7 @@ def register(spark: SparkSession) -> SparkSession:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURN {body}")
     spark.udf.register("st_geomfromwkt", F.pandas_udf(_fromwkt, ST))
     spark.udf.register("fromwkt", F.pandas_udf(_fromwkt, ST))
-    spark.udf.register("st_sto", F.pandas_udf(_sto, ST))
+    spark.udf.register("st_sto", F.arrow_udf(_sto, ST))
     for name in ("contains", "containedby", "intersects"):
         spark.udf.register(f"st_{name}", _predicate(name))
     spark.udf.register("histogram", F.pandas_udf(_buckets, _HIST))

@@ -1,5 +1,6 @@
 """Times, geometries, text forms and tiles, on values with known answers."""
 
+import datetime
 import random
 
 import pytest
@@ -171,3 +172,20 @@ def test_raster_filter_counts(spark):
     box = raster.raster_filter(df, st_box(11, 11, 89, 89))
     assert box.count() == 64
     assert raster.raster_filter(df, st_box(51, 51, 51.5, 51.5)).count() == 1
+
+
+def test_st_sto_parses_each_text_of_a_batch_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from terracell.functions import sql as names
+
+    parsed, real = [], names._row
+    monkeypatch.setattr(names, "_row", lambda t: parsed.append(t) or real(t))
+    dates = pa.array([datetime.date(1969, 12, 31), None, datetime.date(2020, 2, 16), datetime.date(1, 1, 1)])
+    out = names._sto(pa.array(["POINT (1 2)", "POINT EMPTY", "POINT (1 2)", "POINT Z (1 2 3)"]), dates).to_pylist()
+    assert len(parsed) == 3 and [r["t_start"] for r in out] == [-86_400, None, 1_581_811_200, -62_135_596_800]
+    assert [r["t_kind"] for r in out] == [1, None, 1, 1] and [r["xmin"] for r in out] == [1.0, None, 1.0, 1.0] and out[3]["zmax"] == 3.0
+    names.register(spark)
+    row = spark.sql("SELECT st_sto('LINESTRING (0 0, 1 3)') AS a, st_sto('POINT (1 1)', TIMESTAMP'2020-02-16 23:00:00') AS b, st_sto('POINT (1 1)', CAST(NULL AS DATE)) AS c, st_sto('POINT (1 1)', 2020, 2, CAST(NULL AS INT)) AS d").first()
+    assert row["a"]["parts"][0][0][1]["y"] == 3.0 and row["a"]["t_kind"] is None and row["b"]["t_start"] == row["b"]["t_end"] == 1_581_811_200
+    assert row["c"]["t_kind"] is None and row["d"]["t_start"] is None
