@@ -215,3 +215,26 @@ def test_neighbours_of_places_with_many_rows(spark):
         knn.nearest_places = real
     assert compared[0][0] <= 26 and compared[0][1] <= 100 and "r_st" not in compared[0][2]
     assert knn.knn_join(make(p), make(q[-1:]), 4).count() == 0
+
+
+def test_skyline_by_probes_is_that_of_all_pairs(spark, monkeypatch):
+    """Any strict rule, with places taken out by a few before they are compared: against brute force."""
+    rng = random.Random(31)
+    pts = [(i, float(rng.randrange(300)), rng.randrange(300)) for i in range(1500)] + [(3000, 2.0, 1), (3001, 1.0, 2), (3002, 2.0, 1)]
+    df = spark.createDataFrame(pts, "id int, x double, t long").select("id", st_point("x", F.lit(0.0), instant="t").alias("st"))
+    query, held, real = st_point(0.0, 0.0, instant=0), [], skyline.stored
+    monkeypatch.setattr(skyline, "FEW", 40)
+    monkeypatch.setattr(skyline, "PROBES", 25)
+    monkeypatch.setattr(skyline, "stored", lambda d, name: held.append((name, real(d, name))) or held[-1][1])
+    metric = lambda a, b: F.struct(F.abs(a["xmin"] - b["xmin"]).alias("s"), F.abs(a["t_start"] - b["t_start"]).cast("double").alias("t"))
+    rules = [
+        (lambda a, b: (a["sd"] < b["sd"]) & (a["td"] < b["td"]), lambda a, b: a[1] < b[1] and a[2] < b[2]),
+        (lambda a, b: (a["sd"] > b["sd"]) & (a["td"] < b["td"]), lambda a, b: a[1] > b[1] and a[2] < b[2]),
+        (lambda a, b: a["sd"] + 280 < b["sd"], lambda a, b: a[1] + 280 < b[1]),
+    ]
+    for beats, plain in rules:
+        held.clear()
+        got = sorted(r["id"] for r in skyline.skyline_by(df, query, beats, metric=metric, parts=3).collect())
+        assert got == sorted(a[0] for a in pts if not any(plain(b, a) for b in pts))
+        sizes = [d.count() for name, d in held if name == "places"]
+        assert len(sizes) > 1 and sizes[-1] <= sizes[0]
